@@ -1 +1,8 @@
 """Spark-native cleaning, validation, deduplication and reporting of tables and streams."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

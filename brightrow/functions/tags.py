@@ -1,10 +1,16 @@
-"""Tags, scores and sensitivity flags of question texts, as column expressions."""
+"""Tags, scores and sensitivity flags of question texts, as column expressions.
+
+Functions of ``low`` take the lower-cased text. Pass a materialised column (one
+made by ``withColumn``): the text is then lower-cased once, not once per word.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, functions as F
 
-from brightrow.functions.text import contains_any, count_words, strip
+from brightrow.functions.text import contains_any, count_words
 
 # Words that mark the kinds of question, matched anywhere in the lower-cased text.
 TYPE_WORDS = {
@@ -74,28 +80,28 @@ CLAUSES = {
 }
 
 
-def tag_types(c: Column) -> Column:
+def type_flags(low: Column) -> dict[str, Column]:
+    return {tag: contains_any(low, words) for tag, words in TYPE_WORDS.items()}
+
+
+def tag_types(flags: Mapping[str, Column]) -> Column:
     """Kinds of question in a fixed order; ``filtering`` when nothing matches."""
-    low = F.lower(c)
-    tags = [F.when(contains_any(low, words), F.lit(tag)) for tag, words in TYPE_WORDS.items()]
-    found = F.filter(F.array(*tags), lambda t: t.isNotNull())
+    found = F.array_compact(F.array(*[F.when(flag, F.lit(tag)) for tag, flag in flags.items()]))
     return F.when(F.size(found) == 0, F.array(F.lit("filtering"))).otherwise(found)
 
 
-def complexity(c: Column) -> Column:
-    low = F.lower(c)
-    entities = F.size(
-        F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?U)\b({'|'.join(ENTITY_WORDS)})\b"), F.lit(1)))
-    )
+def complexity(low: Column) -> Column:
+    """Score in [0, 1] from length, joins, groupings, windows, time words and nouns."""
+    nouns = F.regexp_extract_all(low, F.lit(rf"(?U)\b({'|'.join(ENTITY_WORDS)})\b"), F.lit(1))
     trend = contains_any(low, TYPE_WORDS["time_series"]).cast("int")
     score = (
         F.lit(0.12)
-        + F.lit(0.35) * F.least(F.lit(1.0), F.length(c) / F.lit(220.0))
+        + F.lit(0.35) * F.least(F.lit(1.0), F.length(low) / F.lit(220.0))
         + F.lit(0.18) * F.least(count_words(low, TYPE_WORDS["join"]), F.lit(3))
         + F.lit(0.12) * F.least(count_words(low, TYPE_WORDS["groupby"]), F.lit(2))
         + F.lit(0.12) * F.least(count_words(low, TYPE_WORDS["window"]), F.lit(2))
         + F.lit(0.06) * trend
-        + F.lit(0.05) * F.least(entities, F.lit(6))
+        + F.lit(0.05) * F.least(F.size(F.array_distinct(nouns)), F.lit(6))
     )
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 
@@ -104,15 +110,15 @@ def complexity_label(score: Column) -> Column:
     return F.when(score < 0.35, "low").when(score < 0.7, "medium").otherwise("high")
 
 
-def domain(c: Column) -> Column:
-    low, out = F.lower(c), None
+def domain(low: Column) -> Column:
+    out = None
     for name, words in DOMAIN_WORDS.items():
         out = (F if out is None else out).when(contains_any(low, words), F.lit(name))
     return out
 
 
 def pii_hits(c: Column, most: int | None = MAX_HITS) -> Column:
-    """Array of (match, label); a text may be reported under several labels."""
+    """Array of (match, label) in the original text; a match may carry several labels."""
     found = []
     for label, pattern in PII_PATTERNS.items():
         matches = F.regexp_extract_all(c, F.lit("(?U)" + pattern), F.lit(0))
@@ -125,57 +131,19 @@ def _labelled(matches: Column, label: str) -> Column:
     return F.transform(matches, lambda m: F.struct(m.alias("match"), F.lit(label).alias("label")))
 
 
-def sensitivity(c: Column) -> Column:
-    low, hits = F.lower(c), pii_hits(c)
-    return F.struct(
-        (F.size(hits) > 0).alias("pii"),
-        contains_any(low, FINANCIAL_WORDS).alias("financial_sensitive"),
-        contains_any(low, COMPLIANCE_WORDS).alias("compliance_sensitive"),
-        hits.alias("hits"),
-    )
-
-
 def token_estimate(c: Column) -> Column:
     return F.greatest(F.lit(32), F.ceil(F.length(c) / 4).cast("int"))
 
 
-def distinct_words(c: Column) -> Column:
+def distinct_words(low: Column) -> Column:
     """Distinct purely alphabetic tokens."""
-    tokens = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
-    return F.size(F.array_distinct(F.filter(tokens, lambda t: t.rlike("^[a-z]+$"))))
-
-
-def join_words(c: Column) -> Column:
-    return count_words(F.lower(c), TYPE_WORDS["join"])
-
-
-def classify(c: Column) -> Column:
-    """The full record of a question; an empty text gets an empty record."""
-    q = strip(c)
-    empty = q == ""
-    hits = "array<struct<match:string,label:string>>"
-    score = F.when(empty, F.lit(0.0)).otherwise(complexity(q))
-    safety = F.when(
-        empty,
-        F.struct(
-            F.lit(False).alias("pii"),
-            F.lit(False).alias("financial_sensitive"),
-            F.lit(False).alias("compliance_sensitive"),
-            F.array().cast(hits).alias("hits"),
-        ),
-    ).otherwise(sensitivity(q))
-    return F.struct(
-        F.when(empty, F.array().cast("array<string>")).otherwise(tag_types(q)).alias("types"),
-        score.alias("complexity"),
-        complexity_label(score).alias("complexity_label"),
-        safety.alias("safety"),
-        F.when(~empty, domain(q)).alias("domain"),
-        F.when(empty, F.lit(0)).otherwise(distinct_words(q)).alias("entities_count"),
-        F.when(empty, F.lit(0)).otherwise(join_words(q)).alias("estimated_joins"),
-        F.when(empty, F.lit(32)).otherwise(token_estimate(q)).alias("token_estimate"),
-    )
+    tokens = F.array_distinct(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)))
+    return F.size(F.filter(tokens, lambda t: t.rlike("^[a-z]+$")))
+
+
+def join_words(low: Column) -> Column:
+    return count_words(low, TYPE_WORDS["join"])
 
 
 def clauses(c: Column) -> Column:
-    tags = [F.when(c.rlike(pattern), F.lit(name)) for name, pattern in CLAUSES.items()]
-    return F.filter(F.array(*tags), lambda t: t.isNotNull())
+    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(name)) for name, p in CLAUSES.items()]))

@@ -14,8 +14,8 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 # The default character classes that are removed from text.
-SPECIAL = r"[^0-9a-zA-Z\s]"
-SPECIAL_KEEP_COLON = r"[^0-9a-zA-Z\s:]"
+SPECIAL = f"[^0-9a-zA-Z{WHITESPACE}]"
+SPECIAL_KEEP_COLON = f"[^0-9a-zA-Z{WHITESPACE}:]"
 # Text that reads as a number; guards casts, since a plain cast also takes "1d" or "1f".
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 WHOLE_NUMBER = r"^[+-]?\d{1,18}$"
@@ -26,7 +26,7 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+", " ")
+    return F.regexp_replace(c, f"[{WHITESPACE}]+", " ")
 
 
 def strip_special(c: Column, pattern: str = SPECIAL) -> Column:

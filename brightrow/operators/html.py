@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from brightrow.columns import ref
 
@@ -58,7 +58,7 @@ def page_text(html: str | None) -> str | None:
     return "".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_text(pages: pd.Series) -> pd.Series:
     """Text content of markup: tags dropped, entities decoded, hidden elements left out."""
     return pages.map(page_text, na_action="ignore")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brightrow.columns import ref
 from brightrow.functions import tags
-from brightrow.functions.text import contains_any
+from brightrow.functions.text import contains_any, strip
 
 # The strategies, the reasons and the price and latency model.
 RULE, MODEL = "rule_based", "llm_based"
@@ -109,28 +109,60 @@ def route(df: DataFrame, rules: TriageRules = TriageRules(), text_col: str | Non
     )
 
 
+# The columns of a classification record, with the values of an empty text.
+RECORD = (
+    "types", "complexity", "complexity_label", "pii", "financial_sensitive", "compliance_sensitive",
+    "hits", "domain", "entities_count", "estimated_joins", "token_estimate",
+)
+
+
+def lowered(df: DataFrame, col: str, into: str = "__low") -> DataFrame:
+    """The text lower-cased once, for the many word tests that follow."""
+    return df.withColumn(into, F.lower(ref(col)))
+
+
+def tag_types(df: DataFrame, low: str, into: str = "types") -> DataFrame:
+    """Add the kinds of question; the word tests run first, as plain boolean columns."""
+    flags = {f"__is_{tag}": flag for tag, flag in tags.type_flags(ref(low)).items()}
+    tagged = df.withColumns(flags).withColumn(
+        into, tags.tag_types({tag: F.col(f"__is_{tag}") for tag in tags.TYPE_WORDS})
+    )
+    return tagged.drop(*flags)
+
+
 def classify_table(df: DataFrame, col: str) -> DataFrame:
-    """Add the classification record of a text column as columns."""
-    out = df.withColumn("__c", tags.classify(ref(col)))
-    return out.select(*[ref(c) for c in df.columns], "__c.*").select(
-        *[ref(c) for c in df.columns],
-        "types",
-        "complexity",
-        "complexity_label",
-        F.col("safety.pii").alias("pii"),
-        F.col("safety.financial_sensitive").alias("financial_sensitive"),
-        F.col("safety.compliance_sensitive").alias("compliance_sensitive"),
-        F.col("safety.hits").alias("hits"),
-        "domain",
-        "entities_count",
-        "estimated_joins",
-        "token_estimate",
+    """Add the classification record of a text column as columns.
+
+    An empty (or blank) text has no types, no domain, zero scores and 32 tokens.
+    """
+    staged = lowered(df.withColumn("__text", strip(ref(col))), "__text")
+    low, text = F.col("__low"), F.col("__text")
+    scored = tag_types(staged, "__low").withColumns(
+        {
+            "complexity": tags.complexity(low),
+            "hits": tags.pii_hits(text),
+            "financial_sensitive": contains_any(low, tags.FINANCIAL_WORDS),
+            "compliance_sensitive": contains_any(low, tags.COMPLIANCE_WORDS),
+            "domain": tags.domain(low),
+            "entities_count": tags.distinct_words(low),
+            "estimated_joins": tags.join_words(low),
+            "token_estimate": tags.token_estimate(text),
+        }
     )
+    empty = F.col("__text") == ""
+    record = scored.withColumns(
+        {
+            "types": F.when(empty, F.array().cast("array<string>")).otherwise(F.col("types")),
+            "complexity": F.when(empty, F.lit(0.0)).otherwise(F.col("complexity")),
+            "pii": F.size("hits") > 0,
+        }
+    ).withColumn("complexity_label", tags.complexity_label(F.col("complexity")))
+    return record.select(*[ref(c) for c in df.columns], *RECORD)
 
 
 def light_scores(df: DataFrame, col: str) -> DataFrame:
     """Domain, complexity and safety by the light scorer."""
-    low = F.lower(ref(col))
+    low = F.col("__low")
     topic = None
     for word, name in LIGHT_DOMAINS.items():
         topic = (F if topic is None else topic).when(F.contains(low, F.lit(word)), F.lit(name))
@@ -139,7 +171,8 @@ def light_scores(df: DataFrame, col: str) -> DataFrame:
     length = F.least(F.lit(1.0), F.length(ref(col)) / F.lit(200.0))
     score = F.lit(0.15) + F.lit(0.2) * F.col("estimated_joins") + F.lit(0.05) * F.col("entities_count")
     return (
-        df.withColumns({"domain": topic, "estimated_joins": joins, "entities_count": entities})
+        lowered(df, col)
+        .withColumns({"domain": topic, "estimated_joins": joins, "entities_count": entities})
         .withColumn("complexity", F.least(F.lit(1.0), score + F.lit(0.4) * length))
         .withColumns(
             {
@@ -148,6 +181,7 @@ def light_scores(df: DataFrame, col: str) -> DataFrame:
                 "token_estimate": F.greatest(F.lit(32), F.floor(F.length(ref(col)) / 4).cast("int")),
             }
         )
+        .drop("__low")
     )
 
 

@@ -117,17 +117,17 @@ def interpolate(
     if not names:
         return df
     out, spread = numbered(df, by, order_by, "__pos", rows_per_chunk)
-    window = chunk_window(by, order_by)
-    upto, onward = (
-        window.rowsBetween(Window.unboundedPreceding, 0),
-        window.rowsBetween(0, Window.unboundedFollowing),
-    )
+    # Looking ahead is a running window over the reversed order: a frame that ends
+    # at the last row would be evaluated anew for every row.
+    place = Window.partitionBy(*_chunk_keys(by))
+    upto = place.orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    onward = place.orderBy(F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     points, sides = {}, {}
     for i, c in enumerate(names):
         value = known_number(df, c).cast("double")
         points[f"__p{i}"] = F.when(value.isNotNull(), F.struct(F.col("__pos").alias("at"), value.alias("v")))
         sides[f"__a{i}"] = F.last(F.col(f"__p{i}"), ignorenulls=True).over(upto)
-        sides[f"__b{i}"] = F.first(F.col(f"__p{i}"), ignorenulls=True).over(onward)
+        sides[f"__b{i}"] = F.last(F.col(f"__p{i}"), ignorenulls=True).over(onward)
     out = out.withColumns(points).withColumns(sides)
     if spread:
         ends = []
@@ -136,12 +136,13 @@ def interpolate(
             ends += [F.max_by(f"__p{i}", at).alias(f"__l{i}"), F.min_by(f"__p{i}", at).alias(f"__f{i}")]
         sequence = chunk_sequence(by)
         before = sequence.rowsBetween(Window.unboundedPreceding, -1)
-        after = sequence.rowsBetween(1, Window.unboundedFollowing)
+        after = Window.partitionBy(*[ref(c) for c in by]).orderBy(F.col(CHUNK).desc())
+        after = after.rowsBetween(Window.unboundedPreceding, -1)
         carry = chunk_summary(out, by, *ends)
         carried = {}
         for i in range(len(names)):
             carried[f"__ca{i}"] = F.last(F.col(f"__l{i}"), ignorenulls=True).over(before)
-            carried[f"__cb{i}"] = F.first(F.col(f"__f{i}"), ignorenulls=True).over(after)
+            carried[f"__cb{i}"] = F.last(F.col(f"__f{i}"), ignorenulls=True).over(after)
         out = attach(out, carry.withColumns(carried), by, list(carried))
         joined = {}
         for i in range(len(names)):
