@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -24,8 +25,16 @@ DATE_FORMATS = (
 def parse_timestamp(c: Column, fmt: str | None = None, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Text to timestamp; text in none of the layouts becomes null.
 
-    Without a layout, Spark's own ISO reading (zones, fractions) is tried first.
+    Without a layout, Spark's own ISO reading (zones, fractions) is tried first. A
+    layout is only tried on text of its shape, since a failing parse is costly.
     """
     if fmt:
         return F.try_to_timestamp(c, F.lit(fmt))
-    return F.coalesce(c.try_cast("timestamp"), *[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    tries = [F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats]
+    return F.coalesce(c.try_cast("timestamp"), *tries)
+
+
+def _shape(fmt: str) -> str:
+    """Pattern of the texts a layout can read: a digit per letter."""
+    plain = fmt.replace("'T'", "\0")
+    return "^" + re.sub(r"[A-Za-z]", r"\\d", plain).replace("\0", "T") + "$"

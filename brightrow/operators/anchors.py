@@ -4,8 +4,10 @@ Per key, in value order, a row goes when it lies within ``width`` of the last
 row that stayed. Where a row lands depends only on one number, the last value
 kept before it, so the work splits into ranges of any key:
 
-1. rows are range-partitioned and sorted on (key, value): one partition is one
-   chunk, of bounded size also for a key that holds most rows;
+0. while no key exceeds a chunk, whole keys go to one partition each and step 4
+   is all there is;
+1. else rows are range-partitioned and sorted on (key, value): one partition is
+   one chunk, of bounded size also for a key that holds most rows;
 2. every chunk reports how the value kept before it maps to the value kept at
    its end, as a step function over the few rows it could start from;
 3. the step functions are composed in a tree of groups of ``FAN_IN`` chunks,
@@ -25,8 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from brightrow.columns import known_number, ref
+from brightrow.operators.ordered import largest_key
 from brightrow.operators.project import order_columns
-from brightrow.session import durable
+from brightrow.session import durable, durable_partitions, is_small
 
 FAN_IN = 16
 ROWS_PER_CHUNK = 500_000
@@ -39,7 +42,7 @@ def dedup_time_window(
     order_by: Sequence[str],
     seconds: float = 60,
     subset: Sequence[str] | None = None,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Drop rows at most ``seconds`` after the last kept row of the same key."""
     micros = F.unix_micros(ref(ts_col).cast("timestamp")).cast("double")
@@ -51,34 +54,42 @@ def dedup_tolerance(
     col: str,
     order_by: Sequence[str],
     tol: float = 0.001,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Drop rows whose value lies within ``tol`` of the last kept value."""
     return _thin(df, known_number(df, col).cast("double"), [], order_by, tol, rows_per_chunk)
 
 
 def _thin(
-    df: DataFrame, value: Column, keys: Sequence[str], order_by: Sequence[str], width: float, rows_per_chunk: int
+    df: DataFrame,
+    value: Column,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    width: float,
+    rows_per_chunk: int | None,
 ) -> DataFrame:
     # Equal keys are equal JSON texts, nulls included.
     key = F.to_json(F.struct(*[ref(c) for c in keys])) if keys else F.lit("")
     rows = df.withColumns({"__key": key, "__value": value})
     known = rows.where("__value is not null")
-    total = known.count()
-    chunks = max(1, math.ceil(total / rows_per_chunk))
     order = [F.col("__key"), F.col("__value"), *order_columns(order_by)]
-    ranged = durable(
-        known.repartitionByRange(chunks, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("__chunk", F.spark_partition_id().cast("long"))
-    )
-    carried: dict[int, float] = {}
-    if chunks > 1:
+    limit = rows_per_chunk or ROWS_PER_CHUNK
+    small = rows_per_chunk is None and is_small(df)
+    largest, total = (0, 0) if small else largest_key(known, ["__key"])
+    if largest <= limit:
+        # Every key fits a task: whole keys per partition, nothing to carry.
+        placed = known.withColumn("__chunk", F.lit(0).cast("long")).repartition("__key")
+        ranged, carried = placed.sortWithinPartitions(*order), {}
+    else:
+        ranged = durable_partitions(
+            known.repartitionByRange(math.ceil(total / limit), *order)
+            .sortWithinPartitions(*order)
+            .withColumn("__chunk", F.spark_partition_id().cast("long"))
+        )
         steps = ranged.select("__chunk", "__key", "__value").mapInArrow(_reporter(width), STEPS)
         # One number per chunk: bounded by the chunk count.
-        for row in _carried(durable(steps), width).collect():
-            if row["carried"] is not None:
-                carried[row["chunk"]] = row["carried"]
+        found = _carried(durable(steps), width).collect()
+        carried = {r["chunk"]: r["carried"] for r in found if r["carried"] is not None}
     kept = ranged.mapInArrow(_filter(width, df.sparkSession.sparkContext.broadcast(carried)), ranged.schema)
     helpers = ["__key", "__value", "__chunk"]
     # Rows without a value never match one another.

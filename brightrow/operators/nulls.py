@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from brightrow.columns import choose_numbers, choose_strings, map_columns, missing, present, ref
+from brightrow.columns import choose_numbers, choose_strings, known_number, map_columns, missing, present, ref
 
 # A literal map above this many entries is joined as a table instead.
 MAP_LITERAL_LIMIT = 500
@@ -15,27 +17,38 @@ MAP_LITERAL_LIMIT = 500
 def fill(df: DataFrame, value="", cols: Iterable[str] | None = None) -> DataFrame:
     """Fill missing values in columns of the value's own type family."""
     names = choose_strings(df, cols) if isinstance(value, str) else choose_numbers(df, cols)
-    return df.na.fill(value, subset=names) if names else df
+    return fill_map(df, dict.fromkeys(names, value))
 
 
 def fill_map(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    known = {c: v for c, v in values.items() if c in df.columns}
-    return df.na.fill(known) if known else df
+    """Fill missing values per column; NaN counts as missing, absent columns are ignored."""
+    updates = {
+        c: F.coalesce(known_number(df, c), F.lit(v).cast(df.schema[c].dataType))
+        for c, v in values.items()
+        if c in df.columns
+    }
+    return df.withColumns(updates) if updates else df
 
 
 def drop_null(df: DataFrame, subset: Iterable[str] | None = None) -> DataFrame:
-    names = None if subset is None else present(df, subset)
-    return df.dropna("any", subset=names)
+    """Drop rows with a missing value in any (chosen) column."""
+    keep = F.lit(True)
+    for c in df.columns if subset is None else present(df, subset):
+        keep = keep & ~missing(df, c)
+    return df.where(keep)
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
-    return df.dropna("all")
+    """Drop rows in which every value is missing."""
+    known = [~missing(df, c) for c in df.columns]
+    return df.where(reduce(or_, known)) if known else df
 
 
 def drop_missing(df: DataFrame, axis: str = "rows", thresh: int | None = None) -> DataFrame:
     """Drop rows or columns with fewer than ``thresh`` known values (default: all)."""
     if axis == "rows":
-        return df.dropna("any") if thresh is None else df.dropna(thresh=thresh)
+        need = len(df.columns) if thresh is None else thresh
+        return df.where(sum(((~missing(df, c)).cast("int") for c in df.columns), F.lit(0)) >= need)
     if axis != "columns":
         raise ValueError(f"axis must be rows or columns, not {axis!r}")
     known = [F.count_if(~missing(df, c)).alias(f"c{i}") for i, c in enumerate(df.columns)]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from brightrow.columns import ref
 from brightrow.operators.project import order_columns
-from brightrow.session import durable
+from brightrow.session import durable, is_small
 
 CHUNK = "__chunk"
 ROWS_PER_CHUNK = 2_000_000
@@ -27,22 +27,26 @@ def key_columns(by: Sequence[str]) -> list[Column]:
 
 
 def split_by_order(
-    df: DataFrame, by: Sequence[str], order_by: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, by: Sequence[str], order_by: Sequence[str], rows_per_chunk: int | None = None
 ) -> tuple[DataFrame, bool]:
     """Add ``__chunk``; the flag tells whether any key spans several chunks.
 
     The chunk is the range partition a row falls in, so it is written out once
-    (checkpoint) before use: ranges are sampled, and must not move between jobs.
+    before use: ranges are sampled, and must not move between jobs.
     """
-    largest, total = _largest_key(df, by)
-    if largest <= rows_per_chunk:
+    if rows_per_chunk is None and is_small(df):
         return df.withColumn(CHUNK, F.lit(0)), False
-    chunks = math.ceil(total / rows_per_chunk)
+    limit = rows_per_chunk or ROWS_PER_CHUNK
+    largest, total = largest_key(df, by)
+    if largest <= limit:
+        return df.withColumn(CHUNK, F.lit(0)), False
+    chunks = math.ceil(total / limit)
     ranged = df.repartitionByRange(chunks, *key_columns(by), *order_columns(order_by))
     return durable(ranged.withColumn(CHUNK, F.spark_partition_id())), True
 
 
-def _largest_key(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+def largest_key(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Rows of the most frequent key and of the whole table."""
     counts = df.groupBy(*key_columns(by)).agg(F.count(F.lit(1)).alias("n"))
     row = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     return row["largest"] or 0, row["total"] or 0
@@ -87,7 +91,7 @@ def numbered(
     by: Sequence[str],
     order_by: Sequence[str],
     name: str,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """1-based position of each row within its key, also for keys of any size."""
     parts, spread = split_by_order(df, by, order_by, rows_per_chunk)

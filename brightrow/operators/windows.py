@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from brightrow.columns import choose_numbers, known_number, present, ref
 from brightrow.operators.ordered import (
     CHUNK,
-    ROWS_PER_CHUNK,
     attach,
     chunk_sequence,
     chunk_summary,
@@ -25,7 +24,7 @@ def smooth(
     order_by: Sequence[str],
     window: int = 3,
     by: Sequence[str] = (),
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Mean of the last ``window`` rows, missing values left out, from the first row on."""
     names = [c for c in choose_numbers(df, cols) if c not in {*by, *order_by}]
@@ -77,7 +76,7 @@ def ffill(
     cols: Iterable[str] | None,
     order_by: Sequence[str],
     by: Sequence[str] = (),
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Fill each missing value with the last known one before it."""
     names = [c for c in (df.columns if cols is None else present(df, cols)) if c not in {*by, *order_by}]
@@ -110,7 +109,7 @@ def interpolate(
     cols: Iterable[str] | None,
     order_by: Sequence[str],
     by: Sequence[str] = (),
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Linear by row position: gaps are bridged, leading gaps stay, trailing ones hold the last value."""
     names = [c for c in choose_numbers(df, cols) if c not in {*by, *order_by}]
@@ -160,7 +159,7 @@ def interpolate(
 
 
 def enforce_unique(
-    df: DataFrame, col: str, order_by: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, col: str, order_by: Sequence[str], rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Append ``_1``, ``_2``... to every repeat of a value, in the given order."""
     if col not in df.columns:

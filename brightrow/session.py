@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,9 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def _setting(spark: SparkSession, key: str) -> str | None:
     return spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
 
@@ -43,12 +47,38 @@ def shared_folder(spark: SparkSession) -> str:
         return active.get()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="brightrow-checkpoint-")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="brightrow-")
+    return _LOCAL_FOLDERS[application]
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing ``df`` to the shared folder; survives lost executors."""
+    """Cut lineage by writing ``df`` as a table in the shared folder; survives lost executors.
+
+    The files go when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/brightrow-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def durable_partitions(df: DataFrame) -> DataFrame:
+    """As :func:`durable`, for data whose partitions and row order must stay as they are."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+# Inputs up to this size by the optimizer's estimate need no look at their largest key.
+SMALL_BYTES = 256 * 1024 * 1024
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer expects few bytes, as it does for a broadcast decision."""
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= SMALL_BYTES

@@ -11,6 +11,7 @@ from brightrow.columns import present, ref
 from brightrow.functions.dates import parse_timestamp
 from brightrow.functions.text import group_names, java_pattern, strip
 from brightrow.operators.nested import flatten, json_schema, last_repeated
+from brightrow.operators.nulls import fill_map
 
 Types = Mapping[str, str]
 
@@ -39,8 +40,7 @@ def enforce_schema(df: DataFrame, types: Types | None, strict: bool = True) -> D
 
 def read_clean(df: DataFrame, drop_duplicates: bool = True, fill: Mapping[str, object] | None = None) -> DataFrame:
     out = df.dropDuplicates() if drop_duplicates else df
-    known = {c: v for c, v in (fill or {}).items() if c in out.columns}
-    return out.na.fill(known) if known else out
+    return fill_map(out, fill or {})
 
 
 def read_csv(

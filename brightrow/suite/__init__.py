@@ -6,7 +6,7 @@ import importlib
 
 from brightrow.suite.registry import QUERIES, SQL
 
-MODULES = ("strings", "rows", "stats", "series", "duplicates", "checks", "questions", "files")
+MODULES = ("strings", "rows", "stats", "series", "duplicates", "checks", "questions", "files", "plans", "streams")
 
 for _name in MODULES:
     importlib.import_module(f"brightrow.suite.{_name}")

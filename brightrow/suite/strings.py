@@ -25,9 +25,13 @@ def nulled_events(spark, d):
     )
 
 
+def documents(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def padded_documents(spark, d):
     text = F.concat(F.lit(" \t"), F.col("text"), F.lit("\n  "))
-    return table(spark, d, "documents").select("doc_id", text.alias("text"), "lang")
+    return documents(spark, d).select("doc_id", text.alias("text"), "lang")
 
 
 PADDED = "(SELECT doc_id, concat(' ', chr(9), text, chr(10), '  ') AS text, lang FROM documents)"
@@ -40,7 +44,7 @@ def _(spark, d):
 
 @query("lowercase_text", "SELECT doc_id, md5(lower(text)) AS text, lower(source) AS source FROM documents")
 def _(spark, d):
-    out = strings.lower(table(spark, d, "documents"))
+    out = strings.lower(documents(spark, d))
     return out.select("doc_id", digest("text"), "source")
 
 
@@ -52,7 +56,7 @@ def _(spark, d):
 
 @query("squeeze_spaces", f"SELECT doc_id, md5(regexp_replace(text, '[{SQL_SPACE}]+', ' ', 'g')) AS text FROM documents")
 def _(spark, d):
-    return strings.squeeze(table(spark, d, "documents"), ["text"]).select("doc_id", digest("text"))
+    return strings.squeeze(documents(spark, d), ["text"]).select("doc_id", digest("text"))
 
 
 @query(
@@ -60,7 +64,7 @@ def _(spark, d):
     f"SELECT doc_id, md5(regexp_replace(text, '[^0-9a-zA-Z{SQL_SPACE}]', '', 'g')) AS text FROM documents",
 )
 def _(spark, d):
-    return strings.strip_special(table(spark, d, "documents"), ["text"]).select("doc_id", digest("text"))
+    return strings.strip_special(documents(spark, d), ["text"]).select("doc_id", digest("text"))
 
 
 @query(
