@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from brightrow.columns import present, ref
@@ -98,11 +99,12 @@ def read_avro(
     if avro_schema:
         reader = reader.option("avroSchema", avro_schema)
     try:
-        return enforce_schema(reader.load(path), schema)
-    except Exception as error:
-        if "avro" in str(error).lower() and "package" in str(error).lower() or "DATA_SOURCE" in str(error):
+        raw = reader.load(path)
+    except AnalysisException as error:
+        if "data source" in str(error) and "avro" in str(error).lower():
             raise RuntimeError("reading Avro needs the spark-avro package on the session") from error
         raise
+    return enforce_schema(raw, schema)
 
 
 def read_xml(

@@ -57,7 +57,8 @@ def export_files(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errori
     if fmt not in ("csv", "parquet", "json"):
         raise ValueError(f"unsupported export format {fmt!r}")
     writer = df.write.mode(mode).format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    # CSV with header, quotes inside values doubled.
+    (writer.option("header", True).option("escape", '"') if fmt == "csv" else writer).save(path)
 
 
 def stage(df: DataFrame, folder: str, name: str) -> str:
