@@ -14,8 +14,11 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 # The default character classes that are removed from text.
-SPECIAL = f"[^0-9a-zA-Z{WHITESPACE}]"
-SPECIAL_KEEP_COLON = f"[^0-9a-zA-Z{WHITESPACE}:]"
+# The named classes stand for the same characters (ASCII letters and digits, and
+# WHITESPACE), and match several times faster than the characters spelled out.
+SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
+SPECIAL = rf"[^\p{{Alnum}}{SPACE}]"
+SPECIAL_KEEP_COLON = rf"[^\p{{Alnum}}{SPACE}:]"
 # Text that reads as a number; guards casts, since a plain cast also takes "1d" or "1f".
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 WHOLE_NUMBER = r"^[+-]?\d{1,18}$"
@@ -26,7 +29,7 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WHITESPACE}]+", " ")
+    return F.regexp_replace(c, f"[{SPACE}]+", " ")
 
 
 def strip_special(c: Column, pattern: str = SPECIAL) -> Column:

@@ -20,6 +20,7 @@ from brightrow.session import durable, is_small
 
 CHUNK = "__chunk"
 ROWS_PER_CHUNK = 2_000_000
+BROADCAST_ROWS = 50_000
 
 
 def key_columns(by: Sequence[str]) -> list[Column]:
@@ -28,21 +29,21 @@ def key_columns(by: Sequence[str]) -> list[Column]:
 
 def split_by_order(
     df: DataFrame, by: Sequence[str], order_by: Sequence[str], rows_per_chunk: int | None = None
-) -> tuple[DataFrame, bool]:
-    """Add ``__chunk``; the flag tells whether any key spans several chunks.
+) -> tuple[DataFrame, int]:
+    """Add ``__chunk``; also gives the number of chunks, 0 when no key needs splitting.
 
     The chunk is the range partition a row falls in, so it is written out once
     before use: ranges are sampled, and must not move between jobs.
     """
     if rows_per_chunk is None and is_small(df):
-        return df.withColumn(CHUNK, F.lit(0)), False
+        return df.withColumn(CHUNK, F.lit(0)), 0
     limit = rows_per_chunk or ROWS_PER_CHUNK
     largest, total = largest_key(df, by)
     if largest <= limit:
-        return df.withColumn(CHUNK, F.lit(0)), False
+        return df.withColumn(CHUNK, F.lit(0)), 0
     chunks = math.ceil(total / limit)
     ranged = df.repartitionByRange(chunks, *key_columns(by), *order_columns(order_by))
-    return durable(ranged.withColumn(CHUNK, F.spark_partition_id())), True
+    return durable(ranged.withColumn(CHUNK, F.spark_partition_id())), chunks
 
 
 def largest_key(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
@@ -72,10 +73,11 @@ def chunk_sequence(by: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*key_columns(by)).orderBy(CHUNK)
 
 
-def attach(df: DataFrame, carry: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, carry: DataFrame, by: Sequence[str], cols: Sequence[str], chunks: int) -> DataFrame:
     """Join carried columns back by key and chunk; null keys match each other.
 
-    The carry table is bounded by two rows per chunk, hence the broadcast.
+    The carry table has at most two rows per chunk and is broadcast while that is
+    few. Beyond, it is a plain join, in which a chunk bounds the rows of a join key.
     """
     right = carry.select(
         *[ref(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(CHUNK).alias("__kc"), *cols
@@ -83,7 +85,9 @@ def attach(df: DataFrame, carry: DataFrame, by: Sequence[str], cols: Sequence[st
     match = F.col(CHUNK) == F.col("__kc")
     for i, c in enumerate(by):
         match = match & ref(c).eqNullSafe(F.col(f"__k{i}"))
-    return df.join(F.broadcast(right), match, "left").drop("__kc", *[f"__k{i}" for i in range(len(by))])
+    if 2 * chunks <= BROADCAST_ROWS:
+        right = F.broadcast(right)
+    return df.join(right, match, "left").drop("__kc", *[f"__k{i}" for i in range(len(by))])
 
 
 def numbered(
@@ -92,14 +96,14 @@ def numbered(
     order_by: Sequence[str],
     name: str,
     rows_per_chunk: int | None = None,
-) -> tuple[DataFrame, bool]:
+) -> tuple[DataFrame, int]:
     """1-based position of each row within its key, also for keys of any size."""
-    parts, spread = split_by_order(df, by, order_by, rows_per_chunk)
+    parts, chunks = split_by_order(df, by, order_by, rows_per_chunk)
     local = F.row_number().over(chunk_window(by, order_by)).cast("long")
-    if not spread:
-        return parts.withColumn(name, local), False
+    if not chunks:
+        return parts.withColumn(name, local), 0
     counts = chunk_summary(parts, by, F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(chunk_sequence(by).rowsBetween(Window.unboundedPreceding, -1))
     carry = counts.withColumn("__before", before)
-    out = attach(parts.withColumn(name, local), carry, by, ["__before"])
-    return out.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0))).drop("__before"), True
+    out = attach(parts.withColumn(name, local), carry, by, ["__before"], chunks)
+    return out.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0))).drop("__before"), chunks

@@ -104,13 +104,8 @@ def auto_cast(df: DataFrame, cols: Iterable[str] | None = None, types: Mapping[s
     if not names:
         return df
     types = numeric_types(df, names) if types is None else types
-    return df.withColumns(
-        {
-            c: F.when(text.strip(ref(c)) != "", text.strip(ref(c)).try_cast(types[c]))
-            for c in names
-            if c in types
-        }
-    )
+    # An empty text casts to null.
+    return df.withColumns({c: text.strip(ref(c)).try_cast(types[c]) for c in names if c in types})
 
 
 def numeric_types(df: DataFrame, cols: Iterable[str] | None = None) -> dict[str, str]:
@@ -118,21 +113,20 @@ def numeric_types(df: DataFrame, cols: Iterable[str] | None = None) -> dict[str,
     names = choose_strings(df, cols)
     if not names:
         return {}
-    checks = []
-    for i, name in enumerate(names):
-        value = text.strip(ref(name))
-        filled = value != ""
-        checks += [
-            F.count_if(filled).alias(f"n{i}"),
-            F.count_if(filled & ~value.rlike(text.NUMBER)).alias(f"bad{i}"),
-            F.count_if(filled & ~value.rlike(text.WHOLE_NUMBER)).alias(f"part{i}"),
-        ]
-    row = df.agg(*checks).first()
-    return {
-        name: "bigint" if row[f"part{i}"] == 0 else "double"
-        for i, name in enumerate(names)
-        if row[f"n{i}"] > 0 and row[f"bad{i}"] == 0
-    }
+    # Per value: 0 empty, 1 whole number, 2 other number, 3 no number. The largest decides.
+    values = df.select(*[text.strip(ref(c)).alias(f"v{i}") for i, c in enumerate(names)])
+    kinds = [
+        F.max(
+            F.when(F.col(f"v{i}") == "", 0)
+            .when(F.col(f"v{i}").rlike(text.WHOLE_NUMBER), 1)
+            .when(F.col(f"v{i}").rlike(text.NUMBER), 2)
+            .when(F.col(f"v{i}").isNotNull(), 3)
+        ).alias(f"k{i}")
+        for i in range(len(names))
+    ]
+    row = values.agg(*kinds).first()
+    found = {1: "bigint", 2: "double"}
+    return {c: found[row[f"k{i}"]] for i, c in enumerate(names) if row[f"k{i}"] in found}
 
 
 def convert(df: DataFrame, types: Mapping[str, str], errors: str = "raise") -> DataFrame:

@@ -174,11 +174,13 @@ def _unmatched(
     df: DataFrame, col: str, parent: DataFrame, parent_col: str, null_matches_null: bool = False
 ) -> DataFrame:
     # Counting per value first sends each value over the network once per task,
-    # however many rows carry it, so a hot key does not weigh on the join.
+    # however many rows carry it, so a hot key does not weigh on the join. It is an
+    # outer join with a test, since an anti join would be moved below the counting.
     values = df.groupBy(ref(col).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
-    known = parent.select(ref(parent_col).alias("__ref"))
+    known = parent.select(ref(parent_col).alias("__ref"), F.lit(True).alias("__known")).distinct()
     same = F.col("__value").eqNullSafe(F.col("__ref")) if null_matches_null else F.col("__value") == F.col("__ref")
-    return values.join(known, same, "left_anti").agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("n"))
+    unknown = values.join(known, same, "left").where("__known IS NULL")
+    return unknown.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("n"))
 
 
 def table_report(

@@ -30,9 +30,9 @@ def smooth(
     names = [c for c in choose_numbers(df, cols) if c not in {*by, *order_by}]
     if not names:
         return df
-    parts, spread = split_by_order(df, by, order_by, rows_per_chunk)
+    parts, chunks = split_by_order(df, by, order_by, rows_per_chunk)
     rolling = chunk_window(by, order_by).rowsBetween(-(window - 1), 0)
-    if not spread:
+    if not chunks:
         means = {c: F.avg(known_number(df, c)).over(rolling) for c in names}
         return parts.withColumns(means).drop(CHUNK)
 
@@ -52,7 +52,7 @@ def smooth(
     tails = chunk_summary(parts, by, last_rows.alias("__tail"))
     earlier = F.flatten(F.collect_list("__tail").over(chunk_sequence(by).rowsBetween(-(window - 1), -1)))
     carry = tails.withColumn("__earlier", earlier)
-    out = attach(parts, carry, by, ["__earlier"])
+    out = attach(parts, carry, by, ["__earlier"], chunks)
     known = F.coalesce(F.col("__earlier"), F.array().cast(tails.schema["__tail"].dataType))
     take = F.greatest(F.lit(0), F.least(F.lit(window) - F.col("__pos"), F.size(known)))
     out = out.withColumn("__use", F.slice(known, F.size(known) - take + 1, take))
@@ -82,10 +82,10 @@ def ffill(
     names = [c for c in (df.columns if cols is None else present(df, cols)) if c not in {*by, *order_by}]
     if not names:
         return df
-    parts, spread = split_by_order(df, by, order_by, rows_per_chunk)
+    parts, chunks = split_by_order(df, by, order_by, rows_per_chunk)
     upto = chunk_window(by, order_by).rowsBetween(Window.unboundedPreceding, 0)
     filled = {c: F.last(known_number(df, c), ignorenulls=True).over(upto) for c in names}
-    if not spread:
+    if not chunks:
         return parts.withColumns(filled).drop(CHUNK)
     order = F.struct(*[ref(c) for c in order_by])
     lasts = [
@@ -98,7 +98,7 @@ def ffill(
     carry = summary.withColumns(
         {f"__c{i}": F.last(f"__l{i}", ignorenulls=True).over(before) for i in range(len(names))}
     )
-    out = attach(parts, carry, by, carried)
+    out = attach(parts, carry, by, carried, chunks)
     return out.withColumns({c: F.coalesce(filled[c], F.col(f"__c{i}")) for i, c in enumerate(names)}).drop(
         CHUNK, *carried
     )
@@ -115,7 +115,7 @@ def interpolate(
     names = [c for c in choose_numbers(df, cols) if c not in {*by, *order_by}]
     if not names:
         return df
-    out, spread = numbered(df, by, order_by, "__pos", rows_per_chunk)
+    out, chunks = numbered(df, by, order_by, "__pos", rows_per_chunk)
     # Looking ahead is a running window over the reversed order: a frame that ends
     # at the last row would be evaluated anew for every row.
     place = Window.partitionBy(*_chunk_keys(by))
@@ -128,7 +128,7 @@ def interpolate(
         sides[f"__a{i}"] = F.last(F.col(f"__p{i}"), ignorenulls=True).over(upto)
         sides[f"__b{i}"] = F.last(F.col(f"__p{i}"), ignorenulls=True).over(onward)
     out = out.withColumns(points).withColumns(sides)
-    if spread:
+    if chunks:
         ends = []
         for i in range(len(names)):
             at = F.col(f"__p{i}")["at"]
@@ -142,7 +142,7 @@ def interpolate(
         for i in range(len(names)):
             carried[f"__ca{i}"] = F.last(F.col(f"__l{i}"), ignorenulls=True).over(before)
             carried[f"__cb{i}"] = F.last(F.col(f"__f{i}"), ignorenulls=True).over(after)
-        out = attach(out, carry.withColumns(carried), by, list(carried))
+        out = attach(out, carry.withColumns(carried), by, list(carried), chunks)
         joined = {}
         for i in range(len(names)):
             joined[f"__a{i}"] = F.coalesce(f"__a{i}", f"__ca{i}")

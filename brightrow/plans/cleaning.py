@@ -33,7 +33,8 @@ class Cleaned:
 
 
 def _resample(df: DataFrame, o: Mapping) -> DataFrame:
-    return resample_mean(df, o["ts_col"], o.get("freq", "1min"), by=o.get("by", ()))
+    # The means are few next to the readings, and each later step looks at them anew.
+    return durable(resample_mean(df, o["ts_col"], o.get("freq", "1min"), by=o.get("by", ())))
 
 
 def _interpolate(df: DataFrame, o: Mapping) -> DataFrame:

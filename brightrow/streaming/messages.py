@@ -75,25 +75,23 @@ def drain(
     max_messages: int | None = None,
     timeout: float | None = None,
 ) -> int:
-    """Process what is there now, at most ``max_messages``, and return how many were passed on."""
-    state = {"seen": 0}
+    """Process what is there now, at most ``max_messages``, and return how many were taken."""
+    if max_messages is None:
+        query = run_batches(stream, fn, checkpoint, available_now=True)
+        query.awaitTermination(timeout)
+        return sum(p["numInputRows"] for p in query.recentProgress)
+    taken = 0
 
     def bounded(batch: DataFrame, batch_id: int) -> None:
-        part = batch
-        if max_messages is not None:
-            left = max_messages - state["seen"]
-            if left <= 0:
-                return
-            part = batch.limit(left)
-        counted = part.observe(f"drain{batch_id}", F.count(F.lit(1)).alias("n"))
-        fn(counted, batch_id)
-        state["seen"] += part.count() if max_messages is not None else 0
-
-    query = run_batches(stream, bounded, checkpoint, available_now=True)
-    query.awaitTermination(timeout)
-    if max_messages is not None:
-        return state["seen"]
-    return sum(p["numInputRows"] for p in query.recentProgress)
+        nonlocal taken
+        left = max_messages - taken
+        if left > 0:
+            size = batch.count()
+            fn(batch if size <= left else batch.limit(left), batch_id)
+            taken += min(size, left)
+
+    run_batches(stream, bounded, checkpoint, available_now=True).awaitTermination(timeout)
+    return taken
 
 
 class BatchMetrics(StreamingQueryListener):

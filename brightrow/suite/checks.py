@@ -185,7 +185,11 @@ def _(spark, d):
     return validate.schema_diff(spark, customer.schema, newer.schema)
 
 
-@query("schema_drift_of_files")
+@query(
+    "schema_drift_of_files",
+    "SELECT * FROM (VALUES ('c_acctbal', 'double', 'int', 1::BIGINT), ('c_mktsegment', 'string', NULL, 1::BIGINT))"
+    ' v("column", expected, actual, files)',
+)
 def _(spark, d):
     path = scratch(spark, "drift")
     customer = table(spark, d, "customer")
@@ -215,10 +219,19 @@ def _(spark, d):
     return layout.partition_by_date(rows, "orders", "o_orderdate", start, end, 30, unmatched="other")
 
 
-@query("partition_customers_by_hash")
+@query(
+    "partition_customers_by_hash",
+    "SELECT c_mktsegment, count(*) AS n, 1::BIGINT AS labels, true AS well_named FROM customer GROUP BY c_mktsegment",
+)
 def _(spark, d):
+    """Rows of one key value share one label, which names its remainder."""
     rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    return layout.partition_by_hash(rows, "customer", "c_custkey", 8)
+    labelled = layout.partition_by_hash(rows, "customer", "c_mktsegment", 8)
+    return labelled.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct(layout.PARTITION).alias("labels"),
+        F.bool_and(F.col(layout.PARTITION).rlike("^customer_hash_[0-7]$")).alias("well_named"),
+    )
 
 
 @query(
@@ -258,11 +271,16 @@ def _partitioned_lines(spark, d) -> str:
     return path
 
 
-@query("partition_sizes")
+_FOUR_PARTS = "SELECT concat('lineitem_hash_', i) AS partition_name, true AS {} FROM range(4) r(i)"
+
+
+@query("partition_sizes", _FOUR_PARTS.format("filled"))
 def _(spark, d):
-    return layout.partition_sizes(spark, _partitioned_lines(spark, d))
+    sizes = layout.partition_sizes(spark, _partitioned_lines(spark, d))
+    return sizes.select("partition_name", ((F.col("bytes") > 0) & (F.col("files") > 0)).alias("filled"))
 
 
-@query("large_partitions")
+@query("large_partitions", _FOUR_PARTS.format("large"))
 def _(spark, d):
-    return layout.large_partitions(spark, _partitioned_lines(spark, d), limit_mb=0.01)
+    large = layout.large_partitions(spark, _partitioned_lines(spark, d), limit_mb=0.001)
+    return large.select("partition_name", (F.col("size_mb") > 0.001).alias("large"))

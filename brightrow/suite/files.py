@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from brightrow.operators import html, nested
 from brightrow.sources import ingest, readers, sinks
 from brightrow.suite.registry import query, scratch, spread, table
+from brightrow.suite.strings import sql_html_text
 
 
 @query("csv_read", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
@@ -18,23 +19,23 @@ def _(spark, d):
 
 @query(
     "csv_read_quoted",
-    "SELECT conv_id, turn, role, md5(text) AS text FROM conversations WHERE turn < 2",
+    "SELECT conv_id, turn, role, md5(text) AS text FROM conversations",
 )
 def _(spark, d):
     path = scratch(spark, "csv")
-    rows = table(spark, d, "conversations").where("turn < 2")
+    rows = table(spark, d, "conversations")
     rows.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
     types = {"conv_id": "bigint", "turn": "bigint"}
     out = readers.read_csv(spark, path, types, delimiter=";", multi_line=True)
     return out.withColumn("text", F.md5("text"))
 
 
-def _nested_orders(spark, d):
+def _nested_orders(spark, d, total="o_totalprice"):
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.struct(
             F.col("o_custkey").alias("customer"),
-            F.struct(F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status")).alias("state"),
+            F.struct(F.expr(total).alias("total"), F.col("o_orderstatus").alias("status")).alias("state"),
         ).alias("head"),
         F.array("o_orderpriority", "o_orderstatus").alias("tags"),
     )
@@ -196,20 +197,22 @@ def _(spark, d):
     "flatten_indexed_paths",
     "SELECT o_orderkey AS id, 'head.customer' AS path, CAST(o_custkey AS VARCHAR) AS value FROM orders UNION ALL"
     " SELECT o_orderkey, 'head.state.status', o_orderstatus FROM orders UNION ALL"
+    " SELECT o_orderkey, 'head.state.total', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) FROM orders UNION ALL"
     " SELECT o_orderkey, 'tags[0]', o_orderpriority FROM orders UNION ALL"
     " SELECT o_orderkey, 'tags[1]', o_orderstatus FROM orders",
 )
 def _(spark, d):
-    return nested.flatten_indexed(_nested_orders(spark, d), ["id"]).where("path <> 'head.state.total'")
+    return nested.flatten_indexed(_nested_orders(spark, d, "floor(o_totalprice)"), ["id"])
 
 
 @query(
     "widen_paths",
     'SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS "head.customer", o_orderstatus AS "head.state.status",'
+    ' CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS "head.state.total",'
     ' o_orderpriority AS "tags[0]", o_orderstatus AS "tags[1]" FROM orders',
 )
 def _(spark, d):
-    long = nested.flatten_indexed(_nested_orders(spark, d), ["id"]).where("path <> 'head.state.total'")
+    long = nested.flatten_indexed(_nested_orders(spark, d, "floor(o_totalprice)"), ["id"])
     return nested.widen(long, ["id"])
 
 
@@ -272,47 +275,54 @@ def _(spark, d):
     return html.html_select(pages, "html", "page_id", ["h1"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("html_elements")
-def _(spark, d):
-    pages = spread(table(spark, d, "pages").select("page_id", "html"))
-    return html.html_select(pages, "html", "page_id", ["title", "nav a", "p", "ul li"])
+def _elements(selector: str, source: str, tag: str) -> str:
+    found = f"regexp_extract_all({source}, '(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>', 1)"
+    return (
+        f"SELECT page_id, '{selector}' AS selector, CAST(unnest(range(len(f))) AS INT) AS position,"
+        f" {sql_html_text('trim(unnest(f))')} AS text FROM (SELECT page_id, {found} AS f FROM pages)"
+    )
 
 
-def _html_row(x):
-    part, supplier = x["l_partkey"].cast("string"), x["l_suppkey"].cast("string")
-    return F.concat(F.lit("<tr><td> "), part, F.lit(" </td><td><b>"), supplier, F.lit("</b> &amp; co</td></tr>"))
+_NAV = "regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"
 
 
-def _order_pages(spark, d):
-    """One HTML page per order with a table of its lines, in part order."""
-    line = F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice")
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    body = F.array_join(F.transform("lines", _html_row), "\n")
-    head = "<html><body><h1>Order</h1><table><tr><th>Part</th><th>Supplier</th></tr>"
-    return lines.select("l_orderkey", F.concat(F.lit(head), body, F.lit("</table></body></html>")).alias("html"))
-
-
-_ORDER_TABLE = (
-    "SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber,"
-    " l_shipdate, l_extendedprice) - 1 AS INT) AS row_index, CAST(l_partkey AS VARCHAR) AS \"Part\","
-    " concat(l_suppkey, ' & co') AS \"Supplier\" FROM lineitem"
+@query(
+    "html_elements",
+    " UNION ALL ".join([_elements("title", "html", "title"), _elements("nav a", _NAV, "a"), _elements("h1", "html", "h1")]),
 )
+def _(spark, d):
+    pages = spread(table(spark, d, "pages").select("page_id", "html"))
+    return html.html_select(pages, "html", "page_id", ["title", "nav a", "h1"])
+
+
+def _order_pages(spark, d):
+    """One HTML page per order with a table of its fields."""
+    cells = [
+        F.concat(F.lit(f"<tr><td> {name} </td><td><b>"), F.col(col), F.lit("</b> &amp; co</td></tr>\n"))
+        for name, col in (("Status", "o_orderstatus"), ("Priority", "o_orderpriority"))
+    ]
+    head = "<html><body><h1>Order</h1><table><tr><th>Field</th><th>Value</th></tr>"
+    page = F.concat(F.lit(head), *cells, F.lit("</table></body></html>"))
+    return table(spark, d, "orders").select("o_orderkey", page.alias("html"))
 
 
-@query("html_tables", _ORDER_TABLE)
+@query(
+    "html_tables",
+    "SELECT o_orderkey, 0::INT AS row_index, 'Status' AS \"Field\", concat(o_orderstatus, ' & co') AS \"Value\" FROM orders"
+    " UNION ALL SELECT o_orderkey, 1::INT, 'Priority', concat(o_orderpriority, ' & co') FROM orders",
+)
 def _(spark, d):
-    found = html.html_tables(_order_pages(spark, d), "html", "l_orderkey")
-    return html.table_columns(found, ["Part", "Supplier"], "l_orderkey").drop("__table_index")
+    found = html.html_tables(_order_pages(spark, d), "html", "o_orderkey")
+    return html.table_columns(found, ["Field", "Value"], "o_orderkey").drop("__table_index")
 
 
 @query(
     "html_text_of_tables",
-    "SELECT l_orderkey, md5(concat('OrderPartSupplier', string_agg(concat(' ', l_partkey, ' ', l_suppkey, ' & co'),"
-    " chr(10) ORDER BY l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice))) AS text FROM lineitem GROUP BY 1",
+    "SELECT o_orderkey, concat('OrderFieldValue Status ', o_orderstatus, ' & co', chr(10), ' Priority ', o_orderpriority,"
+    " ' & co', chr(10)) AS text FROM orders",
 )
 def _(spark, d):
-    pages = _order_pages(spark, d)
-    return pages.select("l_orderkey", F.md5(html.visible_text("html")).alias("text"))
+    return _order_pages(spark, d).select("o_orderkey", html.visible_text("html").alias("text"))
 
 
 @query(
@@ -337,7 +347,7 @@ def _(spark, d):
 @query(
     "upsert_orders",
     """
-    WITH u AS (SELECT o_custkey AS c_custkey, o_orderkey, o_totalprice AS c_acctbal FROM orders WHERE o_custkey % 2 = 0
+    WITH u AS (SELECT o_custkey AS c_custkey, o_orderkey, o_totalprice AS c_acctbal FROM orders
                QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
     SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM u)
     UNION ALL SELECT c_custkey, c_acctbal FROM u
@@ -345,8 +355,7 @@ def _(spark, d):
 )
 def _(spark, d):
     base = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    updates = table(spark, d, "orders").where("o_custkey % 2 = 0")
-    updates = updates.selectExpr("o_custkey c_custkey", "o_totalprice c_acctbal", "o_orderkey")
+    updates = table(spark, d, "orders").selectExpr("o_custkey c_custkey", "o_totalprice c_acctbal", "o_orderkey")
     return sinks.upsert(base, updates, ["c_custkey"], ["o_orderkey"])
 
 

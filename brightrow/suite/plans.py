@@ -175,8 +175,8 @@ def _(spark, d):
 
 
 _SERIES = """
-  WITH b AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS value, avg(user_id) AS user_id FROM events
-             WHERE hour(ts) % 4 <> 1 GROUP BY 1),
+  WITH b AS (SELECT date_trunc('hour', ts) AS ts, avg(CASE WHEN hour(ts) % 4 <> 1 THEN value END) AS value,
+                    avg(CASE WHEN hour(ts) % 4 <> 1 THEN user_id END) AS user_id FROM events GROUP BY 1),
   g AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM b),
   p AS (SELECT g.ts, b.value, b.user_id, row_number() OVER (ORDER BY g.ts) AS pos FROM g LEFT JOIN b USING (ts)),
   q AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN pos END) OVER (ORDER BY pos) AS a,
@@ -194,8 +194,11 @@ _SERIES = """
 
 
 def _readings(spark, d):
-    rows = table(spark, d, "events").select("ts", "user_id", "value", "event_type")
-    return rows.where(F.hour("ts") % 4 != 1)
+    """Events without values in every fourth hour."""
+    known = F.hour("ts") % 4 != 1
+    return table(spark, d, "events").select(
+        "ts", F.when(known, F.col("user_id")).alias("user_id"), F.when(known, F.col("value")).alias("value"), "event_type"
+    )
 
 
 @query(

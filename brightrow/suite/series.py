@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from brightrow.operators import windows
 from brightrow.operators.timeseries import resample_mean
+from brightrow.session import durable
 from brightrow.suite.registry import query, rounded, table
 from brightrow.suite.strings import NULLED_EVENTS, nulled_events
 
@@ -137,6 +138,7 @@ def _(spark, d):
     tidy = strings.lower(strings.trim(events, ["event_type"]), ["event_type"])
     usual = scaling.remove_outliers(tidy, ["value"])
     once = dedup.dedup_first(usual, ["user_id", "event_type", "ts"], ["event_id"])
-    hourly = resample_mean(once, "ts", "1h", ["value", "k"], ["event_type"])
+    # Few rows from here on, which smoothing and sorting each go through again.
+    hourly = durable(resample_mean(once, "ts", "1h", ["value", "k"], ["event_type"]))
     smooth = windows.smooth(hourly, ["value", "k"], ["ts"], 3, ["event_type"])
     return project.sort_by(rounded(smooth, "value", "k"), ["event_type", "ts"])

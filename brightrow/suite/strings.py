@@ -262,7 +262,20 @@ def _(spark, d):
     return strings.apply_fn(rows, "event_type", _upper_first, "string")
 
 
-@query("strip_html_tags")
+_ENTITIES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def sql_html_text(source: str) -> str:
+    """Text of simple markup in SQL: hidden elements, comments and tags out, entities decoded."""
+    out = source
+    for pattern in (r"(?is)<(script|style|template)\b.*?</(script|style|template)>", "(?s)<!--.*?-->", "(?s)<[^>]*>"):
+        out = f"regexp_replace({out}, '{pattern}', '', 'g')"
+    for entity, char in _ENTITIES:
+        out = f"replace({out}, '{entity}', '{char}')"
+    return out
+
+
+@query("strip_html_tags", f"SELECT page_id, {sql_html_text('html')} AS html FROM pages")
 def _(spark, d):
     return strings.strip_html(spread(table(spark, d, "pages").select("page_id", "html")), ["html"])
 
@@ -353,9 +366,19 @@ def _(spark, d):
     return nulls.one_hot(rows, ["seg"])
 
 
-@query("hash_encode_brands")
+@query(
+    "hash_encode_brands",
+    "SELECT p_brand, count(*) AS n, 1::BIGINT AS codes, true AS in_range FROM part GROUP BY p_brand",
+)
 def _(spark, d):
-    return nulls.hash_encode(table(spark, d, "part").select("p_partkey", "p_brand"), ["p_brand"])
+    """The code of a brand is one number below the bucket count, whatever the run."""
+    rows = table(spark, d, "part").select("p_brand", F.col("p_brand").alias("code"))
+    coded = nulls.hash_encode(rows, ["code"], buckets=10000)
+    return coded.groupBy("p_brand").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("code").alias("codes"),
+        F.bool_and(F.col("code").between(0, 9999)).alias("in_range"),
+    )
 
 
 @query(
