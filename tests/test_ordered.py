@@ -121,7 +121,7 @@ def same(spark_df, want, col="v"):
             assert got[i] == pytest.approx(v)
 
 
-@pytest.mark.parametrize("chunk", [None, 1, 6, 50])
+@pytest.mark.parametrize("chunk", [None, 9, 50])
 @pytest.mark.parametrize("by", [[], ["k"]])
 def test_windows_match_pandas(spark, chunk, by):
     frame = readings(2, 200)
