@@ -277,8 +277,8 @@ _MEDIA_NAME = "upper(regexp_replace(concat(p_name, '_', p_partkey, '.mp4'), '[^0
     "plan_video",
     _within(
         f"SELECT {_MEDIA_NAME} AS filename, concat(p_size * 16, p_size * 9) AS resolution,"
-        " (p_size * 60 + 30)::DOUBLE AS duration, p_size::BIGINT AS frame_rate, p_partkey AS seq FROM part"
-        " WHERE p_partkey % 5 <> 0",
+        " (p_size * 60 + 30)::DOUBLE AS duration, CASE WHEN p_partkey % 5 <> 0 THEN p_size::BIGINT END AS frame_rate,"
+        " p_partkey AS seq FROM part",
         ["duration", "frame_rate"],
         1.5,
     )
