@@ -195,7 +195,7 @@ def _(spark, d):
     """,
 )
 def _(spark, d):
-    rows = table(spark, d, "lineitem").select(
+    rows = spread(table(spark, d, "lineitem")).select(
         "l_orderkey",
         "l_partkey",
         "l_suppkey",
