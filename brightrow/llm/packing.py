@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import unicodedata
 import zlib
 from collections import deque
 from functools import cache
@@ -35,13 +37,30 @@ from brightrow.session import durable
 CAPACITY = 2048
 END_ID = 0
 ROWS_PER_BUCKET = 200_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
+
+
+# Signs after a letter and before white space are a pre-token of their own.
+_SIGNS = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=[ \t\n\r])")
+# Pre-tokens of an ASCII word in lower case, as the vocabulary's pattern cuts it.
+_ASCII_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
+WORDS_AT_ONCE = 100
+
+
+def _parts(word: str) -> int:
+    """Number of pre-tokens, or 0 where it is not plain."""
+    if word.isalpha():
+        return int("İ" not in word and unicodedata.is_normalized("NFC", word))
+    return len(_ASCII_PARTS.findall(word.lower())) if word.isascii() and "<|" not in word else 0
 
 
 class Vocabulary:
-    """Ids of a text by a tokenizer that never looks across ASCII white space.
+    """Ids of a text by a tokenizer that ignores case and never looks across white space.
 
     Each distinct word is encoded once and kept; the store is emptied when it is full.
+    New words are encoded many at a time and cut apart by their number of pre-tokens,
+    each of which ends in a token with the vocabulary's word end; words whose number is
+    not plain, or a group whose numbers do not add up, are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -49,6 +68,9 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.zeros(size, dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -59,18 +81,39 @@ class Vocabulary:
         self.sizes: list[int] = []
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for word, got in zip(words, found):
-            ids = got.ids
-            if self.used + len(ids) > len(self.flat):
-                grown = np.empty(max(2 * len(self.flat), self.used + len(ids)), dtype=np.uint32)
-                grown[: self.used] = self.flat[: self.used]
-                self.flat = grown
-            self.flat[self.used : self.used + len(ids)] = ids
+        decoded = [w.decode("utf-8", "replace") for w in words]
+        parts = list(map(_parts, decoded))
+        plain = [i for i, n in enumerate(parts) if n]
+        single = [i for i, n in enumerate(parts) if not n]
+        chunks = [plain[i : i + WORDS_AT_ONCE] for i in range(0, len(plain), WORDS_AT_ONCE)]
+        found = self._ids([" ".join([decoded[i] for i in chunk]) for chunk in chunks])
+        for chunk, ids in zip(chunks, found):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            upto = np.cumsum([parts[i] for i in chunk])
+            if len(ends) != upto[-1]:
+                single += chunk
+                continue
+            self._keep([words[i] for i in chunk], ids, ends[upto - 1])
+        for i, ids in zip(single, self._ids([decoded[i] for i in single])):
+            self._keep([words[i]], ids, [len(ids)])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype=np.uint32) for x in found]
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, ends) -> None:
+        if self.used + len(ids) > len(self.flat):
+            grown = np.empty(max(2 * len(self.flat), self.used + len(ids)), dtype=np.uint32)
+            grown[: self.used] = self.flat[: self.used]
+            self.flat = grown
+        self.flat[self.used : self.used + len(ids)] = ids
+        begin = 0
+        for word, end in zip(words, ends):
             self.places[word] = len(self.starts)
-            self.starts.append(self.used)
-            self.sizes.append(len(ids))
-            self.used += len(ids)
+            self.starts.append(self.used + begin)
+            self.sizes.append(int(end) - begin)
+            begin = int(end)
+        self.used += len(ids)
 
     def _look_up(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.places.get, words, repeat(-1)), dtype=np.int64, count=len(words))
@@ -81,7 +124,7 @@ class Vocabulary:
         for low, high in groups(texts):
             if len(self.places) > CACHED_WORDS:
                 self._clear()
-            words = [t.split() for t in texts[low:high]]
+            words = [_split(t) for t in texts[low:high]]
             found = [self._look_up(own) for own in words]
             missing = {own[i] for own, at in zip(words, found) for i in np.flatnonzero(at < 0).tolist()}
             if missing:
@@ -94,6 +137,11 @@ class Vocabulary:
         return out
 
 
+def _split(text: bytes) -> list[bytes]:
+    # Special strings keep their case, which tells them from ordinary text.
+    return text.split() if b"<|" in text else _SIGNS.sub(rb" \1", text.lower()).split()
+
+
 @cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
