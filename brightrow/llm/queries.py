@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brightrow.llm import decontaminate, langid, licenses, packing, secrets, simhash, tokens
+from brightrow.llm import (
+    decontaminate,
+    embeddings,
+    katz,
+    langid,
+    licenses,
+    packing,
+    secrets,
+    simhash,
+    suffix,
+    tokens,
+)
 from brightrow.llm.common import pick, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +75,21 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op7_embedding_pivots")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op8_repeated_strings")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, folder, "documents"))
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_katz_backoff")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score_texts(table(spark, folder, "documents"), remainder(F.col("doc_id"), 7) == 2)
