@@ -35,6 +35,7 @@ LEAST = 24
 MOST_STATES = 6_000
 SAMPLE_DOCUMENTS = 300
 SAMPLE_BYTES = 8_000
+SHARES = 64
 
 
 class Model:
@@ -137,13 +138,19 @@ def _shares(tree: dict[bytes, Counter], context: bytes, kept: set[bytes]) -> np.
 def train(df: DataFrame, language: str = "lang", text: str = "text", by: str = "doc_id") -> Model:
     """Fit on the rows with a language and a text; see the module on the sample."""
     rows = pick(df, by, language, text).where(F.col(language).isNotNull() & (F.length(text) > 0))
-    order = F.xxhash64(F.col(by).cast("string"), F.lit("sample"))
-    first = Window.partitionBy(language).orderBy(order, F.col(by), F.col("_part"))
+    hashed = F.xxhash64(F.col(by).cast("string"), F.lit("sample"))
+    order = (F.col("_hash"), F.col(by), F.col("_part"))
+    first = Window.partitionBy(language, "_share").orderBy(*order)
+    final = Window.partitionBy(language).orderBy(*order)
     part = F.substring(F.col(text), 1, SAMPLE_BYTES)
     chosen = (
-        rows.select(language, by, part.alias("_part"))
+        rows.select(language, by, part.alias("_part"), hashed.alias("_hash"))
+        # A language may hold most rows: it is thinned in shares first.
+        .withColumn("_share", F.pmod("_hash", F.lit(SHARES)))
         .withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") <= SAMPLE_DOCUMENTS)
+        .withColumn("_rank", F.row_number().over(final))
+        .where(F.col("_rank") <= SAMPLE_DOCUMENTS)
         .select(language, "_part")
         .collect()
     )
