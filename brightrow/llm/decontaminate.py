@@ -80,33 +80,49 @@ def _joined(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner
     return large.join(F.broadcast(small) if few else small, on, how)
 
 
-def find_contaminated(
-    documents: DataFrame, benchmark: DataFrame, text: str = "text", by: str = "doc_id", item: str = "item_id"
-) -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items (sorted texts of ids) and contaminated."""
-    key = F.md5(F.concat(F.coalesce(F.col(by).cast("string"), F.lit("none")), F.lit(" "), F.col(text)))
-    docs = pick(documents, by, text).withColumn("_key", F.coalesce(key, F.lit("none")))
-    split = docs.withColumn("_words", words(F.col(text)))
+def _key(by: Column, text: Column) -> Column:
+    """Name of a row by id and text; null texts share one, which never has a hit."""
+    return F.coalesce(F.md5(F.concat(F.coalesce(by.cast("string"), F.lit("none")), F.lit(" "), text)), F.lit("none"))
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, text: str, item: str) -> DataFrame:
+    """Windows of items in the documents (``_key``, text): ``_key``, place, size and items."""
     items = durable(
         pick(benchmark, item, text).select(
             F.col(item).cast("string").alias("_item"), words(F.col(text)).alias("_words")
         )
     )
+    split = docs.select("_key", words(F.col(text)).alias("_words"))
     long = items.where(F.size("_words") >= SPAN)
-    marks = durable(_kept(long, "_words").select(F.explode_outer("_kept").alias("_mark")).distinct())
     # The outer form keeps Spark from repeating the whole expression in a filter below.
+    marks = durable(_kept(long, "_words").select(F.explode_outer("_kept").alias("_mark")).distinct())
     offered = _kept(split, "_words").select("_key", F.explode_outer("_kept").alias("_mark"))
-    candidates = durable(
-        _joined(offered, marks, ["_mark"], "leftsemi")
-        .select("_key")
-        .distinct()
-    )
-    near = docs.join(candidates, "_key", "leftsemi").dropDuplicates(["_key"])
+    candidates = durable(_joined(offered, marks, ["_mark"], "leftsemi").select("_key").distinct())
+    near = docs.select("_key", text).join(candidates, "_key", "leftsemi").dropDuplicates(["_key"])
     found = [_hits(near.select("_key", words(F.col(text)).alias("_words")), long, SPAN)]
-    short = [r[0] for r in items.select(F.size("_words")).where(F.size("_words").between(1, SPAN - 1)).distinct().collect()]
-    for size in sorted(short):
-        found.append(_hits(split.select("_key", "_words"), items.where(F.size("_words") == size), size))
-    hits = durable(reduce(DataFrame.unionByName, found))
+    size = F.size("_words")
+    short = items.select(size.alias("n")).where("n > 0").where(F.col("n") < SPAN).distinct().collect()
+    found += [_hits(split, items.where(size == n), n) for n in sorted(r["n"] for r in short)]
+    return durable(reduce(DataFrame.unionByName, found))
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame:
+    """The documents, all columns, without those that hold a window of an item."""
+    names = documents.columns
+    plain = documents.toDF(*[f"_{i}" for i in range(len(names))])
+    body = f"_{names.index(text)}"
+    keyed = plain.withColumn("_key", _key(F.col(f"_{names.index(by)}"), F.col(body)))
+    hits = _find(keyed.select("_key", F.col(body).alias(text)), benchmark, text, "item_id")
+    dirty = durable(hits.select("_key").distinct())
+    return keyed.join(dirty, "_key", "leftanti").drop("_key").toDF(*names)
+
+
+def find_contaminated(
+    documents: DataFrame, benchmark: DataFrame, text: str = "text", by: str = "doc_id", item: str = "item_id"
+) -> DataFrame:
+    """Per document: id, n_words, n_hit, n_items, items (sorted texts of ids) and contaminated."""
+    docs = pick(documents, by, text).withColumn("_key", _key(F.col(by), F.col(text)))
+    hits = _find(docs, benchmark, text, item)
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("_at", "_size"))),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("total")),
@@ -123,7 +139,7 @@ def find_contaminated(
         .agg(F.array_sort(F.collect_set("_item")).alias("items"))
     )
     results = durable(per_key.join(listed, "_key", "left"))
-    sizes = split.select(by, "_key", F.size("_words").cast("long").alias("n_words"))
+    sizes = docs.select(by, "_key", F.size(words(F.col(text))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return sizes.join(results, "_key", "left").select(
         by,

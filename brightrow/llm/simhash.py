@@ -123,6 +123,25 @@ def _three_apart(nodes: DataFrame) -> DataFrame:
     return met.select("left", "right").distinct()
 
 
+def keep_one(df: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame:
+    """One row of each component, all columns: that of the smallest id, then text digest, null ids last.
+
+    Of rows equal in id and text one stays.
+    """
+    names = df.columns
+    plain = df.toDF(*[f"_{i}" for i in range(len(names))])
+    id_, body = F.col(f"_{names.index(by)}"), F.col(f"_{names.index(text)}")
+    none = F.lit("none")
+    key = F.md5(F.concat_ws(" ", F.coalesce(id_.cast("string"), none), F.coalesce(F.md5(body), none)))
+    keyed = plain.withColumn("_key", key)
+    rows = durable(fingerprints(keyed.select(id_.alias("id"), "_key", body.alias("text")), "text", ("id", "_key")))
+    groups = durable(linked(rows.select("fp").distinct()))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "_key")
+    stay = rows.join(groups, "fp").groupBy("component").agg(F.min(order).alias("first")).select("first._key")
+    kept = keyed.join(durable(stay), "_key", "leftsemi").dropDuplicates(["_key"])
+    return kept.drop("_key").toDF(*names)
+
+
 def near_duplicates(df: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame:
     """Per row: its id, fingerprint (16 hex digits) and the smallest id of its component."""
     rows = durable(fingerprints(df, text, (by,)))
