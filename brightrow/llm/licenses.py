@@ -105,7 +105,8 @@ SINGLE = (
 )
 # Forms a family's name stands in: expression, whether it takes a version, priority, score.
 FORMS = (
-    (r"spdx license identifier {short}(?: {version})?(?: only| or later)?", True, 90, 1.0),
+    (r"spdx license identifier {short} {version}(?: only| or later)?", True, 90, 1.0),
+    (r"spdx license identifier {short}(?: only| or later)?", False, 88, 1.0),
     (r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}(?: public)? licen[cs]e (?:version |v)?{version}", True, 80, 1.0),
     (r"{name}(?: public)? licen[cs]e (?:version |v)?{version}", True, 70, 0.95),
     (r"{short} v?{version}", True, 60, 0.8),
