@@ -15,8 +15,12 @@ BATCH_BYTES = 32 * 1024 * 1024
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, found by exact name; other columns may share a name in another case or repeat it."""
     places = [df.columns.index(n) for n in names]
-    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"_{i}").alias(n) for i, n in zip(places, names)])
+    return numbered_columns(df).select(*[F.col(f"_{i}").alias(n) for i, n in zip(places, names)])
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """All columns, renamed to ``_0``, ``_1``, ... so that no name clashes."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brightrow.llm.common import pick
+from brightrow.llm.common import numbered_columns, pick
 from brightrow.session import durable
 
 SPAN = 10
@@ -109,7 +109,7 @@ def _find(docs: DataFrame, benchmark: DataFrame, text: str, item: str) -> DataFr
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame:
     """The documents, all columns, without those that hold a window of an item."""
     names = documents.columns
-    plain = documents.toDF(*[f"_{i}" for i in range(len(names))])
+    plain = numbered_columns(documents)
     body = f"_{names.index(text)}"
     keyed = plain.withColumn("_key", _key(F.col(f"_{names.index(by)}"), F.col(body)))
     hits = _find(keyed.select("_key", F.col(body).alias(text)), benchmark, text, "item_id")

@@ -63,7 +63,7 @@ class Model:
                 table[state, k] = self.states[after] * self.width
             for j, tree in enumerate(counts):
                 cost[state, :, j] = -np.log2(_shares(tree, context, kept))[[m[0] for m in classes]]
-        self.table, self.cost = table.ravel(), cost.reshape(-1, len(self.languages))
+        self.table, self.cost = table.ravel(), cost.reshape(len(self.states) * self.width, len(self.languages))
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""

@@ -21,7 +21,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from brightrow.llm.common import annotate
+from brightrow.llm.common import annotate, numbered_columns
 from brightrow.llm.components import components
 from brightrow.session import durable
 
@@ -129,7 +129,7 @@ def keep_one(df: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame
     Of rows equal in id and text one stays.
     """
     names = df.columns
-    plain = df.toDF(*[f"_{i}" for i in range(len(names))])
+    plain = numbered_columns(df)
     id_, body = F.col(f"_{names.index(by)}"), F.col(f"_{names.index(text)}")
     none = F.lit("none")
     key = F.md5(F.concat_ws(" ", F.coalesce(id_.cast("string"), none), F.coalesce(F.md5(body), none)))

@@ -14,15 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brightrow.llm import decontaminate, langid, packing, secrets, simhash
-from brightrow.llm.common import remainder
+from brightrow.llm.common import numbered_columns, pick, remainder
 from brightrow.llm.queries import vocabulary
 from brightrow.session import durable
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.train(docs.where(remainder(F.col("doc_id"), 4) != 2))
-    found = langid.identify(docs, model, keep=tuple(docs.columns))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    model = langid.train(pick(docs, "doc_id", "text", "lang").where(remainder(F.col("doc_id"), 4) != 2))
+    plain = numbered_columns(docs)
+    found = langid.identify(plain, model, f"_{docs.columns.index('text')}", tuple(plain.columns))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +35,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c != "text")
-    found = secrets.redact_secrets(docs, keep=others)
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    plain = numbered_columns(docs)
+    text, size = (f"_{docs.columns.index(c)}" for c in ("text", "n_chars"))
+    found = secrets.redact_secrets(plain, text, tuple(c for c in plain.columns if c != text))
+    found = found.withColumn(size, F.length(text).cast("long"))
+    return found.select(*plain.columns).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
