@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-BATCH_ROWS = 2_000
-BATCH_BYTES = 32 * 1024 * 1024
+BATCH_ROWS = 1_000
+BATCH_BYTES = 16 * 1024 * 1024
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -96,7 +96,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
 
 
-def groups(texts: Sequence[bytes], most: int = 4 * 1024 * 1024) -> Iterator[tuple[int, int]]:
+def groups(texts: Sequence[bytes], most: int = 1024 * 1024) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together; a longer text stands alone."""
     begin, size = 0, 0
     for i, text in enumerate(texts):

@@ -42,10 +42,10 @@ from brightrow.session import durable
 LENGTH = 100
 GRAM = 32
 WIDE = LENGTH - GRAM + 1
-BLOCK_BYTES = 12_000_000
-PIECE_BYTES = 2_000_000
-SHARD_BYTES = 16_000_000
-JOINED_BYTES = 1_500_000
+BLOCK_BYTES = 5_000_000
+PIECE_BYTES = 1_000_000
+SHARD_BYTES = 12_000_000
+JOINED_BYTES = 1_000_000
 HOT = 50_000
 MOST_SHARDS = 65_536
 SEPARATOR = 0xFF  # never a byte of UTF-8
