@@ -65,7 +65,6 @@ PII_PATTERNS = {
     # A character class in place of a repeated alternation, which overflows Java's stack.
     "EMAIL": r"\b[\w.\-]+@[\w\-]+\.\w+\b",
 }
-MAX_HITS = 50
 
 # Tokens are words, possibly with an apostrophe, or numbers.
 TOKEN = r"[A-Za-z_]+(?:'[A-Za-z]+)?|\d+(?:\.\d+)?"
@@ -117,8 +116,8 @@ def domain(low: Column) -> Column:
     return out
 
 
-def pii_hits(c: Column, most: int | None = MAX_HITS) -> Column:
-    """Array of (match, label) in the original text; a match may carry several labels."""
+def pii_hits(c: Column, most: int | None = None) -> Column:
+    """Array of (match, label) in the original text, all or the first ``most``; a match may carry several labels."""
     found = []
     for label, pattern in PII_PATTERNS.items():
         matches = F.regexp_extract_all(c, F.lit("(?U)" + pattern), F.lit(0))

@@ -21,7 +21,7 @@ SPECIAL = rf"[^\p{{Alnum}}{SPACE}]"
 SPECIAL_KEEP_COLON = rf"[^\p{{Alnum}}{SPACE}:]"
 # Text that reads as a number; guards casts, since a plain cast also takes "1d" or "1f".
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-WHOLE_NUMBER = r"^[+-]?\d{1,18}$"
+WHOLE_NUMBER = r"^[+-]?\d{1,38}$"
 
 
 def strip(c: Column) -> Column:

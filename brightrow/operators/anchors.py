@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brightrow.columns import known_number, ref
 from brightrow.operators.ordered import largest_key
 from brightrow.operators.project import order_columns
-from brightrow.session import durable, durable_partitions, is_small
+from brightrow.session import durable, durable_partitions
 
 FAN_IN = 16
 ROWS_PER_CHUNK = 500_000
@@ -74,8 +74,7 @@ def _thin(
     known = rows.where("__value is not null")
     order = [F.col("__key"), F.col("__value"), *order_columns(order_by)]
     limit = rows_per_chunk or ROWS_PER_CHUNK
-    small = rows_per_chunk is None and is_small(df)
-    largest, total = (0, 0) if small else largest_key(known, ["__key"])
+    largest, total = largest_key(known, ["__key"])
     if largest <= limit:
         # Every key fits a task: whole keys per partition, nothing to carry.
         placed = known.withColumn("__chunk", F.lit(0).cast("long")).repartition("__key")
@@ -253,18 +252,21 @@ def _filter(width: float, carried):
             new_key[0] = keys[0].as_py() != key
             if len(values) > 1:
                 new_key[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
-            # A row further than the width from its neighbour always stays.
-            keep = new_key.copy()
-            keep[1:] |= np.diff(values) > width
+            keep = np.zeros(len(values), dtype=bool)
+            begins = np.flatnonzero(new_key).tolist()
             if not new_key[0]:
-                keep[0] = anchor is None or values[0] - anchor > width
-            for i in np.flatnonzero(~keep):
-                if i and keep[i - 1]:
-                    anchor = values[i - 1]
-                if values[i] - anchor > width:
-                    keep[i] = True
-            if keep[-1]:
-                anchor = values[-1]
+                begins.insert(0, 0)
+            for low, high in zip(begins, [*begins[1:], len(values)]):
+                run = values[low:high]
+                enter = 0
+                if not new_key[low] and anchor is not None:
+                    enter = int(first_beyond(run, np.array([anchor]), width)[0])
+                # From each kept row to the next: one step per kept row.
+                following = first_beyond(run, run, width).tolist()
+                while enter < len(run):
+                    keep[low + enter] = True
+                    anchor = run[enter]
+                    enter = following[enter]
             key = keys[len(keys) - 1].as_py()
             yield batch.filter(pa.array(keep))
 

@@ -62,14 +62,39 @@ def flatten_indexed(df: DataFrame, keys: Sequence[str], col: str | None = None,
     return df.select(*[ref(k) for k in keys], F.inline(F.flatten(F.array(*parts))))
 
 
-def widen(long: DataFrame, keys: Sequence[str], max_paths: int = 1000) -> DataFrame:
-    """One column per path; a path set above ``max_paths`` is an error."""
-    found = long.select("path").distinct().limit(max_paths + 1).collect()
-    if len(found) > max_paths:
-        raise ValueError(f"more than {max_paths} distinct paths")
-    paths = sorted(r["path"] for r in found)
-    wide = [F.max(F.when(F.col("path") == p, F.col("value"))).alias(p) for p in paths]
-    return long.groupBy(*[ref(k) for k in keys]).agg(*wide)
+def widen(
+    df: DataFrame, keys: Sequence[str], col: str | None = None, sep: str = ".", max_paths: int | None = None
+) -> DataFrame:
+    """One text column per path of :func:`flatten_indexed`, in the order of the paths.
+
+    The type tells all paths but the lengths of the lists: the longest of each are found
+    by one aggregate per level of nesting. Then the columns are a plain selection. With
+    ``max_paths``, more columns than that are an error.
+    """
+    kind = df.schema if col is None else df.schema[col].dataType
+    todo = [
+        (f.name, f.dataType, ref(f.name) if col is None else ref(col).getField(f.name))
+        for f in kind.fields
+        if col is not None or f.name not in keys
+    ]
+    done: list[tuple[str, Column]] = []
+    while todo:
+        lists = []
+        while todo:
+            path, kind, value = todo.pop()
+            if isinstance(kind, T.StructType):
+                todo += [(path + sep + f.name, f.dataType, value.getField(f.name)) for f in kind.fields]
+            elif isinstance(kind, T.ArrayType):
+                lists.append((path, kind.elementType, value))
+            else:
+                done.append((path, value.cast("string")))
+        if lists:
+            longest = df.agg(*[F.max(F.size(v)).alias(f"n{i}") for i, (_, _, v) in enumerate(lists)]).first()
+            for (path, kind, value), size in zip(lists, longest):
+                todo += [(f"{path}[{i}]", kind, F.get(value, F.lit(i))) for i in range(max(0, size or 0))]
+        if max_paths is not None and len(done) + len(todo) > max_paths:
+            raise ValueError(f"more than {max_paths} distinct paths")
+    return df.select(*[ref(k) for k in keys], *[v.alias(p) for p, v in sorted(done, key=lambda d: d[0])])
 
 
 def json_schema(df: DataFrame, col: str) -> str:
@@ -86,13 +111,14 @@ def parse_json(df: DataFrame, col: str, schema: str | T.StructType | None = None
 def parse_messages(df: DataFrame, col: str, schema: str | T.StructType, keep: Sequence[str] = ()) -> DataFrame:
     """Message text to columns; text that is no JSON object lands in ``raw`` instead."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    valid = F.is_variant_null(F.try_variant_get(F.try_parse_json(ref(col)), "$", "variant")).isNotNull()
-    is_object = F.schema_of_variant(F.try_parse_json(ref(col))).startswith("OBJECT")
-    staged = df.withColumn("__m", F.when(valid & is_object, F.from_json(ref(col), kind)))
+    # Only a valid text is looked at twice: once to tell objects apart, once for its fields.
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(ref(col))).startswith("OBJECT"), F.lit(False))
+    staged = df.withColumn("__o", is_object)
+    staged = staged.withColumn("__m", F.when(F.col("__o"), F.from_json(ref(col), kind)))
     return staged.select(
         *[ref(k) for k in keep],
         *[F.col("__m").getField(f.name).alias(f.name) for f in kind.fields],
-        F.when(~F.coalesce(valid & is_object, F.lit(False)), ref(col)).alias("raw"),
+        F.when(~F.col("__o"), ref(col)).alias("raw"),
     )
 
 
@@ -118,7 +144,25 @@ def payload_columns(df: DataFrame, col: str, schema: str | T.StructType | None =
 
 
 def last_repeated(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Repeated child elements (arrays) reduced to the last one."""
-    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    chosen = arrays if cols is None else [c for c in arrays if c in set(cols)]
-    return df.withColumns({c: F.try_element_at(ref(c), F.lit(-1)) for c in chosen}) if chosen else df
+    """Repeated child elements (arrays) reduced to the last one, at every depth."""
+    chosen = {
+        f.name: _last(f.dataType, ref(f.name))
+        for f in df.schema.fields
+        if (cols is None or f.name in set(cols)) and _repeats(f.dataType)
+    }
+    return df.withColumns(chosen) if chosen else df
+
+
+def _repeats(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_repeats(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.ArrayType)
+
+
+def _last(kind: T.DataType, value: Column) -> Column:
+    if isinstance(kind, T.ArrayType):
+        return _last(kind.elementType, F.try_element_at(value, F.lit(-1)))
+    if isinstance(kind, T.StructType) and _repeats(kind):
+        fields = [_last(f.dataType, value.getField(f.name)).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value

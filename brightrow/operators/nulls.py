@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from brightrow.columns import choose_numbers, choose_strings, known_number, map_columns, missing, present, ref
 
-# A literal map above this many entries is joined as a table instead.
+# A literal map above this many entries is joined as a table instead, with the same result.
 MAP_LITERAL_LIMIT = 500
 
 
@@ -65,11 +65,13 @@ def map_values(df: DataFrame, col: str, mapping: Mapping) -> DataFrame:
     if len(mapping) <= MAP_LITERAL_LIMIT:
         return df.withColumn(col, _choice(ref(col), mapping, kind))
     pairs = df.sparkSession.createDataFrame(
-        [(k, v) for k, v in mapping.items() if v is not None],
+        [(k, v) for k, v in mapping.items() if k is not None and v is not None],
         T.StructType([T.StructField("__from", kind), T.StructField("__to", kind)]),
     )
     out = df.join(pairs, ref(col) == F.col("__from"), "left")
-    return out.withColumn(col, F.coalesce("__to", ref(col))).select(*[ref(c) for c in df.columns])
+    # A null matches no row of the table: its own entry is a literal.
+    mapped = F.coalesce("__to", ref(col), F.lit(mapping.get(None)).cast(kind))
+    return out.withColumn(col, mapped).select(*[ref(c) for c in df.columns])
 
 
 def _choice(c: Column, mapping: Mapping, kind: T.DataType) -> Column:
@@ -101,21 +103,29 @@ def _fits(value, kind: T.DataType) -> bool:
     return isinstance(kind, T.StringType if isinstance(value, str) else T.NumericType)
 
 
-def categories(df: DataFrame, col: str, limit: int = 1000) -> list:
-    """Sorted distinct values of a column; more than ``limit`` of them is an error."""
-    rows = df.select(ref(col).alias("v")).where("v is not null").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+def categories(df: DataFrame, col: str, limit: int | None = None) -> list:
+    """Sorted distinct values of a column; with ``limit``, more than that many are an error."""
+    found = df.select(ref(col).alias("v")).where("v is not null").distinct()
+    rows = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"column {col!r} has more than {limit} categories")
     return sorted(r["v"] for r in rows)
 
 
-def one_hot(df: DataFrame, cols: Iterable[str], values: Mapping[str, Sequence] | None = None) -> DataFrame:
+def one_hot(
+    df: DataFrame,
+    cols: Iterable[str],
+    values: Mapping[str, Sequence] | None = None,
+    limit: int | None = None,
+) -> DataFrame:
     """Boolean column per category, the first sorted category left out.
 
-    Streams must pass ``values``, since finding the categories needs a job.
+    The result has a column per category, so a ``limit`` on their number guards against
+    a column that is no category; by default there is none. Streams must pass ``values``,
+    since finding the categories needs a job.
     """
     names = present(df, cols)
-    found = {c: sorted((values or {}).get(c) or categories(df, c)) for c in names}
+    found = {c: sorted((values or {}).get(c) or categories(df, c, limit)) for c in names}
     flags = [
         F.coalesce(ref(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}") for c in names for v in found[c][1:]
     ]

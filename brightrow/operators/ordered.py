@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from brightrow.columns import ref
 from brightrow.operators.project import order_columns
-from brightrow.session import durable, is_small
+from brightrow.session import durable
 
 CHUNK = "__chunk"
 ROWS_PER_CHUNK = 2_000_000
@@ -35,8 +35,6 @@ def split_by_order(
     The chunk is the range partition a row falls in, so it is written out once
     before use: ranges are sampled, and must not move between jobs.
     """
-    if rows_per_chunk is None and is_small(df):
-        return df.withColumn(CHUNK, F.lit(0)), 0
     limit = rows_per_chunk or ROWS_PER_CHUNK
     largest, total = largest_key(df, by)
     if largest <= limit:
@@ -73,8 +71,15 @@ def chunk_sequence(by: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*key_columns(by)).orderBy(CHUNK)
 
 
-def attach(df: DataFrame, carry: DataFrame, by: Sequence[str], cols: Sequence[str], chunks: int) -> DataFrame:
-    """Join carried columns back by key and chunk; null keys match each other.
+def attach(
+    df: DataFrame,
+    carry: DataFrame,
+    by: Sequence[str],
+    cols: Sequence[str],
+    chunks: int,
+    only: Column | None = None,
+) -> DataFrame:
+    """Join carried columns back by key and chunk; null keys match each other. ``only`` names the rows that need them.
 
     The carry table has at most two rows per chunk and is broadcast while that is
     few. Beyond, it is a plain join, in which a chunk bounds the rows of a join key.
@@ -83,6 +88,7 @@ def attach(df: DataFrame, carry: DataFrame, by: Sequence[str], cols: Sequence[st
         *[ref(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(CHUNK).alias("__kc"), *cols
     )
     match = F.col(CHUNK) == F.col("__kc")
+    match = match if only is None else match & only
     for i, c in enumerate(by):
         match = match & ref(c).eqNullSafe(F.col(f"__k{i}"))
     if 2 * chunks <= BROADCAST_ROWS:

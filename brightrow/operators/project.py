@@ -82,10 +82,34 @@ def limit_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     return sort_by(df, order_by).limit(n)
 
 
-def page(df: DataFrame, order_by: Sequence[str], page: int = 1, page_size: int = 1000) -> DataFrame:
+def page(
+    df: DataFrame,
+    order_by: Sequence[str],
+    page: int = 1,
+    page_size: int = 1000,
+    after: Sequence | None = None,
+    rows_per_chunk: int | None = None,
+) -> DataFrame:
+    """Rows of one page of an order, by its number or by the last key ``after`` which it follows.
+
+    With ``after`` (values of ``order_by`` that are not null) only a page is held at a
+    time. By number, the rows are numbered over ranges of the order and filtered, so a
+    deep page holds no longer prefix than a shallow one.
+    """
+    from brightrow.operators.ordered import numbered
+
     if page < 1 or page_size < 1:
         raise ValueError("page and page_size start at 1")
-    return sort_by(df, order_by).offset((page - 1) * page_size).limit(page_size)
+    if after is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for c, v in zip(order_by, after, strict=True):
+            beyond = beyond | (equal & ((ref(c) > F.lit(v)) | ref(c).isNull()))
+            equal = equal & (ref(c) == F.lit(v))
+        return sort_by(df.where(beyond), order_by).limit(page_size)
+    last = page * page_size
+    rows, _ = numbered(df, [], order_by, "__row", rows_per_chunk)
+    rows = rows.where(F.col("__row").between(last - page_size + 1, last))
+    return sort_by(rows, order_by).select(*[ref(c) for c in df.columns])
 
 
 def select_where(df: DataFrame, conditions: Sequence[tuple[str, str, object]]) -> DataFrame:

@@ -113,19 +113,20 @@ def numeric_types(df: DataFrame, cols: Iterable[str] | None = None) -> dict[str,
     names = choose_strings(df, cols)
     if not names:
         return {}
-    # Per value: 0 empty, 1 whole number, 2 other number, 3 no number. The largest decides.
+    # Per value: 0 empty, 1 whole number of 64 bits, 2 longer whole number, 3 other number,
+    # 4 no number. The largest decides.
     values = df.select(*[text.strip(ref(c)).alias(f"v{i}") for i, c in enumerate(names)])
     kinds = [
         F.max(
             F.when(F.col(f"v{i}") == "", 0)
-            .when(F.col(f"v{i}").rlike(text.WHOLE_NUMBER), 1)
-            .when(F.col(f"v{i}").rlike(text.NUMBER), 2)
-            .when(F.col(f"v{i}").isNotNull(), 3)
+            .when(F.col(f"v{i}").rlike(text.WHOLE_NUMBER), F.when(F.col(f"v{i}").try_cast("bigint").isNotNull(), 1).otherwise(2))
+            .when(F.col(f"v{i}").rlike(text.NUMBER), 3)
+            .when(F.col(f"v{i}").isNotNull(), 4)
         ).alias(f"k{i}")
         for i in range(len(names))
     ]
     row = values.agg(*kinds).first()
-    found = {1: "bigint", 2: "double"}
+    found = {1: "bigint", 2: "decimal(38,0)", 3: "double"}
     return {c: found[row[f"k{i}"]] for i, c in enumerate(names) if row[f"k{i}"] in found}
 
 

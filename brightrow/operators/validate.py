@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from brightrow.columns import missing, present, ref
 from brightrow.functions.text import java_pattern
 from brightrow.operators.dedup import count_duplicates
+from brightrow.session import durable
 
 # The type families a column type can be checked against.
 FAMILIES = {
@@ -231,12 +232,13 @@ def schema_drift(spark: SparkSession, path: str, expected: T.StructType | Mappin
     task opens only the footers of its own files.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
-    found = files.mapInPandas(_footers, "path string, column string, type string")
+    # A row per file without a column, and one per column of it; opened once.
+    found = durable(files.mapInPandas(_footers, "path string, column string, type string"))
     wanted = F.lit(None).cast("string")
     for col, kind in _types(expected).items():
         wanted = F.when(F.col("column") == col, F.lit(kind)).otherwise(wanted)
-    total = files.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    seen = found.groupBy("column", "type").agg(F.count(F.lit(1)).alias("files"))
+    total = found.agg(F.count_if(F.col("column").isNull()).alias("n")).first()["n"]
+    seen = found.where("column is not null").groupBy("column", "type").agg(F.count(F.lit(1)).alias("files"))
     changed = seen.withColumn("expected", wanted).where(~F.col("type").eqNullSafe(F.col("expected")))
     present_in = seen.groupBy("column").agg(F.sum("files").alias("files"))
     names = spark.createDataFrame(list(_types(expected).items()), "column string, expected string")
@@ -260,6 +262,7 @@ def _footers(batches):
         for path in batch["path"]:
             uri = path if "://" in path else path.replace("file:/", "file:///", 1)
             system, inner = fs.FileSystem.from_uri(uri)
+            rows.append((path, None, None))
             for field in pq.read_schema(inner, filesystem=system):
                 rows.append((path, field.name, from_arrow_type(field.type).simpleString()))
         yield pd.DataFrame(rows, columns=["path", "column", "type"])

@@ -51,8 +51,10 @@ def smooth(
     )
     tails = chunk_summary(parts, by, last_rows.alias("__tail"))
     earlier = F.flatten(F.collect_list("__tail").over(chunk_sequence(by).rowsBetween(-(window - 1), -1)))
-    carry = tails.withColumn("__earlier", earlier)
-    out = attach(parts, carry, by, ["__earlier"], chunks)
+    # Of the rows before a chunk only the last window - 1 count, and only for as many of its own.
+    start = F.greatest(F.lit(1), F.size(earlier) - (window - 2))
+    carry = tails.withColumn("__earlier", F.slice(earlier, start, window)).drop("__tail")
+    out = attach(parts, carry, by, ["__earlier"], chunks, F.col("__pos") < window)
     known = F.coalesce(F.col("__earlier"), F.array().cast(tails.schema["__tail"].dataType))
     take = F.greatest(F.lit(0), F.least(F.lit(window) - F.col("__pos"), F.size(known)))
     out = out.withColumn("__use", F.slice(known, F.size(known) - take + 1, take))

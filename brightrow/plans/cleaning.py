@@ -296,9 +296,9 @@ def clean_table(
     return out
 
 
-def clean_documents(docs: DataFrame, key: str, col: str, schema: str | None = None, max_paths: int = 1000, **options) -> Cleaned:
+def clean_documents(docs: DataFrame, key: str, col: str, schema: str | None = None, max_paths: int | None = None, **options) -> Cleaned:
     """Nested documents (JSON text) to one cleaned row each, list items under indexed paths."""
     parsed = nested.parse_json(docs.select(ref(key), ref(col)), col, schema)
-    wide = nested.widen(nested.flatten_indexed(parsed, [key], col), [key], max_paths)
+    wide = nested.widen(parsed, [key], col, max_paths=max_paths)
     return clean(wide, "yaml", keys=[key], **options)
 

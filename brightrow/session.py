@@ -72,13 +72,3 @@ def durable_partitions(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-# Inputs up to this size by the optimizer's estimate need no look at their largest key.
-SMALL_BYTES = 256 * 1024 * 1024
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the optimizer expects few bytes, as it does for a broadcast decision."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= SMALL_BYTES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Sequence
 from pathlib import PurePosixPath
@@ -83,8 +84,15 @@ def ingest_files(
     )
 
 
+def _folder(fmt: str, paths: Sequence[str]) -> str:
+    """A folder of its own for a set of sources: files of one name do not meet in it."""
+    digest = hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:12]
+    stem = PurePosixPath(paths[0]).stem if len(paths) == 1 else "files"
+    return f"{fmt}-{stem}-{digest}"
+
+
 def _ingest_unit(spark, fmt, unit, staging_dir, validate, row_tag):
-    name = fmt if validate is None else PurePosixPath(unit[0]).stem
+    name = _folder(fmt, unit)
     try:
         df = read_files(spark, fmt, unit, row_tag)
         if validate is not None and not validate(df):
@@ -96,12 +104,11 @@ def _ingest_unit(spark, fmt, unit, staging_dir, validate, row_tag):
         if validate is None and len(unit) > 1:
             out = []
             for p in unit:
-                stem = PurePosixPath(p).stem
                 try:
                     target = stage(
                         read_files(spark, fmt, [p], row_tag).select("*", F.lit(fmt).alias("__format")),
                         staging_dir,
-                        f"{fmt}-{stem}",
+                        _folder(fmt, [p]),
                     )
                     out.append((p, fmt, "staged", None, target))
                 except Exception as single:

@@ -73,10 +73,10 @@ def read_json(
     path: str | Sequence[str],
     schema: Types | None = None,
     sep: str = ".",
-    lines: bool = False,
+    lines: bool = True,
     struct: T.StructType | str | None = None,
 ) -> DataFrame:
-    """JSON documents, or one object per line with ``lines`` (splittable), flattened."""
+    """One JSON object per line (splittable), flattened; without ``lines``, one document per file."""
     reader = spark.read.option("multiLine", not lines)
     if struct is not None:
         reader = reader.schema(struct)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -20,8 +21,13 @@ MQTT_MESSAGE = "topic string, payload string, qos int, retain boolean, timestamp
 BATCH_MESSAGES, BATCH_SECONDS = 100, 5
 
 
-def kafka_messages(spark: SparkSession, options: Mapping[str, str], max_messages: int | None = None) -> DataFrame:
-    """Kafka topic as a stream of messages; needs the Kafka source on the class path."""
+def kafka_messages(
+    spark: SparkSession, options: Mapping[str, str], max_messages: int | None = BATCH_MESSAGES
+) -> DataFrame:
+    """Kafka topic as a stream of messages; needs the Kafka source on the class path.
+
+    A batch closes after ``max_messages`` or with the trigger interval; null lifts the count.
+    """
     reader = spark.readStream.format("kafka").options(**options)
     if max_messages is not None:
         reader = reader.option("maxOffsetsPerTrigger", max_messages)
@@ -73,25 +79,60 @@ def drain(
     fn: Callable[[DataFrame, int], None],
     checkpoint: str,
     max_messages: int | None = None,
-    timeout: float | None = None,
+    timeout: int | None = None,
 ) -> int:
-    """Process what is there now, at most ``max_messages``, and return how many were taken."""
-    if max_messages is None:
-        query = run_batches(stream, fn, checkpoint, available_now=True)
-        query.awaitTermination(timeout)
-        return sum(p["numInputRows"] for p in query.recentProgress)
-    taken = 0
+    """Process what is there now, at most ``max_messages``, and return how many were taken.
+
+    A later call on the same checkpoint goes on where this one stopped. A batch that the
+    limit cuts is not committed: how far it was taken is noted beside the checkpoint, and
+    the batch comes again with the same content. Its parts have ids of their own,
+    ``"<batch>.<first row>"``. After ``timeout`` seconds the query is stopped.
+    """
+    spark = stream.sparkSession
+    noted = f"{checkpoint.rstrip('/')}/taken"
+    taken: dict[int, int] = {}
 
     def bounded(batch: DataFrame, batch_id: int) -> None:
-        nonlocal taken
-        left = max_messages - taken
-        if left > 0:
-            size = batch.count()
-            fn(batch if size <= left else batch.limit(left), batch_id)
-            taken += min(size, left)
-
-    run_batches(stream, bounded, checkpoint, available_now=True).awaitTermination(timeout)
-    return taken
+        before = _taken_of(spark, noted, batch_id)
+        left = None if max_messages is None else max_messages - sum(taken.values())
+        if left is not None and left <= 0:
+            raise _Enough
+        # Read once, however often it is used.
+        batch = batch.persist()
+        size = batch.count() - before
+        if size and (before or (left is not None and size > left)):
+            part = batch.orderBy(*[F.to_json(F.struct(*batch.columns))]).offset(before)
+            fn(part if left is None or size <= left else part.limit(left), f"{batch_id}.{before}")
+        elif size:
+            fn(batch, batch_id)
+        batch.unpersist()
+        taken[batch_id] = size if left is None else min(size, left)
+        if left is not None and size > left:
+            note = spark.createDataFrame([(batch_id, before + left)], "batch long, rows long")
+            note.coalesce(1).write.mode("overwrite").parquet(noted)
+            raise _Enough
+
+    query = run_batches(stream, bounded, checkpoint, available_now=True)
+    try:
+        if not query.awaitTermination(timeout):
+            query.stop()
+    except StreamingQueryException as error:
+        if _Enough.__name__ not in str(error):
+            raise
+    return sum(taken.values())
+
+
+class _Enough(Exception):
+    """The limit is reached; the batch at hand must not be committed."""
+
+
+def _taken_of(spark: SparkSession, noted: str, batch_id: int) -> int:
+    """Rows of the batch that an earlier call took."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(noted)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return 0
+    row = spark.read.parquet(noted).where(F.col("batch") == batch_id).first()
+    return row["rows"] if row else 0
 
 
 class BatchMetrics(StreamingQueryListener):

@@ -10,25 +10,6 @@ from brightrow.suite.registry import query, scratch, table
 from brightrow.suite.strings import NULLED_EVENTS, nulled_events
 
 
-@query(
-    "check_columns_present",
-    "SELECT * FROM (VALUES ('o_orderkey', 'present'), ('o_comment', 'missing')) v(\"column\", status)",
-)
-def _(spark, d):
-    return validate.check_schema(table(spark, d, "orders"), ["o_orderkey", "o_comment"])
-
-
-@query(
-    "check_column_types",
-    "SELECT * FROM (VALUES ('o_orderkey', 'numeric', 'bigint', true), ('o_orderdate', 'datetime', 'timestamp_ntz', true),"
-    " ('o_orderstatus', 'numeric', 'string', false), ('o_comment', 'string', NULL, false))"
-    ' v("column", expected, actual, matches)',
-)
-def _(spark, d):
-    expected = {"o_orderkey": "numeric", "o_orderdate": "datetime", "o_orderstatus": "numeric", "o_comment": "string"}
-    return validate.check_types(table(spark, d, "orders"), expected)
-
-
 @query(
     "count_missing_values",
     "SELECT 'event_type' AS column, count(*) - count(event_type) AS missing_count FROM"
@@ -174,17 +155,6 @@ def _(spark, d):
     )
 
 
-@query(
-    "schema_difference",
-    "SELECT * FROM (VALUES ('c_acctbal', 'double', 'float'), ('c_phone', NULL, 'string'), ('c_mktsegment', 'string',"
-    " NULL)) v(\"column\", old_type, new_type)",
-)
-def _(spark, d):
-    customer = table(spark, d, "customer")
-    newer = customer.selectExpr("c_custkey", "c_name", "c_nationkey", "float(c_acctbal) c_acctbal", "'' c_phone")
-    return validate.schema_diff(spark, customer.schema, newer.schema)
-
-
 @query(
     "schema_drift_of_files",
     "SELECT * FROM (VALUES ('c_acctbal', 'double', 'int', 1::BIGINT), ('c_mktsegment', 'string', NULL, 1::BIGINT))"

@@ -193,6 +193,24 @@ def _(spark, d):
     return dedup_tolerance(table(spark, d, "events").select("event_id", "value"), "value", ["event_id"], 0.25)
 
 
+# The same rule with chunks much smaller than the table, and a width beyond a chunk.
+@query("dedup_time_window_split", _jumps("ts", "INTERVAL 10 SECOND", "event_id, ts"))
+def _(spark, d):
+    return dedup_time_window(table(spark, d, "events").select("event_id", "ts"), "ts", ["event_id"], 10, rows_per_chunk=700)
+
+
+@query("dedup_day_window_split", _jumps("ts", "INTERVAL 1 DAY", "event_id, ts"))
+def _(spark, d):
+    rows = table(spark, d, "events").select("event_id", "ts")
+    return dedup_time_window(rows, "ts", ["event_id"], 86400, rows_per_chunk=100)
+
+
+@query("dedup_numeric_tolerance_split", _jumps("value", "0.25::DOUBLE", "event_id, value"))
+def _(spark, d):
+    rows = table(spark, d, "events").select("event_id", "value")
+    return dedup_tolerance(rows, "value", ["event_id"], 0.25, rows_per_chunk=700)
+
+
 @query("dedup_similar_passages")
 def _(spark, d):
     return dedup_fuzzy(table(spark, d, "benchmark"), "text", ["item_id"], 0.8)

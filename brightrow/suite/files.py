@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brightrow.operators import html, nested
 from brightrow.sources import ingest, readers, sinks
-from brightrow.suite.registry import query, scratch, spread, table
+from brightrow.suite.registry import query, scratch, table
 from brightrow.suite.strings import sql_html_text
 
 
@@ -212,8 +212,7 @@ def _(spark, d):
     ' o_orderpriority AS "tags[0]", o_orderstatus AS "tags[1]" FROM orders',
 )
 def _(spark, d):
-    long = nested.flatten_indexed(_nested_orders(spark, d, "floor(o_totalprice)"), ["id"])
-    return nested.widen(long, ["id"])
+    return nested.widen(_nested_orders(spark, d, "floor(o_totalprice)"), ["id"])
 
 
 @query(
@@ -271,7 +270,7 @@ def _(spark, d):
     "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1[ >]')) FROM pages) GROUP BY 1",
 )
 def _(spark, d):
-    pages = spread(table(spark, d, "pages").select("page_id", "html"))
+    pages = table(spark, d, "pages").select("page_id", "html")
     return html.html_select(pages, "html", "page_id", ["h1"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -291,7 +290,7 @@ _NAV = "regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"
     " UNION ALL ".join([_elements("title", "html", "title"), _elements("nav a", _NAV, "a"), _elements("h1", "html", "h1")]),
 )
 def _(spark, d):
-    pages = spread(table(spark, d, "pages").select("page_id", "html"))
+    pages = table(spark, d, "pages").select("page_id", "html")
     return html.html_select(pages, "html", "page_id", ["title", "nav a", "h1"])
 
 
@@ -395,3 +394,15 @@ def _(spark, d):
         )
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("ingest_same_names", "SELECT CAST((SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS BIGINT) AS rows")
+def _(spark, d):
+    """Two files of one name in different folders are staged apart."""
+    path = scratch(spark, "inbox")
+    files = [f"{path}/{n}/x.csv" for n in ("nation", "region")]
+    for name, file in zip(("nation", "region"), files):
+        table(spark, d, name).write.option("header", True).csv(file)
+    found = ingest.ingest_files(spark, files, f"{path}/staged", lambda df: True).collect()
+    parts = [spark.read.parquet(r["staged"]).select(F.lit(1).alias("one")) for r in found]
+    return parts[0].unionByName(parts[1]).agg(F.count(F.lit(1)).alias("rows"))

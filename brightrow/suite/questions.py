@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from brightrow.functions import tags
 from brightrow.functions.text import contains_any
 from brightrow.operators import triage
-from brightrow.suite.registry import SQL_STRIP, query, rounded, spread, table
+from brightrow.suite.registry import SQL_STRIP, query, rounded, table
 
 
 def _any(words, text="low") -> str:
@@ -90,9 +90,9 @@ _PII = " , ".join(
 )
 def _(spark, d):
     low = F.col("low")
-    rows = triage.lowered(spread(table(spark, d, "documents")), "text", "low").select(
+    rows = triage.lowered(table(spark, d, "documents"), "text", "low").select(
         "doc_id",
-        tags.pii_hits(F.col("text"), None).alias("hits"),
+        tags.pii_hits(F.col("text")).alias("hits"),
         contains_any(low, tags.FINANCIAL_WORDS).alias("financial"),
         contains_any(low, tags.COMPLIANCE_WORDS).alias("compliance"),
     )
@@ -127,7 +127,7 @@ def _hit_list() -> str:
         f"list_transform(regexp_extract_all(text, '{p}'), lambda m: concat('{label}=', m))"
         for label, p in tags.PII_PATTERNS.items()
     ]
-    return "flatten([" + ", ".join(parts) + "])[1:50]"
+    return "flatten([" + ", ".join(parts) + "])"
 
 
 _RECORD = f"""
@@ -141,7 +141,7 @@ _RECORD = f"""
 
 @query("classify_documents", _RECORD)
 def _(spark, d):
-    rows = triage.classify_table(spread(table(spark, d, "documents").select("doc_id", "text")), "text")
+    rows = triage.classify_table(table(spark, d, "documents").select("doc_id", "text"), "text")
     hits = F.transform("hits", lambda h: F.concat(h["label"], F.lit("="), h["match"]))
     out = rows.select(
         "doc_id",
@@ -181,7 +181,7 @@ _ROUTE_COLUMNS = ["doc_id", "reason", "strategy", "cost_tier", "tokens", "latenc
 
 @query("route_documents", _ROUTED.format(source=_ROUTE_SOURCE))
 def _(spark, d):
-    rows = triage.classify_table(spread(table(spark, d, "documents").select("doc_id", "text")), "text")
+    rows = triage.classify_table(table(spark, d, "documents").select("doc_id", "text"), "text")
     return triage.route(rows, triage.TriageRules(cost_hard_limit=0.0004)).select(*_ROUTE_COLUMNS)
 
 
@@ -199,7 +199,7 @@ _LIGHT_SOURCE = f"""
 
 @query("route_documents_lightly", _ROUTED.format(source=_LIGHT_SOURCE))
 def _(spark, d):
-    rows = spread(table(spark, d, "documents").select("doc_id", "text"))
+    rows = table(spark, d, "documents").select("doc_id", "text")
     return triage.route_simple(rows, "text", triage.TriageRules(cost_hard_limit=0.0004)).select(*_ROUTE_COLUMNS)
 
 

@@ -56,13 +56,3 @@ def digest(name: str) -> Column:
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     """Doubles compared between engines are rounded, since sums depend on order."""
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in cols})
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input with costly work per row one split per core.
-
-    An input of fewer splits than cores is small (a split is at most
-    ``maxPartitionBytes``), so the exchange is too; larger inputs pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

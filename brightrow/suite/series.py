@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from brightrow.operators import windows
 from brightrow.operators.timeseries import resample_mean
 from brightrow.session import durable
-from brightrow.suite.registry import query, rounded, table
+from brightrow.suite.registry import SQL, query, rounded, table
 from brightrow.suite.strings import NULLED_EVENTS, nulled_events
 
 
@@ -142,3 +142,55 @@ def _(spark, d):
     hourly = durable(resample_mean(once, "ts", "1h", ["value", "k"], ["event_type"]))
     smooth = windows.smooth(hourly, ["value", "k"], ["ts"], 3, ["event_type"])
     return project.sort_by(rounded(smooth, "value", "k"), ["event_type", "ts"])
+
+
+# The same operators with keys split over chunks of a few hundred rows, against the same SQL.
+CHUNK_ROWS = 300
+
+
+def _split(name: str, fn) -> None:
+    query(f"{name}_split", SQL[name])(fn)
+
+
+def _smooth_overall(spark, d):
+    rows = nulled_events(spark, d).select("event_id", "ts", "value")
+    return rounded(windows.smooth(rows, ["value"], ["ts", "event_id"], 5, rows_per_chunk=CHUNK_ROWS).drop("ts"), "value")
+
+
+def _interpolate_overall(spark, d):
+    rows = nulled_events(spark, d).select("event_id", "ts", "value")
+    out = windows.interpolate(rows, ["value"], ["ts", "event_id"], rows_per_chunk=CHUNK_ROWS)
+    return rounded(out.drop("ts"), "value")
+
+
+def _unique_suffixes(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_name")
+    return windows.enforce_unique(rows, "p_name", ["p_partkey"], rows_per_chunk=20)
+
+
+_split("rolling_mean_overall", _smooth_overall)
+_split("interpolate_overall", _interpolate_overall)
+_split("unique_suffixes", _unique_suffixes)
+
+
+@query(
+    "rolling_mean_per_type_split",
+    "SELECT event_id, round(1e-8 + avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id"
+    f" ROWS BETWEEN 300 PRECEDING AND CURRENT ROW), 6) AS value FROM ({NULLED_EVENTS})",
+)
+def _(spark, d):
+    """A window wider than a chunk. The small summand keeps means off the borders of rounding."""
+    rows = nulled_events(spark, d).select("event_id", "event_type", "ts", "value")
+    out = windows.smooth(rows, ["value"], ["ts", "event_id"], 301, ["event_type"], rows_per_chunk=200)
+    return rounded(out.select("event_id", (F.col("value") + 1e-8).alias("value")), "value")
+
+
+@query(
+    "forward_fill_split",
+    "SELECT event_id, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS value"
+    f" FROM ({NULLED_EVENTS})",
+)
+def _(spark, d):
+    rows = nulled_events(spark, d).withColumn("part", F.col("user_id") % 3)
+    out = windows.ffill(rows, ["value"], ["ts", "event_id"], ["part"], rows_per_chunk=CHUNK_ROWS)
+    return out.select("event_id", "value")

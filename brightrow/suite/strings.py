@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brightrow.columns import ref
 from brightrow.operators import nulls, strings
-from brightrow.suite.registry import SQL_SPACE, SQL_STRIP, digest, query, rounded, spread, table
+from brightrow.suite.registry import SQL_SPACE, SQL_STRIP, digest, query, rounded, table
 
 NULLED_EVENTS = """
   SELECT event_id, ts, user_id,
@@ -26,7 +26,7 @@ def nulled_events(spark, d):
 
 
 def documents(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
 
 
 def padded_documents(spark, d):
@@ -195,7 +195,7 @@ def _(spark, d):
     """,
 )
 def _(spark, d):
-    rows = spread(table(spark, d, "lineitem")).select(
+    rows = table(spark, d, "lineitem").select(
         "l_orderkey",
         "l_partkey",
         "l_suppkey",
@@ -277,7 +277,7 @@ def sql_html_text(source: str) -> str:
 
 @query("strip_html_tags", f"SELECT page_id, {sql_html_text('html')} AS html FROM pages")
 def _(spark, d):
-    return strings.strip_html(spread(table(spark, d, "pages").select("page_id", "html")), ["html"])
+    return strings.strip_html(table(spark, d, "pages").select("page_id", "html"), ["html"])
 
 
 @query(

@@ -74,7 +74,7 @@ def test_flatten_and_paths(spark):
     got = {r["path"]: r["value"] for r in nested.flatten_indexed(df, ["id"]).collect()}
     assert got == {"a.b": "2", "a.c.d": "z", "l[0].x": "7", "l[1].x": "8"}
     with pytest.raises(ValueError):
-        nested.widen(nested.flatten_indexed(df, ["id"]), ["id"], max_paths=2)
+        nested.widen(df, ["id"], max_paths=2)
 
 
 def test_messages_that_are_no_objects_stay_raw(spark):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightrow.functions import text
-from brightrow.operators import dedup, nulls, project, scaling, strings, timeseries
+from brightrow.operators import dedup, nested, nulls, ordered, project, scaling, strings, timeseries
 from brightrow.plans import cleaning
 
 
@@ -203,3 +203,33 @@ def test_failing_stage_is_reported(spark):
     assert [e["step"] for e in done.errors] == ["deduplication"]
     assert done.data.count() == 1
     assert cleaning.clean_table(df, "no such").errors[0]["step"] == "format"
+
+
+def test_null_entry_of_any_map(spark):
+    df = spark.createDataFrame([(None,), ("a",), ("b",)], "c string")
+    mapping = {None: "missing", "a": "A"}
+    large = mapping | {f"unused{i}": "x" for i in range(600)}
+    for chosen in (mapping, large):
+        assert sorted(r["c"] for r in nulls.map_values(df, "c", chosen).collect()) == ["A", "b", "missing"]
+
+
+def test_long_whole_numbers_stay_exact(spark):
+    rows = [("1234567890123456789", "99999999999999999999", "1.5"), ("1234567890123456788", "7", "99999999999999999999")]
+    out = strings.auto_cast(spark.createDataFrame(rows, "a string, b string, c string"))
+    assert [f.dataType.simpleString() for f in out.schema] == ["bigint", "decimal(38,0)", "double"]
+    assert {r["a"] for r in out.collect()} == {1234567890123456789, 1234567890123456788}
+    assert {int(r["b"]) for r in out.collect()} == {99999999999999999999, 7}
+
+
+def test_last_child_at_every_depth(spark):
+    df = spark.createDataFrame([(([1, 2], [(["x", "y"],), (["z", "w"],)]),), (None,)], "m struct<t:array<int>,n:array<struct<k:array<string>>>>")
+    out = nested.last_repeated(df)
+    assert out.schema["m"].dataType.simpleString() == "struct<t:int,n:struct<k:string>>"
+    assert sorted(out.selectExpr("m.t", "m.n.k").collect(), key=str) == [(2, "w"), (None, None)]
+
+
+def test_one_key_of_an_exploded_input_splits(spark):
+    """Rows are counted, not estimated: one row that explodes is no small input."""
+    many = spark.range(1).selectExpr("explode(sequence(1, 5000)) AS i").withColumn("v", F.col("i").cast("double"))
+    parts, chunks = ordered.split_by_order(many, [], ["i"], rows_per_chunk=1000)
+    assert chunks == 5 and parts.select("__chunk").distinct().count() > 1

@@ -33,7 +33,7 @@ def test_csv_types_and_errors(spark, people, tmp_path):
 
 def test_json_document_and_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"a": {"b": 1}},\n {"a": {"b": 2}}]')
-    out = readers.read_json(spark, str(tmp_path / "a.json"), sep="_")
+    out = readers.read_json(spark, str(tmp_path / "a.json"), sep="_", lines=False)
     assert [r["a_b"] for r in out.collect()] == [1, 2]
 
 
@@ -109,12 +109,14 @@ def test_ingest_reports_each_file(spark, people, tmp_path):
     sinks.export_files(people, good, "csv")
     (tmp_path / "bad.parquet").write_text("not parquet")
     found = ingest.ingest_files(spark, [good, bad, str(tmp_path / "x.exe")], str(tmp_path / "staged"))
+    staged = {r["source"].rsplit("/", 1)[1]: r["staged"] for r in found.collect()}
     assert {r["source"].rsplit("/", 1)[1]: r["status"] for r in found.collect()} == {
         "good.csv": "staged",
         "bad.parquet": "failed",
         "x.exe": "failed",
     }
-    assert spark.read.parquet(str(tmp_path / "staged" / "csv")).count() == 3
+    assert staged["good.csv"].startswith(str(tmp_path / "staged")) and staged["bad.parquet"] is None
+    assert spark.read.parquet(staged["good.csv"]).count() == 3
 
 
 def test_date_partitions(spark, tmp_path):
@@ -171,3 +173,21 @@ def test_kafka_shape(spark):
     out = messages.kafka_shape(raw)
     assert [f.name for f in out.schema] == ["topic", "partition", "offset", "key", "value", "timestamp"]
     assert tuple(out.first())[:5] == ("t", 0, 5, "k", None)
+
+
+def test_bounded_reads_go_on_and_count_messages(spark, tmp_path):
+    from brightrow.streaming import messages
+
+    rows = [(f"t{i}", str(i)) for i in range(30)]
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], "topic string, payload string").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    seen = []
+    reads = {0: lambda b: None, 1: lambda b: seen.extend(b.collect()), 2: lambda b: (b.count(), seen.extend(b.collect()))}
+    stream = messages.landed_messages(spark, f"{tmp_path}/in", "topic string, payload string", max_files=1)
+    for times, read in reads.items():
+        # The count does not depend on how often the callback reads a batch.
+        assert messages.drain(stream, lambda b, i, read=read: read(b), f"{tmp_path}/all{times}") == 30
+    seen.clear()
+    taken = [messages.drain(stream, lambda b, i: seen.extend(b.collect()), f"{tmp_path}/cp", n) for n in (12, 7, 1000)]
+    assert taken == [12, 7, 11]
+    assert sorted((r["topic"], r["payload"]) for r in seen) == sorted(rows)

@@ -60,7 +60,15 @@ def test_rules_take_one_scan(spark, folder):
 def test_top_rows_need_no_full_sort(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet")
     assert "TakeOrderedAndProject" in plan(project.limit_rows(events, 5, ["ts", "event_id"]))
-    assert "TakeOrderedAndProject" in plan(project.page(events, ["ts", "event_id"], 2, 10))
+    keyset = project.page(events, ["event_id"], page_size=10, after=[100])
+    assert "TakeOrderedAndProject" in plan(keyset) and "GreaterThan(event_id,100)" in plan(keyset)
+    assert [r["event_id"] for r in keyset.collect()] == list(range(101, 111))
+    deep = project.page(events, ["ts", "event_id"], 40, 10, rows_per_chunk=100)
+    assert "Offset" not in plan(deep) and "offset" not in plan(deep)
+
+
+def test_wide_paths_need_no_shuffle(spark, folder):
+    assert "Exchange" not in plan(QUERIES["widen_paths"](spark, folder)).split("\n\n")[0]
 
 
 def test_foreign_keys_are_counted_before_the_join(spark, folder):
