@@ -40,7 +40,7 @@ from brightrow.llm.exchange import bucketed, pack, pack_sorted, shard_of, unpack
 from brightrow.session import durable
 
 CUT = 5
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 SHARD_BYTES = 16_000_000
 MOST_SHARDS = 65_536
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b"\n")
@@ -395,11 +395,10 @@ def _score(unigrams: Unigrams, discount: np.ndarray, hot: dict, hot_from: int, s
 def score_texts(df: DataFrame, held_out: Column, text: str = "text", by: str = "doc_id") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
-    The model learns from all rows that are not held out (a null condition counts as
-    not). ``base_score`` is the sum of the add-one unigram logarithms.
+    The model learns from all rows that are not held out: a condition on the id and the
+    text, where null counts as false. ``base_score`` is the sum of the add-one unigram logarithms.
     """
-    docs = pick(df.withColumn("_held", F.coalesce(held_out, F.lit(False))), by, text, "_held")
-    docs = docs.withColumnRenamed("_held", "held")
+    docs = pick(df, by, text).select(by, text, F.coalesce(held_out, F.lit(False)).alias("held"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = min(MOST_SHARDS, max(4, math.ceil(size / SHARD_BYTES)))
     blocks = bucketed(_blocks(docs, text, by), shards)
