@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brightrow.columns import known_number, ref
 from brightrow.operators.ordered import largest_key
 from brightrow.operators.project import order_columns
-from brightrow.session import durable, durable_partitions
+from brightrow.session import durable, durable_partitions, free
 
 FAN_IN = 16
 ROWS_PER_CHUNK = 500_000
@@ -87,7 +87,9 @@ def _thin(
         )
         steps = ranged.select("__chunk", "__key", "__value").mapInArrow(_reporter(width), STEPS)
         # One number per chunk: bounded by the chunk count.
-        found = _carried(durable(steps), width).collect()
+        written = durable(steps)
+        found = _carried(written, width).collect()
+        free(written)
         carried = {r["chunk"]: r["carried"] for r in found if r["carried"] is not None}
     kept = ranged.mapInArrow(_filter(width, df.sparkSession.sparkContext.broadcast(carried)), ranged.schema)
     helpers = ["__key", "__value", "__chunk"]

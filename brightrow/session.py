@@ -56,14 +56,25 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage by writing ``df`` as a table in the shared folder; survives lost executors.
 
-    The files go when the session ends.
+    The files go with :func:`free`, or when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/brightrow-{uuid.uuid4().hex}"
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Delete the files of :func:`durable` tables that no later read needs; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_durable_path", None)
+        if path is not None:
+            target = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def durable_partitions(df: DataFrame) -> DataFrame:

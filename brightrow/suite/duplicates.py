@@ -216,7 +216,45 @@ def _(spark, d):
     return dedup_fuzzy(table(spark, d, "benchmark"), "text", ["item_id"], 0.8)
 
 
-@query("dedup_similar_names")
+# The matching-blocks ratio: the longest common block (earliest in a, then in b) splits a
+# pair of ranges in two, down to ranges without one. ``run`` is the block from (i, j) on.
+@query(
+    "dedup_similar_names",
+    """
+    WITH RECURSIVE n AS MATERIALIZED (
+      SELECT p_name, min(p_partkey) AS id, row_number() OVER (ORDER BY min(p_partkey)) AS pos FROM part GROUP BY 1),
+    cells AS MATERIALIZED (
+      SELECT x.p_name AS a, y.p_name AS b, i, j FROM n x JOIN n y ON x.pos < y.pos,
+             unnest(range(1, length(x.p_name) + 1)) AS s(i), unnest(range(1, length(y.p_name) + 1)) AS t(j)
+      WHERE substr(x.p_name, i, 1) = substr(y.p_name, j, 1)),
+    runs AS MATERIALIZED (
+      SELECT a, b, i, j, list_max([k FOR k IN range(1, 13) IF k <= length(a) - i + 1 AND k <= length(b) - j + 1
+             AND substr(a, i, k) = substr(b, j, k)]) AS run FROM cells),
+    parts AS (
+      SELECT DISTINCT a, b, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi, 0 AS size FROM runs
+      UNION ALL
+      SELECT a, b, side.alo, side.ahi, side.blo, side.bhi, side.size FROM (
+        SELECT a, b, unnest([
+            {'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j, 'size': k},
+            {'alo': i + k, 'ahi': ahi, 'blo': j + k, 'bhi': bhi, 'size': 0}]) AS side
+        FROM (
+          SELECT p.*, i, j, least(run, ahi - i, bhi - j) AS k,
+                 row_number() OVER (PARTITION BY p.a, p.b, alo, blo
+                   ORDER BY least(run, ahi - i, bhi - j) DESC, i, j) AS nth
+          FROM parts p JOIN runs USING (a, b) WHERE i >= alo AND i < ahi AND j >= blo AND j < bhi)
+        WHERE nth = 1)),
+    near AS MATERIALIZED (
+      SELECT a, b FROM parts GROUP BY a, b HAVING 2.0 * sum(size) / (length(a) + length(b)) >= 0.75),
+    r AS (
+      SELECT 0::BIGINT AS pos, []::VARCHAR[] AS kept
+      UNION ALL
+      SELECT n.pos, CASE WHEN EXISTS (SELECT 1 FROM near WHERE near.b = n.p_name AND list_contains(r.kept, near.a))
+             THEN r.kept ELSE list_append(r.kept, n.p_name) END
+      FROM r JOIN n ON n.pos = r.pos + 1)
+    SELECT id AS p_partkey, p_name FROM n
+    WHERE list_contains((SELECT kept FROM r ORDER BY pos DESC LIMIT 1), p_name)
+    """,
+)
 def _(spark, d):
     return dedup_fuzzy(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", ["p_partkey"], 0.75)
 
