@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from brightrow.llm import automaton
 from brightrow.llm.common import annotate, groups, joined, pick
 from brightrow.llm.automaton import SEPARATOR
+from brightrow.session import durable
 
 UNKNOWN = "und"
 ORDER = 4
@@ -36,6 +37,7 @@ MOST_STATES = 6_000
 SAMPLE_DOCUMENTS = 300
 SAMPLE_BYTES = 8_000
 SHARES = 64
+SMALL_ROWS = 100_000
 
 
 class Model:
@@ -138,22 +140,21 @@ def _shares(tree: dict[bytes, Counter], context: bytes, kept: set[bytes]) -> np.
 def train(df: DataFrame, language: str = "lang", text: str = "text", by: str = "doc_id") -> Model:
     """Fit on the rows with a language and a text; see the module on the sample."""
     rows = pick(df, by, language, text).where(F.col(language).isNotNull() & (F.length(text) > 0))
-    hashed = F.xxhash64(F.col(by).cast("string"), F.lit("sample"))
-    order = (F.col("_hash"), F.col(by), F.col("_part"))
-    first = Window.partitionBy(language, "_share").orderBy(*order)
-    final = Window.partitionBy(language).orderBy(*order)
     part = F.substring(F.col(text), 1, SAMPLE_BYTES)
-    chosen = (
-        rows.select(language, by, part.alias("_part"), hashed.alias("_hash"))
-        # A language may hold most rows: it is thinned in shares first.
-        .withColumn("_share", F.pmod("_hash", F.lit(SHARES)))
-        .withColumn("_rank", F.row_number().over(first))
-        .where(F.col("_rank") <= SAMPLE_DOCUMENTS)
-        .withColumn("_rank", F.row_number().over(final))
-        .where(F.col("_rank") <= SAMPLE_DOCUMENTS)
-        .select(language, "_part")
-        .collect()
-    )
+    hashed = F.xxhash64(F.col(by).cast("string"), part)
+    keys = rows.select(F.col(language).alias("_lang"), hashed.alias("_hash")).distinct()
+    # A language may hold most rows: its hashes are thinned in shares first.
+    share = F.pmod("_hash", F.lit(SHARES))
+    first = Window.partitionBy("_lang", share).orderBy("_hash")
+    final = Window.partitionBy("_lang").orderBy("_hash")
+    for window in (first, final):
+        keys = keys.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= SAMPLE_DOCUMENTS)
+    chosen = durable(keys.select("_lang", "_hash"))
+    known = rows.select(F.col(language).alias("_lang"), hashed.alias("_hash"), part.alias("_part"))
+    # Texts are read again rather than shuffled; few languages make few rows here.
+    small = chosen.count() <= SMALL_ROWS
+    found = known.join(F.broadcast(chosen) if small else chosen, ["_lang", "_hash"], "leftsemi")
+    chosen = found.groupBy("_lang", "_hash").agg(F.first("_part").alias("_part")).select("_lang", "_part").collect()
     samples: dict[str, list[bytes]] = {}
     for row in chosen:
         samples.setdefault(row[0], []).append(row["_part"].encode()[:SAMPLE_BYTES])
