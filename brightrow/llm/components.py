@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from brightrow.session import durable
+from brightrow.session import durable, free
 
 MOST_ROUNDS = 60
 
@@ -23,7 +23,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             break
-        table = durable(_small_star(_large_star(table)))
+        before, table = table, durable(_small_star(_large_star(table)))
+        free(before)
         after = _state(table)
         if after == state:
             break
