@@ -78,20 +78,18 @@ def _thin(
     if largest <= limit:
         # Every key fits a task: whole keys per partition, nothing to carry.
         placed = known.withColumn("__chunk", F.lit(0).cast("long")).repartition("__key")
-        ranged, carried = placed.sortWithinPartitions(*order), {}
+        kept = placed.sortWithinPartitions(*order).mapInArrow(_filter(width), placed.schema)
     else:
         ranged = durable_partitions(
             known.repartitionByRange(math.ceil(total / limit), *order)
             .sortWithinPartitions(*order)
-            .withColumn("__chunk", F.spark_partition_id().cast("long"))
+            .withColumns({"__chunk": F.spark_partition_id().cast("long"), "__seq": F.monotonically_increasing_id()})
         )
-        steps = ranged.select("__chunk", "__key", "__value").mapInArrow(_reporter(width), STEPS)
-        # One number per chunk: bounded by the chunk count.
-        written = durable(steps)
-        found = _carried(written, width).collect()
-        free(written)
-        carried = {r["chunk"]: r["carried"] for r in found if r["carried"] is not None}
-    kept = ranged.mapInArrow(_filter(width, df.sparkSession.sparkContext.broadcast(carried)), ranged.schema)
+        steps = durable(ranged.select("__chunk", "__key", "__value").mapInArrow(_reporter(width), STEPS))
+        carried = durable(_carried(steps, width).withColumnRenamed("chunk", "__chunk"))
+        free(steps)
+        chunks = ranged.groupBy("__chunk").cogroup(carried.groupBy("__chunk"))
+        kept = chunks.applyInArrow(_filter_chunk(width), ranged.schema).drop("__seq")
     helpers = ["__key", "__value", "__chunk"]
     # Rows without a value never match one another.
     unknown = rows.where("__value is null")
@@ -240,7 +238,20 @@ def _carried(steps: DataFrame, width: float) -> DataFrame:
     return entered.groupBy("parent").applyInPandas(_walker(width), "chunk long, carried double")
 
 
-def _filter(width: float, carried):
+def _filter_chunk(width: float):
+    """One chunk with the value kept before it."""
+
+    def run(rows: pa.Table, carried: pa.Table) -> pa.Table:
+        before = carried.column("carried")[0].as_py() if carried.num_rows else None
+        ordered = rows.sort_by("__seq").combine_chunks()
+        return pa.Table.from_batches(_filter(width, before)(ordered.to_batches()), schema=rows.schema)
+
+    return run
+
+
+def _filter(width: float, before: float | None = None):
+    """Rows that stay, in order; ``before`` is the value kept last for the first row's key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, anchor, begun = None, None, False
         for batch in batches:
@@ -249,7 +260,7 @@ def _filter(width: float, carried):
             keys, values = batch.column("__key"), batch.column("__value").to_numpy(zero_copy_only=False)
             if not begun:
                 key, begun = keys[0].as_py(), True
-                anchor = carried.value.get(batch.column("__chunk")[0].as_py())
+                anchor = before
             new_key = np.empty(len(values), dtype=bool)
             new_key[0] = keys[0].as_py() != key
             if len(values) > 1:
