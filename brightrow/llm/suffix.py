@@ -42,11 +42,11 @@ from brightrow.session import durable
 LENGTH = 100
 GRAM = 32
 WIDE = LENGTH - GRAM + 1
-BLOCK_BYTES = 5_000_000
-PIECE_BYTES = 1_000_000
+BLOCK_BYTES = 2_500_000
+PIECE_BYTES = 500_000
 SHARD_BYTES = 12_000_000
 JOINED_BYTES = 1_000_000
-HOT = 50_000
+HOT = 256
 MOST_SHARDS = 65_536
 SEPARATOR = 0xFF  # never a byte of UTF-8
 ODD = 0x9E3779B97F4A7C15
@@ -551,9 +551,11 @@ def remove_repeats(df: DataFrame, text: str = "text", by: str = "doc_id", hot: i
     blocks = bucketed(_blocks(docs, text, by), max(4, math.ceil(size / BLOCK_BYTES)))
     needed = blocks.select("block", "docs", "starts", "first", "keys", "wholes", "names", "hashes", "periodic")
     sent = batches(needed, _send_classes(shards), SENT)
-    classes = durable(sent.groupBy("shard").applyInArrow(_settle(hot), ANSWER))
+    # By number, so that small shuffled rows, which cost much work each, are not put together.
+    classes = durable(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_settle(hot), ANSWER))
     open_ones = blocks.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(_send_left(shards), SENT)
-    windows = durable(open_ones.groupBy("kind", "shard").applyInArrow(_settle_left, ANSWER))
+    dealt = open_ones.repartition(shards, "kind", "shard").groupBy("kind", "shard")
+    windows = durable(dealt.applyInArrow(_settle_left, ANSWER))
     schema = T.StructType(
         [docs.schema[by]]
         + T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields

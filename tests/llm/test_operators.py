@@ -360,7 +360,7 @@ def test_near_vectors(spark, tile):
 # Repeated strings
 
 
-@pytest.mark.parametrize("hot", [suffix.HOT, 2])
+@pytest.mark.parametrize("hot", [suffix.HOT, 2, 10**6])
 def test_repeated_strings(spark, docs, documents, hot):
     rng = random.Random(6)
     base = ["".join(rng.choices("abcdefgh é", k=rng.randint(20, 400))) for _ in range(12)]
