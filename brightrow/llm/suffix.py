@@ -139,6 +139,13 @@ def _keys(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, least
 
 
+def _spread(key: np.ndarray) -> np.ndarray:
+    """Smallest hashes are small numbers; one to one, these are even over all 64 bits."""
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return key ^ (key >> np.uint64(32))
+
+
 def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
     """(text, offset, bytes) in lists of bounded size; pieces of a long text overlap by a window less one."""
     waiting, size = [], 0
@@ -184,7 +191,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         same = grams[ragged(at, reach)] == np.repeat(key[begin], reach)
         periodic = np.add.reduceat(same, np.cumsum(reach) - reach, dtype=np.int64) > 1
         wholes = np.fromiter(whole, dtype=np.uint64, count=len(at))
-        found.append((first[0][own], start, count, key[begin], wholes, periodic))
+        found.append((first[0][own], start, count, _spread(key[begin]), wholes, periodic))
     if not found:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool)
