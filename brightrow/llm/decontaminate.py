@@ -40,12 +40,7 @@ def _kept(df: DataFrame, column: str) -> DataFrame:
 
     Numbers that reach over the end may be kept as well; they only add candidates.
     """
-    hashed = df.withColumn("_g1", F.transform(column, lambda w: F.xxhash64(w)))
-    size, name = 1, "_g1"
-    while size < GRAM:
-        step = min(size, GRAM - size)
-        hashed = hashed.withColumn(f"_g{size + step}", _beside(name, step, lambda a, b: F.xxhash64(a, b)))
-        size, name = size + step, f"_g{size + step}"
+    hashed, name = _numbered(df, column, GRAM)
     window, size = SPAN - GRAM + 1, 1
     while size < window:
         step = min(size, window - size)
@@ -54,6 +49,17 @@ def _kept(df: DataFrame, column: str) -> DataFrame:
     return hashed.withColumn("_kept", F.array_distinct(name))
 
 
+def _numbered(df: DataFrame, column: str, gram: int) -> tuple[DataFrame, str]:
+    """Adds one number per place for ``gram`` words from there, and tells its column."""
+    hashed = df.withColumn("_g1", F.transform(column, lambda w: F.xxhash64(w)))
+    size, name = 1, "_g1"
+    while size < gram:
+        step = min(size, gram - size)
+        hashed = hashed.withColumn(f"_g{size + step}", _beside(name, step, lambda a, b: F.xxhash64(a, b)))
+        size, name = size + step, f"_g{size + step}"
+    return hashed, name
+
+
 def _beside(name: str, step: int, combine) -> Column:
     """Each element combined with the one ``step`` further."""
     return F.zip_with(name, F.slice(name, step + 1, F.greatest(F.size(name), F.lit(1))), combine)
@@ -98,14 +104,27 @@ def _find(docs: DataFrame, benchmark: DataFrame, text: str, item: str) -> DataFr
     marks = durable(_kept(long, "_words").select(F.explode_outer("_kept").alias("_mark")).distinct())
     offered = _kept(split, "_words").select("_key", F.explode_outer("_kept").alias("_mark"))
     candidates = durable(_joined(offered, marks, ["_mark"], "leftsemi").select("_key").distinct())
-    near = docs.select("_key", text).join(candidates, "_key", "leftsemi").dropDuplicates(["_key"])
-    found = [_hits(near.select("_key", words(F.col(text)).alias("_words")), long, SPAN)]
+    found = [_hits(_near(docs, candidates, text), long, SPAN)]
     size = F.size("_words")
-    short = items.select(size.alias("n")).where("n > 0").where(F.col("n") < SPAN).distinct().collect()
-    found += [_hits(split, items.where(size == n), n) for n in sorted(r["n"] for r in short)]
+    lengths = items.select(size.alias("n")).where("n > 0").where(F.col("n") < SPAN).distinct().collect()
+    for n in sorted(r["n"] for r in lengths):
+        # Short items have one number each, which is looked up at every place.
+        short = items.where(size == n)
+        numbered, name = _numbered(short, "_words", n)
+        marks = durable(numbered.select(F.get(name, F.lit(0)).alias("_mark")).distinct())
+        numbered, name = _numbered(split, "_words", n)
+        offered = numbered.select("_key", F.explode_outer(F.array_distinct(name)).alias("_mark"))
+        candidates = durable(_joined(offered, marks, ["_mark"], "leftsemi").select("_key").distinct())
+        found.append(_hits(_near(docs, candidates, text), short, n))
     return durable(reduce(DataFrame.unionByName, found))
 
 
+def _near(docs: DataFrame, candidates: DataFrame, text: str) -> DataFrame:
+    """Words of the candidate documents, each once."""
+    near = docs.select("_key", text).join(candidates, "_key", "leftsemi").dropDuplicates(["_key"])
+    return near.select("_key", words(F.col(text)).alias("_words"))
+
+
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame:
     """The documents, all columns, without those that hold a window of an item."""
     names = documents.columns
