@@ -77,8 +77,8 @@ class Vocabulary:
         self.places: dict[bytes, int] = {}
         self.flat = np.empty(1 << 16, dtype=np.uint32)
         self.used = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
+        self.starts = np.empty(1 << 16, dtype=np.int64)
+        self.sizes = np.empty(1 << 16, dtype=np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
         decoded = [w.decode("utf-8", "replace") for w in words]
@@ -94,25 +94,24 @@ class Vocabulary:
                 single += chunk
                 continue
             self._keep([words[i] for i in chunk], ids, ends[upto - 1])
-        for i, ids in zip(single, self._ids([decoded[i] for i in single])):
-            self._keep([words[i]], ids, [len(ids)])
+        if single:
+            found = self._ids([decoded[i] for i in single])
+            self._keep([words[i] for i in single], np.concatenate(found), np.cumsum([len(ids) for ids in found]))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=np.uint32) for x in found]
 
     def _keep(self, words: list[bytes], ids: np.ndarray, ends) -> None:
-        if self.used + len(ids) > len(self.flat):
-            grown = np.empty(max(2 * len(self.flat), self.used + len(ids)), dtype=np.uint32)
-            grown[: self.used] = self.flat[: self.used]
-            self.flat = grown
+        known, end = len(self.places), np.asarray(ends, dtype=np.int64)
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.starts = _room(self.starts, known + len(words))
+        self.sizes = _room(self.sizes, known + len(words))
         self.flat[self.used : self.used + len(ids)] = ids
-        begin = 0
-        for word, end in zip(words, ends):
-            self.places[word] = len(self.starts)
-            self.starts.append(self.used + begin)
-            self.sizes.append(int(end) - begin)
-            begin = int(end)
+        self.places.update(zip(words, range(known, known + len(words))))
+        begin = np.concatenate([[0], end[:-1]])
+        self.starts[known : known + len(words)] = self.used + begin
+        self.sizes[known : known + len(words)] = end - begin
         self.used += len(ids)
 
     def _look_up(self, words: list[bytes]) -> np.ndarray:
@@ -129,14 +128,22 @@ class Vocabulary:
             missing = {own[i] for own, at in zip(words, found) for i in np.flatnonzero(at < 0).tolist()}
             if missing:
                 self._learn(list(missing))
-            starts, sizes = np.array(self.starts, dtype=np.int64), np.array(self.sizes, dtype=np.int64)
             for own, at in zip(words, found):
                 new = np.flatnonzero(at < 0)
                 at[new] = self._look_up([own[i] for i in new.tolist()])
-                out.append(self.flat[ragged(starts[at], sizes[at])])
+                out.append(self.flat[ragged(self.starts[at], self.sizes[at])])
         return out
 
 
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, grown by doubling if it is shorter than ``size``."""
+    if size <= len(array):
+        return array
+    grown = np.empty(max(size, 2 * len(array)), dtype=array.dtype)
+    grown[: len(array)] = array
+    return grown
+
+
 def _split(text: bytes) -> list[bytes]:
     # Special strings keep their case, which tells them from ordinary text.
     return text.split() if b"<|" in text else _SIGNS.sub(rb" \1", text.lower()).split()
