@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 A text is lower-cased (A-Z) and read as words. A cheap look for stems keeps most texts
-from any rule; in the rest, a rule runs only if its keyword is one of the words. What
-the rules find is ordered by priority, then length, then place, and a detection inside
+from any rule; in the rest, a rule runs only if one of its keywords is one of the words.
+Every text that a rule matches holds one of its keywords. What the rules find is ordered by priority, then length, then place, and a detection inside
 an accepted one is suppressed. The three base phrases are found at all their places and
 are never suppressed.
 
@@ -29,44 +29,45 @@ IN_WORD = np.zeros(256, dtype=bool)
 for _low, _high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
     IN_WORD[_low : _high + 1] = True
 
-# Families: label, keyword, name as words (regular expression), short form, versions.
+# Families: label, keywords of the name (one in every alternative), name as words (regular
+# expression), short form, versions. The first word of the short form is the keyword of its rules.
 FAMILIES = (
     ("apache", "apache", "apache(?: software)?(?: foundation)?", "apache", ("1 0", "1 1", "2 0", "2")),
-    ("mit", "mit", "(?:mit|expat|x11)", "mit", ()),
+    ("mit", "mit expat x11", "(?:mit|expat|x11)", "mit", ()),
     ("bsd", "bsd", "(?:(?:new|modified|revised|simplified) )?bsd", "bsd", ("0 clause", "1 clause", "2 clause", "3 clause", "4 clause")),
-    ("isc", "isc", "(?:isc|internet systems consortium)", "isc", ()),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public", "lgpl", ("2 0", "2 1", "3 0", "2", "3")),
+    ("isc", "isc consortium", "(?:isc|internet systems consortium)", "isc", ()),
+    ("lgpl", "lesser library", "(?:gnu )?(?:lesser|library) general public", "lgpl", ("2 0", "2 1", "3 0", "2", "3")),
     ("agpl", "affero", "(?:gnu )?affero general public", "agpl", ("1 0", "3 0", "3")),
-    ("gpl", "gpl", "(?:gnu )?(?:gpl|general public)", "gpl", ("1 0", "2 0", "3 0", "1", "2", "3")),
+    ("gpl", "gpl general", "(?:gnu )?(?:gpl|general public)", "gpl", ("1 0", "2 0", "3 0", "1", "2", "3")),
     ("gpl", "gnu", "gnu (?:gpl|general public)", "gnu gpl", ("1", "2", "3")),
     ("gfdl", "documentation", "(?:gnu )?free documentation", "gfdl", ("1 1", "1 2", "1 3")),
     ("mpl", "mozilla", "mozilla public", "mpl", ("1 0", "1 1", "2 0")),
     ("epl", "eclipse", "eclipse (?:public|distribution)", "epl", ("1 0", "2 0")),
-    ("cddl", "cddl", "(?:common development and distribution|cddl)", "cddl", ("1 0", "1 1")),
-    ("cpl", "cpl", "(?:common public|cpl)", "cpl", ("1 0",)),
+    ("cddl", "development cddl", "(?:common development and distribution|cddl)", "cddl", ("1 0", "1 1")),
+    ("cpl", "common cpl", "(?:common public|cpl)", "cpl", ("1 0",)),
     ("ipl", "ibm", "ibm public", "ipl", ("1 0",)),
-    ("eupl", "eupl", "(?:european union public|eupl)", "eupl", ("1 0", "1 1", "1 2")),
+    ("eupl", "european eupl", "(?:european union public|eupl)", "eupl", ("1 0", "1 1", "1 2")),
     ("artistic", "artistic", "(?:clarified )?artistic", "artistic", ("1 0", "2 0")),
     ("boost", "boost", "boost(?: software)?", "bsl", ("1 0",)),
     ("zlib", "zlib", "(?:zlib|zlib libpng)", "zlib", ()),
     ("unlicense", "unlicense", "unlicense", "unlicense", ()),
-    ("wtfpl", "wtfpl", "(?:do what the fuck you want to public|wtfpl)", "wtfpl", ("1", "2")),
+    ("wtfpl", "fuck wtfpl", "(?:do what the fuck you want to public|wtfpl)", "wtfpl", ("1", "2")),
     ("python", "python", "python(?: software foundation)?", "psf", ("2", "2 0")),
     ("php", "php", "php", "php", ("3 0", "3 01")),
     ("ruby", "ruby", "ruby", "ruby", ()),
-    ("openssl", "openssl", "(?:openssl|ssleay)", "openssl", ()),
+    ("openssl", "openssl ssleay", "(?:openssl|ssleay)", "openssl", ()),
     ("ofl", "sil", "sil open font", "ofl", ("1 0", "1 1")),
     ("ecl", "educational", "educational community", "ecl", ("1 0", "2 0")),
     ("afl", "academic", "academic free", "afl", ("2 0", "2 1", "3 0")),
-    ("osl", "osl", "(?:open software|osl)", "osl", ("1 0", "2 0", "2 1", "3 0")),
+    ("osl", "open osl", "(?:open software|osl)", "osl", ("1 0", "2 0", "2 1", "3 0")),
     ("msl", "microsoft", "microsoft (?:public|reciprocal)", "ms pl", ()),
-    ("odbl", "odbl", "(?:open database|open data commons(?: open database)?|odbl)", "odbl", ("1 0",)),
-    ("odc-by", "odc", "(?:open data commons attribution|odc by)", "odc by", ("1 0",)),
+    ("odbl", "open odbl", "(?:open database|open data commons(?: open database)?|odbl)", "odbl", ("1 0",)),
+    ("odc-by", "attribution odc", "(?:open data commons attribution|odc by)", "odc by", ("1 0",)),
     ("postgresql", "postgresql", "postgresql", "postgresql", ()),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa", "ncsa", ()),
-    ("upl", "upl", "(?:universal permissive|upl)", "upl", ("1 0",)),
+    ("upl", "permissive upl", "(?:universal permissive|upl)", "upl", ("1 0",)),
     ("elastic", "elastic", "elastic", "elastic", ("1 0", "2 0")),
-    ("sspl", "sspl", "(?:server side public|sspl)", "sspl", ("1 0", "1")),
+    ("sspl", "server sspl", "(?:server side public|sspl)", "sspl", ("1 0", "1")),
     ("busl", "business", "business source", "busl", ("1 0", "1 1")),
     ("rail", "rail", "(?:open|creativeml|bigscience|bigcode)(?: open)? rail(?: m)?", "openrail", ()),
 )
@@ -80,7 +81,7 @@ COMMONS = (
     ("cc-by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s?"),
 )
 COMMONS_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-# Single signatures: label, keyword, expression, score.
+# Single signatures: label, keywords (one in every match), expression, score.
 SINGLE = (
     ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?", 0.95),
     ("cc0", "zero", "creative commons zero(?: 1 0)?(?: universal)?", 0.95),
@@ -88,7 +89,7 @@ SINGLE = (
     ("public-domain", "domain", "public domain", 0.6),
     ("reserved", "rights", "(?:all|some|no) rights reserved", 0.8),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)[0-9][0-9])?", 0.7),
-    ("copyright", "copyright", "copyrighted?(?: c)? by", 0.6),
+    ("copyright", "copyrighte copyrighted", "copyrighted?(?: c)? by", 0.6),
     ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
     ("mit", "warranty", "the software is provided as is without warranty of any kind", 0.8),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 1.0),
@@ -99,7 +100,7 @@ SINGLE = (
     ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license", 1.0),
     ("proprietary", "proprietary", "(?:proprietary and confidential|confidential and proprietary)", 0.8),
     ("proprietary", "prohibited", "unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: of this file)?(?: \\S+){0,6} is (?:strictly )?prohibited", 0.9),
-    ("noncommercial", "commercial", "(?:for )?non ?commercial (?:use|purposes) only", 0.7),
+    ("noncommercial", "commercial noncommercial", "(?:for )?non ?commercial (?:use|purposes) only", 0.7),
     ("eula", "eula", "eula", 0.5),
     ("eula", "user", "end user license agreement", 0.7),
 )
@@ -120,33 +121,39 @@ STEMS = (b"licen", b"reserved", b"copyright", b"domain", b"spdx", b"commons", b"
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     expression: re.Pattern
     priority: int
     score: float
 
+    @property
+    def keyword(self) -> bytes:
+        """The first of the keywords."""
+        return self.keywords[0]
+
 
 @cache
 def rules() -> tuple[Rule, ...]:
     """All signatures, from the families in every form and version, the Commons and the single ones."""
     out = []
 
-    def add(label, keyword, expression, priority, score):
+    def add(label, keywords, expression, priority, score):
         framed = re.compile(rb"(?<= )(?:" + expression.encode() + rb")(?= )")
-        out.append(Rule(label, keyword.encode(), framed, priority, score))
+        out.append(Rule(label, tuple(keywords.encode().split()), framed, priority, score))
 
-    for label, keyword, name, short, versions in FAMILIES:
+    for label, of_name, name, short, versions in FAMILIES:
         for form, versioned, priority, score in FORMS:
+            keywords = short.split()[0] if "{short}" in form else of_name
             for version in versions if versioned else ("",):
-                add(label, keyword, form.format(name=name, short=short, version=version), priority, score)
+                add(label, keywords, form.format(name=name, short=short, version=version), priority, score)
     for label, short, long in COMMONS:
         for version in COMMONS_VERSIONS:
             add(label, "cc", f"cc {short} {version}", 85, 1.0)
             add(label, "commons", f"creative commons {long}(?: international)?(?: licen[cs]e)? {version}", 85, 1.0)
         add(label, "cc", f"cc {short}", 45, 0.85)
         add(label, "commons", f"creative commons {long}", 45, 0.9)
-    for label, keyword, expression, score in SINGLE:
-        add(label, keyword, expression, 65, score)
+    for label, keywords, expression, score in SINGLE:
+        add(label, keywords, expression, 65, score)
     return tuple(out)
 
 
@@ -154,14 +161,15 @@ def rules() -> tuple[Rule, ...]:
 def _by_keyword() -> dict[bytes, tuple[int, ...]]:
     found: dict[bytes, list[int]] = {}
     for i, rule in enumerate(rules()):
-        found.setdefault(rule.keyword, []).append(i)
+        for keyword in rule.keywords:
+            found.setdefault(keyword, []).append(i)
     return {k: tuple(v) for k, v in found.items()}
 
 
 @cache
 def _stem() -> tuple[bytes, ...]:
     """The fixed stems, and keywords that may stand in a text without any of them."""
-    more = {r.keyword for r in rules() if not any(s in r.expression.pattern for s in STEMS)}
+    more = {k for r in rules() if not any(s in r.expression.pattern for s in STEMS) for k in r.keywords}
     return tuple(sorted({*STEMS, *more, b"cc"}))
 
 

@@ -163,6 +163,53 @@ def test_license_rules():
         assert any(s in body or s == rule.keyword for s in stems), rule
 
 
+def variants(parsed):
+    """Texts of a parsed expression: its first reading, then each other choice in turn."""
+    parts = []
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            parts.append([chr(value)])
+        elif name == "IN":
+            of = [chr(v) if str(k) == "LITERAL" else chr(v[0]) if str(k) == "RANGE" else "x" for k, v in value]
+            parts.append(of)
+        elif name == "SUBPATTERN":
+            parts.append(variants(value[-1]))
+        elif name == "BRANCH":
+            parts.append([t for branch in value[1] for t in variants(branch)])
+        elif name == "MAX_REPEAT":
+            low, high, body = value
+            parts.append([*dict.fromkeys(t * n for n in (low, min(high, 6)) for t in variants(body))])
+        else:
+            assert name == "ASSERT" or name == "ASSERT_NOT", name
+            parts.append([""])
+    first = [p[0] for p in parts]
+    out = ["".join(first)]
+    for i, p in enumerate(parts):
+        out += ["".join([*first[:i], t, *first[i + 1 :]]) for t in p[1:]]
+    return out
+
+
+def test_each_alternative_of_a_license_rule_is_found():
+    from re import _parser
+
+    for rule in licenses.rules():
+        texts = variants(_parser.parse(rule.expression.pattern.decode()))
+        _, found, _ = licenses._work([t.encode() for t in texts])
+        for text, got in zip(texts, found):
+            assert rule.expression.search(f" {text} ".encode()), text
+            assert rule.label in [d[2] for d in got], (text, rule.label, got)
+    for text, label in (
+        ("SPDX-License-Identifier: MPL-2.0", "mpl"),
+        ("MPL 2.0", "mpl"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"),
+        ("OFL 1.1", "ofl"),
+        ("Expat License", "mit"),
+        ("for noncommercial use only", "noncommercial"),
+    ):
+        assert label in [d[2] for d in licenses._work([text.encode()])[1][0]], text
+
+
 # Packing
 
 
