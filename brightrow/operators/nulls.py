@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from brightrow.columns import choose_numbers, choose_strings, known_number, map_columns, missing, present, ref
 
@@ -62,18 +63,46 @@ def map_values(df: DataFrame, col: str, mapping: Mapping) -> DataFrame:
     if col not in df.columns or not mapping:
         return df
     kind = df.schema[col].dataType
+    mapping = {k: v for k, v in mapping.items() if v is not None}
     if len(mapping) <= MAP_LITERAL_LIMIT:
         return df.withColumn(col, _choice(ref(col), mapping, kind))
-    pairs = df.sparkSession.createDataFrame(
-        [(k, v) for k, v in mapping.items() if k is not None and v is not None],
-        T.StructType([T.StructField("__from", kind), T.StructField("__to", kind)]),
-    )
-    out = df.join(pairs, ref(col) == F.col("__from"), "left")
+    out = df.join(_pairs(df.sparkSession, mapping, kind), ref(col) == F.col("__from"), "left")
     # A null matches no row of the table: its own entry is a literal.
-    mapped = F.coalesce("__to", ref(col), F.lit(mapping.get(None)).cast(kind))
+    unmapped = F.coalesce(ref(col), F.lit(mapping.get(None)).cast(kind))
+    mapped = F.when(F.col("__from").isNotNull(), F.col("__to")).otherwise(unmapped)
     return out.withColumn(col, mapped).select(*[ref(c) for c in df.columns])
 
 
+def _pairs(spark: SparkSession, mapping: Mapping, kind: T.DataType) -> DataFrame:
+    """The mapping as a table, cast as its literals are; of keys alike once cast the first counts."""
+    groups: dict[tuple[T.DataType, T.DataType], list] = {}
+    for at, (old, new) in enumerate(mapping.items()):
+        if old is not None:
+            (old, old_kind), (new, new_kind) = _typed(old), _typed(new)
+            groups.setdefault((old_kind, new_kind), []).append((at, old, new))
+    parts = []
+    for kinds, rows in groups.items():
+        fields = [T.StructField(n, t) for n, t in zip(("__at", "__from", "__to"), (T.LongType(), *kinds))]
+        raw = spark.createDataFrame(rows, T.StructType(fields))
+        parts.append(raw.select("__at", *[F.col(n).cast(kind).alias(n) for n in ("__from", "__to")]))
+    known = reduce(DataFrame.unionByName, parts).where("__from is not null")
+    return known.groupBy("__from").agg(F.min_by("__to", "__at").alias("__to"))
+
+
+def _typed(value) -> tuple[object, T.DataType]:
+    """A value with the type of its literal."""
+    if isinstance(value, int) and not isinstance(value, bool):
+        if -(2**31) <= value < 2**31:
+            return value, T.IntegerType()
+        if -(2**63) <= value < 2**63:
+            return value, T.LongType()
+        value = Decimal(value)
+    if isinstance(value, Decimal):
+        _, digits, exponent = value.as_tuple()
+        return value, T.DecimalType(max(len(digits) + max(exponent, 0), -exponent), max(-exponent, 0))
+    return value, T._infer_type(value)
+
+
 def _choice(c: Column, mapping: Mapping, kind: T.DataType) -> Column:
     out = None
     for old, new in mapping.items():

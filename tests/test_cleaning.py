@@ -2,6 +2,7 @@
 
 import datetime
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,15 @@ def test_large_mapping_is_joined(spark):
     assert sorted(map(str, column(out, "s"))) == ["None", "other", "v1"]
 
 
+@pytest.mark.parametrize("kind", ["double", "string", "bigint", "decimal(10,2)"])
+def test_mapping_is_typed_alike_at_any_size(spark, kind):
+    df = spark.createDataFrame([("1",), ("2",), ("7",), (None,)], "s string").select(F.col("s").cast(kind).alias("c"))
+    small = {1: 10, 2: Decimal("20.50") if kind in ("string", "decimal(10,2)") else 20, None: 5}
+    large = small | {i: 2 * i for i in range(1000, 1600)}
+    results = [sorted(map(str, column(nulls.map_values(df, "c", m), "c"))) for m in (small, large)]
+    assert results[0] == results[1] and len(set(results[0])) == 4
+
+
 def test_one_hot_limit(spark):
     df = spark.range(20).select(F.col("id").cast("string").alias("c"))
     with pytest.raises(ValueError):
