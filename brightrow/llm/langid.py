@@ -168,6 +168,15 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
+def letters(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns with has_letter, false for null."""
+
+    def work(texts: list[bytes | None]):
+        return ([bool(t) and has_letter(t) for t in texts],)
+
+    return annotate(df, text, keep, "has_letter boolean", work)
+
+
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with lang_pred, score (posterior under equal priors) and bits per byte."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_STATES

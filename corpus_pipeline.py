@@ -1,6 +1,7 @@
 """A corpus pipeline: each stage works on all that its predecessor kept.
 
-1. Language ID: a model learns from the labelled documents; those without a language go.
+1. Language ID: a model learns from the labelled documents; those without a letter go, which
+   have no language. With no labelled text to learn from, those with letters stay as well.
 2. SimHash near-dedup: one document of each group stays.
 3. Benchmark decontamination: documents with a window of a benchmark item go.
 4. Secret scans: secrets give way to their kind in brackets, and n_chars follows.
@@ -22,8 +23,12 @@ from brightrow.session import durable
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(pick(docs, "doc_id", "text", "lang").where(remainder(F.col("doc_id"), 4) != 2))
     plain = numbered_columns(docs)
-    found = langid.identify(plain, model, f"_{docs.columns.index('text')}", tuple(plain.columns))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*plain.columns).toDF(*docs.columns)
+    text = f"_{docs.columns.index('text')}"
+    if model.languages:
+        found = langid.identify(plain, model, text, tuple(plain.columns)).where(F.col("lang_pred") != langid.UNKNOWN)
+    else:
+        found = langid.letters(plain, text, tuple(plain.columns)).where("has_letter")
+    return found.select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

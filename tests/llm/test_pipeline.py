@@ -73,6 +73,18 @@ def test_run_gives_the_last_stage(spark, folder):
     assert got.count() > 0
 
 
+def test_documents_stay_when_no_language_is_learned(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20)
+    more = spark.createDataFrame(
+        [(100001, None, None, "x", 0), (100002, "12 34 !", None, "x", 7), (100003, "é", None, None, 1)], docs.schema
+    )
+    docs = docs.unionByName(more).withColumn("lang", F.lit(None).cast("string"))
+    given = rows_of(docs)
+    want = [r for r in given if r[1] and any(map(str.isalpha, r[1]))]
+    got = rows_of(corpus_pipeline.identify_language(spark, docs, folder))
+    assert len(want) > 10 and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_stages_of_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
