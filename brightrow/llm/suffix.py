@@ -48,6 +48,7 @@ SHARD_BYTES = 12_000_000
 JOINED_BYTES = 1_000_000
 HOT = 256
 MOST_SHARDS = 65_536
+MOST_BUCKETS = 65_536  # Spark refuses more than 100,000
 SEPARATOR = 0xFF  # never a byte of UTF-8
 ODD = 0x9E3779B97F4A7C15
 LAST = np.iinfo(np.int64).max
@@ -550,12 +551,17 @@ def _finish(by: str, schema: T.StructType):
     return run
 
 
+def _buckets(size: int) -> int:
+    """Buckets for text of ``size`` bytes: about one per block, several blocks share one beyond the bound."""
+    return min(MOST_BUCKETS, max(4, math.ceil(size / BLOCK_BYTES)))
+
+
 def remove_repeats(df: DataFrame, text: str = "text", by: str = "doc_id", hot: int = HOT) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
     docs = pick(df, by, text)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = min(MOST_SHARDS, max(4, math.ceil(size / SHARD_BYTES)))
-    blocks = bucketed(_blocks(docs, text, by), max(4, math.ceil(size / BLOCK_BYTES)))
+    blocks = bucketed(_blocks(docs, text, by), _buckets(size))
     needed = blocks.select("block", "docs", "starts", "first", "keys", "wholes", "names", "hashes", "periodic")
     sent = batches(needed, _send_classes(shards), SENT)
     # By number, so that small shuffled rows, which cost much work each, are not put together.

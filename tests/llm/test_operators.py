@@ -407,6 +407,17 @@ def test_near_vectors(spark, tile):
 # Repeated strings
 
 
+def test_buckets_are_bounded(spark, monkeypatch):
+    bound = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    assert suffix._buckets(10**15) <= bound and suffix._buckets(0) == 4
+    # Blocks that share a bucket.
+    monkeypatch.setattr(suffix, "MOST_BUCKETS", 1)
+    rows = [(i, chr(97 + i % 7) * 150 + str(i)) for i in range(60)]
+    plain = brute.repeats(rows)
+    want = [(name, *plain[name, text.encode()]) for name, text in rows]
+    same(rows_of(suffix.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(5))), want)
+
+
 @pytest.mark.parametrize("hot", [suffix.HOT, 2, 10**6])
 def test_repeated_strings(spark, docs, documents, hot):
     rng = random.Random(6)
