@@ -6,6 +6,8 @@ that share ``SPAN`` words in a row share all numbers inside, hence a kept one: t
 of kept numbers misses no shared span. Documents with a hit are then extended: their
 windows of ``SPAN`` words are compared with those of the items by two 64-bit hashes of
 all words. Items of fewer words are one window each and are looked up at their length.
+Windows that the same items hold are one class, named by two hashes over these items;
+a document meets items once per class, so a passage that many items share is short.
 
 Null and empty texts have no words; rows that repeat give the same result each. Items
 without an id count their words as hit but are not listed. With an empty table on
@@ -91,8 +93,8 @@ def _key(by: Column, text: Column) -> Column:
     return F.coalesce(F.md5(F.concat(F.coalesce(by.cast("string"), F.lit("none")), F.lit(" "), text)), F.lit("none"))
 
 
-def _find(docs: DataFrame, benchmark: DataFrame, text: str, item: str) -> DataFrame:
-    """Windows of items in the documents (``_key``, text): ``_key``, place, size and items."""
+def _find(docs: DataFrame, benchmark: DataFrame, text: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """Windows of items in the documents (``_key``, text): ``_key``, place, size and class; items of the classes."""
     items = durable(
         pick(benchmark, item, text).select(
             F.col(item).cast("string").alias("_item"), words(F.col(text)).alias("_words")
@@ -104,7 +106,8 @@ def _find(docs: DataFrame, benchmark: DataFrame, text: str, item: str) -> DataFr
     marks = durable(_kept(long, "_words").select(F.explode_outer("_kept").alias("_mark")).distinct())
     offered = _kept(split, "_words").select("_key", F.explode_outer("_kept").alias("_mark"))
     candidates = durable(_joined(offered, marks, ["_mark"], "leftsemi").select("_key").distinct())
-    found = [_hits(_near(docs, candidates, text), long, SPAN)]
+    owned = _owned(long, SPAN)
+    found, owners = [_hits(_near(docs, candidates, text), owned, SPAN)], [_owners(owned)]
     size = F.size("_words")
     lengths = items.select(size.alias("n")).where("n > 0").where(F.col("n") < SPAN).distinct().collect()
     for n in sorted(r["n"] for r in lengths):
@@ -115,8 +118,10 @@ def _find(docs: DataFrame, benchmark: DataFrame, text: str, item: str) -> DataFr
         numbered, name = _numbered(split, "_words", n)
         offered = numbered.select("_key", F.explode_outer(F.array_distinct(name)).alias("_mark"))
         candidates = durable(_joined(offered, marks, ["_mark"], "leftsemi").select("_key").distinct())
-        found.append(_hits(_near(docs, candidates, text), short, n))
-    return durable(reduce(DataFrame.unionByName, found))
+        owned = _owned(short, n)
+        found.append(_hits(_near(docs, candidates, text), owned, n))
+        owners.append(_owners(owned))
+    return durable(reduce(DataFrame.unionByName, found)), reduce(DataFrame.unionByName, owners).distinct()
 
 
 def _near(docs: DataFrame, candidates: DataFrame, text: str) -> DataFrame:
@@ -131,7 +136,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "t
     plain = numbered_columns(documents)
     body = f"_{names.index(text)}"
     keyed = plain.withColumn("_key", _key(F.col(f"_{names.index(by)}"), F.col(body)))
-    hits = _find(keyed.select("_key", F.col(body).alias(text)), benchmark, text, "item_id")
+    hits, _ = _find(keyed.select("_key", F.col(body).alias(text)), benchmark, text, "item_id")
     dirty = durable(hits.select("_key").distinct())
     return keyed.join(dirty, "_key", "leftanti").drop("_key").toDF(*names)
 
@@ -141,7 +146,7 @@ def find_contaminated(
 ) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items (sorted texts of ids) and contaminated."""
     docs = pick(documents, by, text).withColumn("_key", _key(F.col(by), F.col(text)))
-    hits = _find(docs, benchmark, text, item)
+    hits, owners = _find(docs, benchmark, text, item)
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("_at", "_size"))),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("total")),
@@ -153,7 +158,7 @@ def find_contaminated(
     )
     per_key = hits.groupBy("_key").agg(covered.alias("n_hit"))
     listed = (
-        hits.select("_key", F.explode("_items").alias("_item"))
+        _joined(hits.select("_key", "_c", "_d").distinct(), durable(owners), ["_c", "_d"])
         .groupBy("_key")
         .agg(F.array_sort(F.collect_set("_item")).alias("items"))
     )
@@ -170,11 +175,28 @@ def find_contaminated(
     )
 
 
-def _hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """Places of item windows in documents, with the items of each window."""
-    own = _windows(items, size, "_item").groupBy("_h", "_g").agg(F.collect_set("_item").alias("_items"))
-    met = _joined(_windows(docs, size, "_key"), durable(own), ["_h", "_g"])
-    return met.select("_key", "_at", F.lit(size).alias("_size"), "_items")
+def _owned(items: DataFrame, size: int) -> DataFrame:
+    """Windows of the items, each once per item."""
+    return durable(_windows(items, size, "_item").select("_h", "_g", "_item").distinct())
+
+
+def _classes(owned: DataFrame) -> DataFrame:
+    """Windows with their class: two hashes over the set of items that hold them."""
+    first, second = F.xxhash64("_item"), F.xxhash64(F.lit("second"), "_item")
+    return owned.groupBy("_h", "_g").agg(F.bit_xor(first).alias("_c"), F.bit_xor(second).alias("_d"))
+
+
+def _owners(owned: DataFrame) -> DataFrame:
+    """Items with an id per class, taken from one window of the class."""
+    one = _classes(owned).groupBy("_c", "_d").agg(F.min(F.struct("_h", "_g")).alias("_w"))
+    one = one.select("_c", "_d", F.col("_w._h").alias("_h"), F.col("_w._g").alias("_g"))
+    return owned.where(F.col("_item").isNotNull()).join(one, ["_h", "_g"]).select("_c", "_d", "_item")
+
+
+def _hits(docs: DataFrame, owned: DataFrame, size: int) -> DataFrame:
+    """Places of item windows in documents, with the class of each window."""
+    met = _joined(_windows(docs, size, "_key"), durable(_classes(owned)), ["_h", "_g"])
+    return met.select("_key", "_at", F.lit(size).alias("_size"), "_c", "_d")
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -353,6 +353,24 @@ def test_contamination(spark, docs, documents, benchmark_rows):
     assert len(clean[0]) == len(docs.columns)
 
 
+def test_items_that_share_a_passage_meet_a_document_once(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"own{i} {passage} tail{i % 3}") for i in range(200)] + [(None, passage), (900, "p3 p4 p5"), (901, "p3 p4 p5")]
+    documents = [(1, f"a {passage} b"), (2, passage), (3, "none of it"), (4, "x p3 p4 p5 y")]
+    written = []
+    monkeypatch.setattr(decontaminate, "durable", lambda df, keep=decontaminate.durable: written.append(keep(df)) or written[-1])
+    items, docs = spark.createDataFrame(rows, "item_id long, text string"), spark.createDataFrame(documents, DOCS)
+    found = decontaminate.find_contaminated(docs, items)
+    want = brute.contamination(documents, rows)
+    same([(r[0], r[2], r[4]) for r in rows_of(found)], [(n, h, sorted(x)) for (n, _), (_, h, x) in zip(documents, want)])
+    # No list of items is written but the result's; each document meets each of the classes once.
+    lists = {f.name for df in written for f in df.schema if f.dataType.typeName() == "array"}
+    assert lists <= {"_words", "items"}
+    classes = [df.select("_key", "_c", "_d").distinct() for df in written if {"_key", "_c", "_d"} <= set(df.columns)]
+    assert classes and all(df.count() <= 8 for df in classes)
+    same(rows_of(decontaminate.drop_contaminated(docs, items)), documents[2:3])
+
+
 def test_contamination_runs_without_python(spark, folder):
     report = decontaminate.contamination_report(
         spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
