@@ -8,7 +8,8 @@ At most 65 nodes can emit the same word, so no group is large.
 
 The odd distance, three bits, leaves at most one bit in one half of the word: there the
 balls are taken per half. A half of odd parity emits its 32 neighbours, every half itself,
-and the pairs that collide are verified. Pairs already in one group are not looked at.
+and the pairs that collide are verified. Pairs already in one group are not looked at. A half
+of more than ``CROWDED`` fingerprints is cut further by blocks of the other half.
 
 Texts without words (null, empty, white space) have fingerprint zero and link like any
 other. Rows that repeat are members like any other. Component names are document ids;
@@ -29,6 +30,7 @@ SEED = 42
 WORDS = 3
 RADIUS = 3
 SHINGLES_AT_ONCE = 200_000
+CROWDED = 256
 
 
 def _hashes(text: bytes, words: int) -> list[int]:
@@ -117,10 +119,25 @@ def _three_apart(nodes: DataFrame) -> DataFrame:
         "word", F.col("fp").alias("other"), F.col("component").alias("right"), "exact"
     )
     left = halves.select("word", "fp", F.col("component").alias("left"))
-    met = left.join(right, "word").where(
-        f"left <> right AND bit_count(fp ^ other) <= {RADIUS} AND (NOT exact OR fp < other)"
+    hit = f"left <> right AND bit_count(fp ^ other) <= {RADIUS} AND (NOT exact OR fp < other)"
+    crowded = durable(left.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("word"))
+    if crowded.isEmpty():
+        return left.join(right, "word").where(hit).select("left", "right").distinct()
+    few = left.join(crowded, "word", "leftanti").join(right, "word").where(hit).select("left", "right")
+    many = _cut(left.join(crowded, "word", "leftsemi"), "fp").join(
+        _cut(right.join(crowded, "word", "leftsemi"), "other"), ["word", "block"]
     )
-    return met.select("left", "right").distinct()
+    return few.union(many.where(hit).select("left", "right")).distinct()
+
+
+def _cut(rows: DataFrame, fp: str) -> DataFrame:
+    """The rows once per ``block`` of eight bits of the half that is not in ``word``.
+
+    At most three bits of the four blocks differ, so one block of a pair is equal.
+    """
+    rest = f"if(shiftrightunsigned(word, 32) = 0, shiftrightunsigned({fp}, 32), {fp} & 4294967295L)"
+    blocks = f"explode(transform(sequence(0, 3), i -> i * 256 + (shiftrightunsigned({rest}, 8 * i) & 255))) AS block"
+    return rows.select("*", F.expr(blocks))
 
 
 def keep_one(df: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame:

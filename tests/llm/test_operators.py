@@ -492,6 +492,30 @@ def test_simhash(docs, documents):
     assert {place[r[:2]] for r in kept} == set(range(len(groups)))
 
 
+def test_crowded_halves_are_cut(spark):
+    rng = random.Random(8)
+    for side in (0, 32):
+        half = rng.getrandbits(32) << (32 - side)
+        base = [rng.getrandbits(32) for _ in range(500)]
+        rests = {*base, *(b ^ (1 << i) ^ (1 << (i + 9) % 32) ^ (1 << (i + 20) % 32) for i, b in enumerate(base[:60], 1) if i < 32)}
+        near = [(rest ^ 1 << 5, rest ^ 1 << 5 ^ 1 << 11 ^ 1 << 30) for rest in base[:3]]
+        fps = {half | rest << side for rest in rests}
+        fps |= {half ^ (1 << (32 - side)) | (rest ^ 1 << 4 ^ 1 << 17) << side for rest in base[100:110]}
+        fps |= {half | rest << side for pair in near for rest in pair}
+        prints = np.array(sorted(fps), dtype=np.uint64).view(np.int64).tolist()
+        df = spark.createDataFrame([(x, x) for x in prints], "fp long, component long")
+        want = {
+            frozenset((a, b)) for i, a in enumerate(prints) for b in prints[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() == 3
+        }
+        got = rows_of(simhash._three_apart(df))
+        assert len(want) >= 40 and want <= {frozenset(p) for p in got}
+        assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 3 for a, b in got)
+        word = (int(side == 0) << 32) | half >> (32 - side)
+        crowd = df.where(F.expr("shiftrightunsigned(fp, 32)" if side == 0 else "fp & 4294967295L") == (half >> (32 - side)))
+        sizes = simhash._cut(crowd.select("fp", F.lit(word).alias("word")), "fp").groupBy("block").count()
+        assert sum(r["count"] ** 2 for r in sizes.collect()) < crowd.count() ** 2 / 20
+
+
 def test_balls_find_every_distance(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(300)]
