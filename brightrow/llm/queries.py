@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brightrow.llm import (
+    conversations,
     decontaminate,
     embeddings,
     katz,
@@ -93,3 +94,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_katz_backoff")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return katz.score_texts(table(spark, folder, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_report(conversations.damage(table(spark, folder, "conversations")))

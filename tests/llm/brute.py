@@ -206,3 +206,110 @@ def near_vectors(rows, threshold=0.93):
         for i in group:
             component[i] = least
     return [(links[i], component[i]) for i in range(len(rows))], int(pairs)
+
+
+WHITE = "\t\n\x0b\x0c\r "
+SHAPE = re.compile("(s?(ua)+)?")
+
+
+def damaged(rows):
+    """Rows (conv_id, turn, role, text) after damage, per conversation and in order."""
+    out = {}
+    for conv, turn, role, text in rows:
+        mine = out.setdefault(conv, [])
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        kind = zlib.crc32(key.encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if kind == 0:
+            continue
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        if kind == 4:
+            role = "user"
+        mine += [(turn, role, text)] * (2 if kind == 3 else 1)
+    for mine in out.values():
+        mine.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    return out
+
+
+def faults(rows):
+    seen, out = set(), []
+    for _, role, text in rows:
+        tail = text.rstrip(WHITE)
+        out.append("blank" if not tail else "duplicate" if (role, text) in seen else "truncated" if tail[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def conversation(rows, repair):
+    """gaps, blank, duplicate, truncated, illegal, cost, audit, digest of one damaged conversation."""
+    found = faults(rows)
+    turns = [r[0] for r in rows if r[0] is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    pairs = [a[1][:1] + b[1][:1] for a, b in zip(rows, rows[1:])]
+    cost, audit, kept = repair(rows, found)
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in kept).encode()).hexdigest()
+    counts = [found.count(k) for k in ("blank", "duplicate", "truncated")]
+    return (gaps, *counts, sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, digest)
+
+
+def repair_all_ways(rows, found, most=2):
+    """Every way to edit, with up to ``most`` insertions at each place."""
+    import itertools
+
+    fillers = [list(f) for n in range(most + 1) for f in itertools.product(("user", "assistant"), repeat=n)]
+    choices = [fillers]
+    for (_, role, text), fault in zip(rows, found):
+        extra = fault == "truncated"
+        edits = [("D", 3, [])]
+        if fault not in ("blank", "duplicate"):
+            edits += [("K", extra, [(role, text)])] + [("R", 2 + extra, [(r, text)]) for r in ("user", "assistant")]
+        choices += [edits, fillers]
+    best = None
+    for way in itertools.product(*choices):
+        cost, audit, kept = 0, "", []
+        for k, step in enumerate(way):
+            if k % 2:
+                cost, audit, kept = cost + step[1], audit + step[0], kept + step[2]
+            else:
+                cost, audit, kept = cost + 2 * len(step), audit + "I" * len(step), kept + [(r, "") for r in step]
+        if SHAPE.fullmatch("".join(r[:1] or "-" for r, _ in kept)) and (best is None or (cost, audit) < best[:2]):
+            best = (int(cost), audit, kept)
+    return best
+
+
+def repair_by_whole_strings(rows, found):
+    """Row by row with whole edits per state, insertions at every place."""
+    step = {("", "s"): "s", **{(a, "u"): "u" for a in ("", "s", "a")}, ("u", "a"): "a"}
+
+    def offer(into, state, value):
+        if state not in into or value[:2] < into[state][:2]:
+            into[state] = value
+
+    def fill(states):
+        for _ in range(3):
+            for state, (cost, audit, kept) in list(states.items()):
+                for role in ("user", "assistant"):
+                    if to := step.get((state, role[0])):
+                        offer(states, to, (cost + 2, audit + "I", (kept, (role, ""))))
+        return states
+
+    states = fill({"": (0, "", None)})
+    for (_, role, text), fault in zip(rows, found):
+        extra, new = int(fault == "truncated"), {}
+        for state, (cost, audit, kept) in states.items():
+            offer(new, state, (cost + 3, audit + "D", kept))
+            if fault in ("blank", "duplicate"):
+                continue
+            for name, letter, price in ((role, "K", 0), ("user", "R", 2), ("assistant", "R", 2)):
+                if to := step.get((state, name[:1])):
+                    offer(new, to, (cost + price + extra, audit + letter, (kept, (name, text))))
+        states = fill(new)
+    cost, audit, kept = min((states[s] for s in ("", "a") if s in states), key=lambda v: v[:2])
+    out = []
+    while kept:
+        kept, row = kept
+        out.append(row)
+    return cost, audit, out[::-1]
