@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brightrow.llm import (
+    alignment,
     conversations,
     decontaminate,
     embeddings,
@@ -96,6 +97,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return katz.score_texts(table(spark, folder, "documents"), remainder(F.col("doc_id"), 7) == 2)
 
 
+@query("op12_token_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return alignment.alignment_report(documents, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 @query("op13_conversation_repair")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair_report(conversations.damage(table(spark, folder, "conversations")))

@@ -313,3 +313,54 @@ def repair_by_whole_strings(rows, found):
         kept, row = kept
         out.append(row)
     return cost, audit, out[::-1]
+
+
+def aligned(texts, first, second):
+    """Per text: n_a, n_b, groups as text, links as pairs of ids, by the libraries on whole texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer, decoders
+
+    a_side = Tokenizer.from_file(first)
+    a_side.encode_special_tokens = True
+    b_side = sentencepiece.SentencePieceProcessor(model_file=second)
+    visible = bytes_of_letters(decoders)
+    out = []
+    for text in texts:
+        whole = (" " + (text or "")).encode()
+        a = a_side.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = b_side.encode(text) if text else []
+        a_bytes = [b"".join(visible[c] for c in a_side.id_to_token(i)) for i in a]
+        b_bytes = [
+            bytes.fromhex(p[3:5]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
+            for p in map(b_side.id_to_piece, b)
+        ]
+        if not text or b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+            out.append((0, 0, "", []))
+            continue
+        listed, links, i, j = [], [], 0, 0
+        while i < len(a):
+            m, n, left, right = i + 1, j + 1, len(a_bytes[i]), len(b_bytes[j])
+            while left != right:
+                if left < right:
+                    left, m = left + len(a_bytes[m]), m + 1
+                else:
+                    right, n = right + len(b_bytes[n]), n + 1
+            listed.append(",".join(map(str, a[i:m])) + "|" + ",".join(map(str, b[j:n])))
+            links.append((a[m - 1], b[n - 1]))
+            i, j = m, n
+        out.append((len(a), len(b), ";".join(listed), links))
+    return out
+
+
+def bytes_of_letters(decoders):
+    """Which byte each letter of a byte-level vocabulary stands for, asked of the library's own alphabet."""
+    from tokenizers import pre_tokenizers
+
+    out, split = {}, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    for point in range(0x800):
+        letters, raw = split.pre_tokenize_str(chr(point))[0][0], chr(point).encode()
+        out.update({c: bytes([b]) for c, b in zip(letters, raw)})
+    for point in (*range(0x800, 0xD800, 7), *range(0xE000, 0x10000, 7), *range(0x10000, 0x110000, 997)):
+        letters, raw = split.pre_tokenize_str(chr(point))[0][0], chr(point).encode()
+        out.update({c: bytes([b]) for c, b in zip(letters, raw)})
+    return out
