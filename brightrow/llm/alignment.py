@@ -37,7 +37,7 @@ from brightrow.llm.exchange import pack, unpack
 from brightrow.session import durable, free
 
 SPACE = "▁"  # how the second vocabulary writes a space
-REMEMBERED_BYTES = 64 * 1024 * 1024
+REMEMBERED_BYTES = 128 * 1024 * 1024
 BATCH_BYTES = 1024 * 1024
 FIRST_STEP = 4
 
@@ -72,8 +72,13 @@ class Vocabularies:
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace(SPACE, " ").encode())
         self.sizes_a = np.array([len(b) for b in self.bytes_a], dtype=np.int64)
         self.sizes_b = np.array([len(b) for b in self.bytes_b], dtype=np.int64)
-        self.words_a = [str(i) for i in range(len(self.bytes_a))]
-        self.words_b = [str(i) for i in range(len(self.bytes_b))]
+        # How a token is written: within its group or at its end, for A and for B.
+        self.signs = [
+            b"%d%s" % (i, sign)
+            for tokens, signs in ((self.bytes_a, (b",", b"|")), (self.bytes_b, (b",", b";")))
+            for sign in signs
+            for i in range(len(tokens))
+        ]
         self.pairs = self._pairs()
 
     def _pairs(self) -> np.ndarray:
@@ -157,23 +162,49 @@ class Memory:
         self.bytes = 0
 
     def learn(self, parts: list[str]) -> None:
+        """Parts that meet at single spaces are encoded as one text, which is cut again where they end."""
+        tight = [p for p in parts if not (p[0].isspace() or p[-1].isspace())]
+        loose = [p for p in parts if p[0].isspace() or p[-1].isspace()]
         v = self.vocabularies
-        found_a, found_b = v.encode(parts)
-        good = []
-        for part, a, b in zip(parts, found_a, found_b):
-            whole = (" " + part).encode()
-            good.append(
-                b"".join([v.bytes_a[i] for i in a]) == whole and b"".join([v.bytes_b[i] for i in b]) == whole
-            )
+        if tight:
+            text = " ".join(tight)
+            (a,), (b,) = v.encode([text])
+            whole = (" " + text).encode()
+            if b"".join([v.bytes_a[i] for i in a]) == whole and b"".join([v.bytes_b[i] for i in b]) == whole:
+                sizes = np.fromiter((len(p.encode()) + 1 for p in tight), dtype=np.int64, count=len(tight))
+                self._add(tight, *self._shares(a, v.sizes_a, sizes), *self._shares(b, v.sizes_b, sizes), np.ones(len(tight)))
+            else:
+                # Some part does not come back from its tokens, which may shift the rest.
+                loose = parts
+        if loose:
+            found = v.encode(loose)
+            good = np.array([
+                b"".join([v.bytes_a[i] for i in a]) == (" " + p).encode() == b"".join([v.bytes_b[i] for i in b])
+                for p, a, b in zip(loose, *found)
+            ])
+            flat = [(np.array([i for f in side for i in f]), np.array([len(f) for f in side])) for side in found]
+            self._add(loose, *flat[0], *flat[1], good)
+
+    @staticmethod
+    def _shares(ids: list[int], of_token: np.ndarray, of_part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and how many of them each part has; every part ends where a token ends."""
+        ids = np.array(ids, dtype=np.int64)
+        upto = np.searchsorted(np.cumsum(of_token[ids]), np.cumsum(of_part)) + 1
+        return ids, np.diff(upto, prepend=0)
+
+    def _add(self, parts, a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray, good: np.ndarray) -> None:
+        for part in parts:
             self.known[part] = len(self.known)
-            # The key, its entry and the numbers beside it.
-            self.bytes += 4 * len(part) + 4 * (len(a) + len(b)) + 150
-        for flat, begin, size, found in ((self.a, self.begin_a, self.size_a, found_a), (self.b, self.begin_b, self.size_b, found_b)):
-            sizes = np.array([len(f) for f in found], dtype=np.int32)
+        # The keys, their entries and the numbers beside them.
+        self.bytes += 4 * sum(map(len, parts)) + 4 * (len(a) + len(b)) + 150 * len(parts)
+        for flat, begin, size, ids, sizes in (
+            (self.a, self.begin_a, self.size_a, a, sizes_a),
+            (self.b, self.begin_b, self.size_b, b, sizes_b),
+        ):
             begin.extend(flat.size + np.cumsum(sizes) - sizes)
             size.extend(sizes)
-            flat.extend(np.array([i for f in found for i in f], dtype=np.int32))
-        self.good.extend(np.array(good, dtype=np.int32))
+            flat.extend(ids)
+        self.good.extend(good)
 
     def tokens(self, texts: list[str]):
         """Ids of both tokenizers over all texts, and per text their numbers and whether the bytes agree."""
@@ -248,17 +279,17 @@ def closed(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ragged(np.array(begins_a, dtype=np.int64), sizes), ragged(np.array(begins_b, dtype=np.int64), sizes)
 
 
-def groups_text(words_a: list[str], words_b: list[str], last_a: list[int], last_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the tokens of each group, given those that close it."""
-    out = []
-    i = j = 0
-    for a, b in zip(last_a, last_b):
-        if a == i and b == j:
-            out.append(words_a[i] + "|" + words_b[j])
-        else:
-            out.append(",".join(words_a[i : a + 1]) + "|" + ",".join(words_b[j : b + 1]))
-        i, j = a + 1, b + 1
-    return ";".join(out)
+def in_groups(v: Vocabularies, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> np.ndarray:
+    """Places in ``v.signs`` of all tokens, group after group: those of A, then those of B."""
+    count = len(v.bytes_a), len(v.bytes_b)
+    closes_a, closes_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+    closes_a[last_a], closes_b[last_b] = 1, 1
+    group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+    out = np.empty(len(a) + len(b), dtype=np.int64)
+    # Before a token of A stand the tokens of B of earlier groups; before one of B those of A up to its own.
+    out[np.arange(len(a)) + np.append(0, last_b + 1)[group_a]] = a + count[0] * closes_a
+    out[np.arange(len(b)) + last_a[group_b] + 1] = 2 * count[0] + b + count[1] * closes_b
+    return out
 
 
 def align(
@@ -273,32 +304,26 @@ def align(
 
     def work(texts: list[bytes | None]):
         v, known = vocabularies(first, second), memory(first, second)
-        word_a, word_b = v.words_a.__getitem__, v.words_b.__getitem__
+        sign = v.signs.__getitem__
         rows = []
         bodies = [t or b"" for t in texts]
         for begin, end in groups(bodies, BATCH_BYTES):
             a, sizes_a, b, sizes_b = known.tokens([t.decode("utf-8", "replace") for t in bodies[begin:end]])
             last_a, last_b = closed(np.cumsum(v.sizes_a[a]), np.cumsum(v.sizes_b[b]))
             links = np.searchsorted(v.pairs, v.key(a[last_a].astype(np.int64), b[last_b].astype(np.int64)))
+            written = in_groups(v, a, b, last_a, last_b).tolist()
             to_a, to_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
             to = np.searchsorted(last_a, to_a)
-            words_a, words_b = list(map(word_a, a.tolist())), list(map(word_b, b.tolist()))
-            from_a = from_b = since = 0
-            for k in range(end - begin):
-                upto_a, upto_b, upto = int(to_a[k]), int(to_b[k]), int(to[k])
-                if upto_a == from_a:
+            since = at = 0
+            for n_a, n_b, upto in zip(sizes_a.tolist(), sizes_b.tolist(), to.tolist()):
+                if not n_a:
                     rows.append((0, 0, 0, "", None, ""))
                     continue
-                listed = groups_text(
-                    words_a[from_a:upto_a],
-                    words_b[from_b:upto_b],
-                    (last_a[since:upto] - from_a).tolist(),
-                    (last_b[since:upto] - from_b).tolist(),
-                )
-                digest = hashlib.sha256(listed.encode()).hexdigest()
-                row = (upto_a - from_a, upto_b - from_b, upto - since, digest, pack(links[since:upto], "<u4"))
-                rows.append((*row, listed))
-                from_a, from_b, since = upto_a, upto_b, upto
+                # ``a1,a2|b1;a3|b2,b3``: the tokens of each group.
+                listed = b"".join(map(sign, written[at : at + n_a + n_b]))[:-1]
+                row = (n_a, n_b, upto - since, hashlib.sha256(listed).hexdigest(), pack(links[since:upto], "<u4"))
+                rows.append((*row, listed.decode("ascii") if whole else None))
+                since, at = upto, at + n_a + n_b
         columns = [list(c) for c in zip(*rows)] or [[]] * 6
         return columns if whole else columns[:5]
 

@@ -32,8 +32,8 @@ def found(texts, pair):
     for text in texts:
         a, _, b, _ = known.tokens([text])
         last_a, last_b = alignment.closed(np.cumsum(v.sizes_a[a]), np.cumsum(v.sizes_b[b]))
-        words_a, words_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups = alignment.groups_text(words_a, words_b, last_a.tolist(), last_b.tolist())
+        written = alignment.in_groups(v, a, b, last_a, last_b)
+        groups = b"".join([v.signs[i] for i in written])[:-1].decode()
         out.append((len(a), len(b), groups, list(zip(a[last_a].tolist(), b[last_b].tolist()))))
     return out
 
