@@ -14,6 +14,7 @@ from brightrow.llm import (
     katz,
     langid,
     licenses,
+    links,
     packing,
     secrets,
     simhash,
@@ -97,6 +98,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return katz.score_texts(table(spark, folder, "documents"), remainder(F.col("doc_id"), 7) == 2)
 
 
+@query("op11_url_filters")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return links.judge_pages(table(spark, folder, "pages"))
+
+
 @query("op12_token_alignment")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")

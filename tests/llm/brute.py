@@ -364,3 +364,52 @@ def bytes_of_letters(decoders):
         letters, raw = split.pre_tokenize_str(chr(point))[0][0], chr(point).encode()
         out.update({c: bytes([b]) for c, b in zip(letters, raw)})
     return out
+
+
+def judged_pages(rows, rules, damping, left_out, margin):
+    """Per page: id, host, path, rule, verdict; scores by a plain power iteration over sets of links."""
+
+    def split(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        return host.translate(LOWER), re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+
+    def ruled(host, path):
+        fit = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        return max(fit, key=lambda r: len(r[1] + r[2]), default=None)
+
+    pages = [(name, *split(url), html or "") for name, url, html in rows]
+    edges, count, said = Counter(), Counter(), Counter()
+    for _, host, path, html in pages:
+        if not host:
+            continue
+        count[host] += 1
+        if rule := ruled(host, path):
+            said[host, rule[0]] += 1
+        targets = {
+            m.translate(LOWER) for m in re.findall(r"""href=["'](?:[A-Za-z]+:)?//([^/?#"'<>\s]+)""", html)
+        }
+        edges.update((host, t) for t in targets if t != host)
+    scores = []
+    for kind, ahead in (("allow", True), ("block", False)):
+        moves = [((a, b) if ahead else (b, a), n) for (a, b), n in edges.items()]
+        out = Counter()
+        for (a, _), n in moves:
+            out[a] += n
+        start = {h: 1 - damping for h in count if 2 * said[h, kind] > count[h]}
+        mass = dict(start)
+        for _ in range(math.ceil(math.log(left_out) / math.log(damping)) if edges else 0):
+            new = dict(start)
+            for (a, b), n in moves:
+                new[b] = new.get(b, 0) + damping * mass.get(a, 0) * n / out[a]
+            mass = new
+        scores.append(mass)
+    out = []
+    for name, host, path, _ in pages:
+        rule = ruled(host, path) if host else None
+        worse = round(scores[1].get(host, 0) - scores[0].get(host, 0), 9) > margin
+        verdict = rule[0] if rule else "block" if worse else "allow"
+        out.append((name, host, path, rule and rule[1] + rule[2], verdict))
+    return out
