@@ -21,7 +21,6 @@ judged alike. Links count once per page and host; those within a host do not cou
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
