@@ -1,16 +1,17 @@
 """Tags, scores and sensitivity flags of question texts, as column expressions.
 
-Functions of ``low`` take the lower-cased text. Pass a materialised column (one
-made by ``withColumn``): the text is then lower-cased once, not once per word.
+One pass over the lower-cased text, :func:`word_hits`, finds the listed words at all places;
+functions of ``hits`` (its result) and ``kinds`` (the distinct ones) tell what was found. Pass
+materialised columns (made by ``withColumn``), so that the pass is made once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from brightrow.functions.text import contains_any, count_words
+from brightrow.functions.text import count_words
 
 # Words that mark the kinds of question, matched anywhere in the lower-cased text.
 TYPE_WORDS = {
@@ -69,6 +70,14 @@ PII_PATTERNS = {
 # Tokens are words, possibly with an apostrophe, or numbers.
 TOKEN = r"[A-Za-z_]+(?:'[A-Za-z]+)?|\d+(?:\.\d+)?"
 
+# The complexity score. Its base; the text length that counts full, and its weight;
+# weight and most occurrences of words of a type; weight of time words; weight and most of nouns.
+BASE, FULL_LENGTH, LENGTH_WEIGHT = 0.12, 220.0, 0.35
+COUNTED_TYPES = {"join": (0.18, 3), "groupby": (0.12, 2), "window": (0.12, 2)}
+TIME_WEIGHT, NOUN_WEIGHT, MOST_NOUNS = 0.06, 0.05, 6
+# The labels below these scores.
+LOW_BELOW, MEDIUM_BELOW = 0.35, 0.7
+
 # Clause names and the phrases that mark them.
 CLAUSES = {
     "where": r"(?i)\bwhere\b",
@@ -79,8 +88,69 @@ CLAUSES = {
 }
 
 
-def type_flags(low: Column) -> dict[str, Column]:
-    return {tag: contains_any(low, words) for tag, words in TYPE_WORDS.items()}
+ALL_WORDS = tuple(
+    dict.fromkeys(
+        [
+            *[w for words in (*TYPE_WORDS.values(), *DOMAIN_WORDS.values()) for w in words],
+            *FINANCIAL_WORDS,
+            *COMPLIANCE_WORDS,
+            *ENTITY_WORDS,
+        ]
+    )
+)
+
+
+def _branches(words: Iterable[str]) -> str:
+    """The words as one expression that tries each letter once and takes the longest word."""
+    by_letter: dict[str, list[str]] = {}
+    for word in words:
+        by_letter.setdefault(word[0], []).append(word[1:])
+    parts = []
+    for letter, rests in by_letter.items():
+        longer = [r for r in rests if r]
+        tail = _branches(longer) + ("?" if len(longer) < len(rests) else "") if longer else ""
+        parts.append(letter + tail)
+    return f"(?:{'|'.join(parts)})"
+
+
+def word_hits(low: Column, words: Sequence[str] = ALL_WORDS) -> Column:
+    """The words of the text at all places, overlaps included; of several that begin at a place the longest."""
+    return F.regexp_extract_all(low, F.lit(f"(?=({_branches(words)}))"), F.lit(1))
+
+
+def _begun(words: Sequence[str], known: Sequence[str]) -> dict[str, int]:
+    """Known words that begin with some of ``words``, and with how many."""
+    counts = {k: sum(k.startswith(w) for w in words) for k in dict.fromkeys([*known, *words])}
+    return {k: n for k, n in counts.items() if n}
+
+
+def has_any(kinds: Column, words: Sequence[str], known: Sequence[str] = ALL_WORDS) -> Column:
+    """Whether a text holds one of the words, given what :func:`word_hits` found of the ``known`` ones."""
+    return F.arrays_overlap(kinds, F.array(*[F.lit(k) for k in _begun(words, known)]))
+
+
+def count_hits(low: Column, hits: Column, words: Sequence[str], known: Sequence[str] = ALL_WORDS) -> Column:
+    """Occurrences of the words, of each without overlaps."""
+    # A word that can overlap itself has more places than occurrences: it is counted on its own, if it is there.
+    apart = [w for w in words if any(w.startswith(w[k:]) for k in range(1, len(w)))]
+    by_number: dict[int, list[str]] = {}
+    for word, n in _begun([w for w in words if w not in apart], known).items():
+        by_number.setdefault(n, []).append(word)
+    total = F.lit(0)
+    for word in apart:
+        there = F.exists(hits, lambda hit: hit.startswith(word))
+        total = total + F.when(there, count_words(low, [word])).otherwise(0)
+    for n, found in by_number.items():
+        total = total + F.size(F.filter(hits, _one_of(found))) * n
+    return total
+
+
+def _one_of(words: Sequence[str]):
+    return lambda hit: hit.isin(*words)
+
+
+def type_flags(kinds: Column) -> dict[str, Column]:
+    return {tag: has_any(kinds, words) for tag, words in TYPE_WORDS.items()}
 
 
 def tag_types(flags: Mapping[str, Column]) -> Column:
@@ -89,41 +159,46 @@ def tag_types(flags: Mapping[str, Column]) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("filtering"))).otherwise(found)
 
 
-def complexity(low: Column) -> Column:
+def complexity(low: Column, hits: Column, kinds: Column) -> Column:
     """Score in [0, 1] from length, joins, groupings, windows, time words and nouns."""
     nouns = F.regexp_extract_all(low, F.lit(rf"(?U)\b({'|'.join(ENTITY_WORDS)})\b"), F.lit(1))
-    trend = contains_any(low, TYPE_WORDS["time_series"]).cast("int")
+    # Whole words are looked for only where their letters stand at all.
+    whole = F.when(has_any(kinds, ENTITY_WORDS), F.size(F.array_distinct(nouns))).otherwise(0)
+    score = F.lit(BASE) + F.lit(LENGTH_WEIGHT) * F.least(F.lit(1.0), F.length(low) / F.lit(FULL_LENGTH))
+    for tag, (weight, most) in COUNTED_TYPES.items():
+        score = score + F.lit(weight) * F.least(count_hits(low, hits, TYPE_WORDS[tag]), F.lit(most))
     score = (
-        F.lit(0.12)
-        + F.lit(0.35) * F.least(F.lit(1.0), F.length(low) / F.lit(220.0))
-        + F.lit(0.18) * F.least(count_words(low, TYPE_WORDS["join"]), F.lit(3))
-        + F.lit(0.12) * F.least(count_words(low, TYPE_WORDS["groupby"]), F.lit(2))
-        + F.lit(0.12) * F.least(count_words(low, TYPE_WORDS["window"]), F.lit(2))
-        + F.lit(0.06) * trend
-        + F.lit(0.05) * F.least(F.size(F.array_distinct(nouns)), F.lit(6))
+        score
+        + F.lit(TIME_WEIGHT) * has_any(kinds, TYPE_WORDS["time_series"]).cast("int")
+        + F.lit(NOUN_WEIGHT) * F.least(whole, F.lit(MOST_NOUNS))
     )
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
 
 
 def complexity_label(score: Column) -> Column:
-    return F.when(score < 0.35, "low").when(score < 0.7, "medium").otherwise("high")
+    return F.when(score < LOW_BELOW, "low").when(score < MEDIUM_BELOW, "medium").otherwise("high")
 
 
-def domain(low: Column) -> Column:
+def domain(kinds: Column) -> Column:
     out = None
     for name, words in DOMAIN_WORDS.items():
-        out = (F if out is None else out).when(contains_any(low, words), F.lit(name))
+        out = (F if out is None else out).when(has_any(kinds, words), F.lit(name))
     return out
 
 
 def pii_hits(c: Column, most: int | None = None) -> Column:
     """Array of (match, label) in the original text, all or the first ``most``; a match may carry several labels."""
-    found = []
+    found = {}
     for label, pattern in PII_PATTERNS.items():
-        matches = F.regexp_extract_all(c, F.lit("(?U)" + pattern), F.lit(0))
-        found.append(_labelled(matches, label))
-    hits = F.flatten(F.array(*found))
-    return hits if most is None else F.slice(hits, 1, most)
+        found[label] = _labelled(F.regexp_extract_all(c, F.lit("(?U)" + pattern), F.lit(0)), label)
+    email = found.pop("EMAIL")
+    none = F.array().cast("array<struct<match: string, label: string>>")
+    # Cheap looks first: an address has its sign, anything else three digits in a row.
+    hits = F.concat(
+        F.when(c.rlike(r"(?U)\d\d\d"), F.flatten(F.array(*found.values()))).otherwise(none),
+        F.when(c.contains("@"), email).otherwise(none),
+    )
+    return F.when(c.isNotNull(), hits if most is None else F.slice(hits, 1, most))
 
 
 def _labelled(matches: Column, label: str) -> Column:
@@ -140,8 +215,8 @@ def distinct_words(low: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t.rlike("^[a-z]+$")))
 
 
-def join_words(low: Column) -> Column:
-    return count_words(low, TYPE_WORDS["join"])
+def join_words(low: Column, hits: Column, known: Sequence[str] = ALL_WORDS) -> Column:
+    return count_hits(low, hits, TYPE_WORDS["join"], known)
 
 
 def clauses(c: Column) -> Column:

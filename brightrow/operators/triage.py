@@ -117,13 +117,18 @@ RECORD = (
 
 
 def lowered(df: DataFrame, col: str, into: str = "__low") -> DataFrame:
-    """The text lower-cased once, for the many word tests that follow."""
+    """The text lower-cased once, for the word tests that follow."""
     return df.withColumn(into, F.lower(ref(col)))
 
 
-def tag_types(df: DataFrame, low: str, into: str = "types") -> DataFrame:
+def with_hits(df: DataFrame, low: str, words=tags.ALL_WORDS) -> DataFrame:
+    """Add ``__hits``, the listed words of the lower-cased text, and ``__kinds``, the distinct ones."""
+    return df.withColumn("__hits", tags.word_hits(ref(low), words)).withColumn("__kinds", F.array_distinct("__hits"))
+
+
+def tag_types(df: DataFrame, kinds: str = "__kinds", into: str = "types") -> DataFrame:
     """Add the kinds of question; the word tests run first, as plain boolean columns."""
-    flags = {f"__is_{tag}": flag for tag, flag in tags.type_flags(ref(low)).items()}
+    flags = {f"__is_{tag}": flag for tag, flag in tags.type_flags(ref(kinds)).items()}
     tagged = df.withColumns(flags).withColumn(
         into, tags.tag_types({tag: F.col(f"__is_{tag}") for tag in tags.TYPE_WORDS})
     )
@@ -135,17 +140,17 @@ def classify_table(df: DataFrame, col: str) -> DataFrame:
 
     An empty (or blank) text has no types, no domain, zero scores and 32 tokens.
     """
-    staged = lowered(df.withColumn("__text", strip(ref(col))), "__text")
-    low, text = F.col("__low"), F.col("__text")
-    scored = tag_types(staged, "__low").withColumns(
+    staged = with_hits(lowered(df.withColumn("__text", strip(ref(col))), "__text"), "__low")
+    low, text, hits, kinds = F.col("__low"), F.col("__text"), F.col("__hits"), F.col("__kinds")
+    scored = tag_types(staged).withColumns(
         {
-            "complexity": tags.complexity(low),
+            "complexity": tags.complexity(low, hits, kinds),
             "hits": tags.pii_hits(text),
-            "financial_sensitive": contains_any(low, tags.FINANCIAL_WORDS),
-            "compliance_sensitive": contains_any(low, tags.COMPLIANCE_WORDS),
-            "domain": tags.domain(low),
+            "financial_sensitive": tags.has_any(kinds, tags.FINANCIAL_WORDS),
+            "compliance_sensitive": tags.has_any(kinds, tags.COMPLIANCE_WORDS),
+            "domain": tags.domain(kinds),
             "entities_count": tags.distinct_words(low),
-            "estimated_joins": tags.join_words(low),
+            "estimated_joins": tags.join_words(low, hits),
             "token_estimate": tags.token_estimate(text),
         }
     )

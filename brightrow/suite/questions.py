@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from brightrow.functions import tags
-from brightrow.functions.text import contains_any
 from brightrow.operators import triage
 from brightrow.suite.registry import SQL_STRIP, query, rounded, table
 
@@ -55,7 +54,7 @@ def _low_turns(spark, d):
 
 @query("question_types", f"SELECT conv_id, turn, {_TYPE_TEXT} AS types FROM {_Q}")
 def _(spark, d):
-    rows = triage.tag_types(_low_turns(spark, d), "low")
+    rows = triage.tag_types(triage.with_hits(_low_turns(spark, d), "low"))
     return rows.select("conv_id", "turn", F.array_join("types", ",").alias("types"))
 
 
@@ -65,13 +64,16 @@ def _(spark, d):
     f" ELSE 'high' END AS label FROM (SELECT conv_id, turn, {_SCORE} AS s FROM {_Q})",
 )
 def _(spark, d):
-    rows = _low_turns(spark, d).withColumn("complexity", tags.complexity(F.col("low"))).drop("low")
+    rows = triage.with_hits(_low_turns(spark, d), "low")
+    score = tags.complexity(F.col("low"), F.col("__hits"), F.col("__kinds"))
+    rows = rows.withColumn("complexity", score).drop("low", "__hits", "__kinds")
     return rounded(rows.withColumn("label", tags.complexity_label(F.col("complexity"))), "complexity")
 
 
 @query("question_domain", f"SELECT conv_id, turn, {_DOMAIN} AS domain FROM {_Q}")
 def _(spark, d):
-    return _low_turns(spark, d).select("conv_id", "turn", tags.domain(F.col("low")).alias("domain"))
+    rows = triage.with_hits(_low_turns(spark, d), "low")
+    return rows.select("conv_id", "turn", tags.domain(F.col("__kinds")).alias("domain"))
 
 
 _PII = " , ".join(
@@ -89,12 +91,12 @@ _PII = " , ".join(
     """,
 )
 def _(spark, d):
-    low = F.col("low")
-    rows = triage.lowered(table(spark, d, "documents"), "text", "low").select(
+    sensitive, kinds = (*tags.FINANCIAL_WORDS, *tags.COMPLIANCE_WORDS), F.col("__kinds")
+    rows = triage.with_hits(triage.lowered(table(spark, d, "documents"), "text", "low"), "low", sensitive).select(
         "doc_id",
         tags.pii_hits(F.col("text")).alias("hits"),
-        contains_any(low, tags.FINANCIAL_WORDS).alias("financial"),
-        contains_any(low, tags.COMPLIANCE_WORDS).alias("compliance"),
+        tags.has_any(kinds, tags.FINANCIAL_WORDS, sensitive).alias("financial"),
+        tags.has_any(kinds, tags.COMPLIANCE_WORDS, sensitive).alias("compliance"),
     )
     counts = {
         label.lower(): F.size(F.filter("hits", _labelled(label))).cast("long") for label in tags.PII_PATTERNS
@@ -112,13 +114,13 @@ def _labelled(label):
     f" {_count(tags.TYPE_WORDS['join'])} AS joins FROM {_Q}",
 )
 def _(spark, d):
-    low = F.col("low")
-    return _low_turns(spark, d).select(
+    low, joins = F.col("low"), tags.TYPE_WORDS["join"]
+    return triage.with_hits(_low_turns(spark, d), "low", joins).select(
         "conv_id",
         "turn",
         tags.token_estimate(low).alias("tokens"),
         tags.distinct_words(low).alias("words"),
-        tags.join_words(low).alias("joins"),
+        tags.join_words(low, F.col("__hits"), joins).alias("joins"),
     )
 
 

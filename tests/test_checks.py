@@ -1,5 +1,6 @@
 """Validation, nested data, HTML and triage on small samples."""
 
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,26 @@ def test_long_tokens_do_not_overflow_the_mail_pattern(spark):
     df = spark.createDataFrame([("x" * 20000 + " me@here.org",)], "t string")
     hits = df.select(tags.pii_hits(F.col("t")).alias("h")).first()["h"]
     assert [h["match"] for h in hits] == ["me@here.org"]
+
+
+def test_words_found_in_one_pass_equal_one_search_per_word(spark):
+    """All places, words within words and across one another; a missing text gives nulls."""
+    rng = random.Random(11)
+    bits = [w[:k] for w in tags.ALL_WORDS for k in (1, 2, 3, len(w))] + [" ", "é", "&", "_"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(300)] + ["windowindow windowindowindow", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, low string")
+    found = triage.with_hits(df, "low")
+    groups = {**tags.TYPE_WORDS, **tags.DOMAIN_WORDS, "fin": tags.FINANCIAL_WORDS, "entity": tags.ENTITY_WORDS}
+    rows = found.select(
+        "low",
+        *[tags.has_any(F.col("__kinds"), words).alias(name) for name, words in groups.items()],
+        *[tags.count_hits(F.col("low"), F.col("__hits"), tags.TYPE_WORDS[name]).alias(f"n_{name}") for name in tags.COUNTED_TYPES],
+    ).collect()
+    for row in rows:
+        if row["low"] is None:
+            assert all(row[name] is None for name in groups)
+            continue
+        for name, words in groups.items():
+            assert row[name] == any(w in row["low"] for w in words), (name, row["low"])
+        for name in tags.COUNTED_TYPES:
+            assert row[f"n_{name}"] == sum(row["low"].count(w) for w in tags.TYPE_WORDS[name]), (name, row["low"])
