@@ -6,11 +6,15 @@ UTC); ``timestamp_ntz`` columns are cast before a watermark is set.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from brightrow.columns import known_number, ref
 
@@ -62,13 +66,16 @@ def run_batches(
     checkpoint: str,
     seconds: float = BATCH_SECONDS,
     available_now: bool = False,
+    metrics: BatchMetrics | None = None,
 ) -> StreamingQuery:
     """Call ``fn(batch, batch_id)`` per micro-batch; progress survives restarts.
 
     A batch may be seen again after a failure, with the same id and content, so
-    ``fn`` should write by ``batch_id``. Batch size is set at the source
-    (``maxOffsetsPerTrigger`` or ``maxFilesPerTrigger``).
+    ``fn`` should write by ``batch_id``. The size of a micro-batch is set at the source
+    (``maxOffsetsPerTrigger`` or ``maxFilesPerTrigger``); :func:`closed_batches` closes
+    batches by messages and seconds whatever the source.
     """
+    fn = fn if metrics is None else metrics.around(fn)
     writer = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{seconds} seconds"}
     return writer.trigger(**trigger).start()
@@ -135,32 +142,81 @@ def _taken_of(spark: SparkSession, noted: str, batch_id: int) -> int:
     return row["rows"] if row else 0
 
 
-class BatchMetrics(StreamingQueryListener):
-    """Size, seconds and messages per second of every batch."""
+class BatchMetrics:
+    """Size, seconds and messages per second of every batch that a callback was given.
+
+    The size is counted in the batch itself, by a pass that reads no column. What a query
+    reports as its input rows follows how often the callback reads the batch, and is
+    nothing if it does not. A batch that comes again after a failure is measured anew.
+    """
 
     def __init__(self):
-        self.batches: list[dict] = []
-
-    def onQueryStarted(self, event):
-        pass
-
-    def onQueryProgress(self, event):
-        progress = event.progress
-        millis = progress.durationMs.get("triggerExecution", 0)
-        self.batches.append(
-            {
-                "batch_id": progress.batchId,
-                "messages": progress.numInputRows,
-                "seconds": millis / 1000,
-                "messages_per_second": progress.processedRowsPerSecond,
+        self._batches: dict[int | str, dict] = {}
+
+    @property
+    def batches(self) -> list[dict]:
+        return list(self._batches.values())
+
+    def around(self, fn: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        """The callback for :func:`run_batches`, :func:`drain` or ``foreachBatch``, measured."""
+
+        def measured(batch: DataFrame, batch_id: int) -> None:
+            began = time.monotonic()
+            messages = batch.count()
+            fn(batch, batch_id)
+            seconds = time.monotonic() - began
+            self._batches[batch_id] = {
+                "batch_id": batch_id,
+                "messages": messages,
+                "seconds": seconds,
+                "messages_per_second": messages / seconds if seconds else None,
             }
-        )
 
-    def onQueryIdle(self, event):
-        pass
+        return measured
+
+
+def closed_batches(
+    stream: DataFrame, most: int = BATCH_MESSAGES, seconds: float = BATCH_SECONDS, by: Sequence[str] = (), parts: int = 1
+) -> DataFrame:
+    """The messages of any source in batches that close at ``most`` messages or after ``seconds``.
+
+    Adds ``batch``, a number that counts on per series, and ``part``. A series is one value of
+    the ``by`` columns and one of ``parts`` shares of its messages, each of which fills and
+    closes batches of its own; more parts spread the work. The state of a series holds what
+    waits for a batch to close: fewer than ``most`` messages, and the time the first one came.
+    A timer closes what waits once that is ``seconds`` ago.
+    """
+    share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in stream.columns]), F.lit(parts)).cast("int")
+    rows = stream.select(*[ref(c) for c in stream.columns], share.alias("part"))
+    fields = rows.schema.fields
+    output = StructType([*fields, StructField("batch", LongType())])
+    waiting = StructType([StructField("batch", LongType()), StructField("since", LongType()), StructField("rows", ArrayType(StructType(fields)))])
+    names = rows.columns
+
+    def close(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch, since, kept = state.get if state.exists else (0, None, [])
+        now = state.getCurrentProcessingTimeMs()
+        held = [tuple(row) for row in kept]
+        for piece in pieces:
+            held += list(piece[names].itertuples(index=False, name=None))
+            while len(held) >= most:
+                yield _numbered_rows(held[:most], names, batch)
+                held, batch, since = held[most:], batch + 1, None
+        if held and state.hasTimedOut:
+            yield _numbered_rows(held, names, batch)
+            held, batch, since = [], batch + 1, None
+        since = (since or now) if held else None
+        state.update((batch, since, held))
+        if held:
+            state.setTimeoutDuration(max(1, int(since + 1000 * seconds - now)))
+
+    return rows.groupBy(*[ref(c) for c in by], "part").applyInPandasWithState(
+        close, output, waiting, "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
 
-    def onQueryTerminated(self, event):
-        pass
+def _numbered_rows(rows: list[tuple], names: Sequence[str], batch: int) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=list(names)).assign(batch=batch)
 
 
 def stream_dedup(df: DataFrame, keys: Sequence[str], ts_col: str, delay: str = "10 minutes", include_ts: bool = True) -> DataFrame:
@@ -190,6 +246,7 @@ def clean_batches(
     checkpoint: str,
     seconds: float = BATCH_SECONDS,
     available_now: bool = False,
+    metrics: BatchMetrics | None = None,
 ) -> StreamingQuery:
     """Apply a batch cleaning plan per micro-batch and write parquet under the batch id.
 
@@ -200,4 +257,4 @@ def clean_batches(
     def write(batch: DataFrame, batch_id: int) -> None:
         clean(batch).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id={batch_id}")
 
-    return run_batches(stream, write, checkpoint, seconds, available_now)
+    return run_batches(stream, write, checkpoint, seconds, available_now, metrics)

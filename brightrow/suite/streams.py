@@ -162,17 +162,38 @@ def _(spark, d):
 def _(spark, d):
     """Every micro-batch is measured; the sizes add up to the table."""
     metrics = messages.BatchMetrics()
-    spark.streams.addListener(metrics)
-    try:
-        stream = messages.landed_messages(spark, _landed(spark, d), max_files=1)
-        messages.drain(stream, lambda batch, i: durable(batch.select("topic")), scratch(spark, "cp"))
-        for _ in range(100):
-            if sum(b["messages"] for b in metrics.batches) and len(metrics.batches) >= 4:
-                break
-            time.sleep(0.1)
-    finally:
-        spark.streams.removeListener(metrics)
-    rows = [(b["messages"], 1) for b in metrics.batches if b["messages"]]
+    stream = messages.landed_messages(spark, _landed(spark, d), max_files=1)
+    keep = metrics.around(lambda batch, i: durable(batch.select("topic")))
+    messages.drain(stream, keep, scratch(spark, "cp"))
+    rows = [(b["messages"], 1) for b in metrics.batches]
     return spark.createDataFrame(rows, "messages long, batches int").agg(
         F.sum("messages").alias("messages"), F.sum("batches").cast("int").alias("batches")
     )
+
+
+@query(
+    "stream_closed_batches",
+    """
+    WITH e AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1),
+    b AS (SELECT event_type, n, unnest(range(0, CAST(ceil(n / 100.0) AS BIGINT))) AS batch FROM e)
+    SELECT concat('events/', event_type) AS topic, CAST(batch AS BIGINT) AS batch,
+           CAST(least(100, n - 100 * batch) AS BIGINT) AS messages FROM b
+    """,
+)
+def _(spark, d):
+    """Batches of 100 messages per topic from files of many more; the last ones close by time."""
+    landing, target, checkpoint = _landed(spark, d), scratch(spark, "closed"), scratch(spark, "cp")
+    expected = table(spark, d, "events").count()
+    stream = messages.closed_batches(messages.landed_messages(spark, landing, max_files=1), 100, 0.5, ["topic"])
+    running = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+    running = running.trigger(processingTime="0 seconds").start()
+    try:
+        deadline = time.monotonic() + 300
+        while time.monotonic() < deadline and running.isActive:
+            if running.lastProgress and spark.read.schema(stream.schema).parquet(target).count() >= expected:
+                break
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    rows = spark.read.schema(stream.schema).parquet(target)
+    return rows.groupBy("topic", "batch").agg(F.count(F.lit(1)).alias("messages"))
