@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -173,33 +174,63 @@ def _stem() -> tuple[bytes, ...]:
     return tuple(sorted({*STEMS, *more, b"cc"}))
 
 
+class _Line:
+    """Words between single spaces, and which word begins at a place."""
+
+    def __init__(self, words: list[bytes]):
+        self.text = b" " + b" ".join(words) + b" "
+        self.spaces = np.flatnonzero(np.frombuffer(self.text, dtype=np.uint8) == 0x20)
+
+    def spaces_before(self, places: list[int]) -> np.ndarray:
+        return np.searchsorted(self.spaces, places)
+
+
 def detect(words: list[bytes]) -> list[tuple[int, int, str, float]]:
     """Accepted detections as (first word, end word, label, score), by place."""
-    line = b" " + b" ".join(words) + b" "
     chosen = sorted({i for w in _by_keyword().keys() & set(words) for i in _by_keyword()[w]})
-    raw = []
+    if not chosen:
+        return []
+    line, raw, places = _Line(words), [], []
     for i in chosen:
         rule = rules()[i]
-        for m in rule.expression.finditer(line):
-            first = line.count(b" ", 0, m.start()) - 1
-            raw.append((-rule.priority, -m[0].count(b" ") - 1, first, rule.label, rule.score))
+        for m in rule.expression.finditer(line.text):
+            places.append(m.start())
+            raw.append((-rule.priority, -m[0].count(b" ") - 1, rule.label, rule.score))
+    firsts = (line.spaces_before(places) - 1).tolist()
+    return suppress([(p, s, first, *rest) for (p, s, *rest), first in zip(raw, firsts)], len(words))
+
+
+def suppress(raw: list[tuple[int, int, int, str, float]], n_words: int) -> list[tuple[int, int, str, float]]:
+    """Of (minus priority, minus size, first word, label, score), in this order, those in no accepted one.
+
+    Those of one priority and size are told at once: they can only hold equal ones of their
+    own. ``reach`` has for each word the last end of what was accepted up to it.
+    """
     accepted: list[tuple[int, int, str, float]] = []
-    for _, size, first, label, score in sorted(raw):
-        end = first - size
-        if not any(a <= first and end <= b for a, b, _, _ in accepted):
-            accepted.append((first, end, label, score))
+    reach = np.zeros(n_words + 1, dtype=np.int64)
+    for (_, size), members in groupby(sorted(raw), key=lambda r: r[:2]):
+        members = list(members)
+        first = np.array([m[2] for m in members], dtype=np.int64)
+        ends = first - size
+        fresh = reach[first] < ends
+        fresh[1:] &= first[1:] != first[:-1]
+        for k in np.flatnonzero(fresh).tolist():
+            accepted.append((members[k][2], int(ends[k]), *members[k][3:]))
+        np.maximum.at(reach, first[fresh], ends[fresh])
+        np.maximum.accumulate(reach, out=reach)
     return sorted(accepted)
 
 
 def _phrases(words: list[bytes]) -> list[tuple[int, str]]:
-    line = b" " + b" ".join(words) + b" "
-    out = []
+    line, places, labels = _Line(words), [], []
     for phrase, label in PHRASES.items():
-        framed, at = b" " + phrase + b" ", line.find(b" " + phrase + b" ")
+        framed = b" " + phrase + b" "
+        at = line.text.find(framed)
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
-            at = line.find(framed, at + 1)
-    return out
+            places.append(at)
+            labels.append(label)
+            at = line.text.find(framed, at + 1)
+    return list(zip(line.spaces_before(places).tolist(), labels))
 
 
 def count_words(texts: list[bytes]) -> list[int]:
