@@ -8,7 +8,10 @@ pre-token is merged once: a batch of them lies in one flat array, and every roun
 sequence applies its best pair. A character without a piece counts its UTF-8 bytes.
 
 Where no tie and no better pair that the merge itself creates can interfere, a round
-applies all places of a sequence's best pair, so long runs take few rounds.
+applies all places of a sequence's best pair, so long runs take few rounds. A pre-token
+that is long by itself goes through the same rounds alone, on arrays of neighbours: its
+places are kept by rank, and a round touches only those of the best pair and the pairs
+that its merges make. So the work grows with the number of merges.
 
 A null text counts as empty and has no bytes and no tokens. Rows that repeat give the
 same result each. Texts are read whole at any length.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,8 +30,10 @@ from brightrow.llm.common import annotate
 
 SPACE = "▁"  # how the vocabulary writes a space
 BATCH_CHARACTERS = 1_000_000
-CACHED = 500_000
+CACHED_BYTES = 64 * 1024 * 1024
+LONG = 400  # characters from which a pre-token is merged alone, and not remembered
 NONE = np.int64(1) << 62
+GONE = -2
 
 
 class Pieces:
@@ -64,7 +70,13 @@ class Pieces:
         pairs = [merges[k] for k in self.keys.tolist()]
         self.ranks = np.array([p[0] for p in pairs], dtype=np.int64)
         self.made = np.array([p[1] for p in pairs], dtype=np.int64)
+        self.merges = merges
         self.one_by_one = self._one_by_one(scores, rank)
+        # What a character counts while it stays alone.
+        self.alone = np.ones(self.count, dtype=np.int64)
+        for c in set(self.symbols) - self.known:
+            if len(c) == 1:
+                self.alone[self.symbols[c]] = len(c.encode())
 
     def _one_by_one(self, scores, rank) -> np.ndarray:
         """Per rank: whether its merges must go one at a time.
@@ -94,15 +106,11 @@ class Pieces:
         """Number of tokens of each pre-token."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         total = np.zeros(len(words), dtype=np.int64)
-        get, known = self.symbols.get, self.known
+        get = self.symbols.get
         flat = [get(c, -1) for w in words for c in w]
         symbol = np.array(flat, dtype=np.int64)
         owner = np.repeat(np.arange(len(words)), sizes)
-        # What a character counts while it stays alone.
-        alone = np.ones(self.count, dtype=np.int64)
-        for c in set(self.symbols) - known:
-            if len(c) == 1:
-                alone[self.symbols[c]] = len(c.encode())
+        alone = self.alone
         for i in np.flatnonzero(symbol < 0).tolist():
             word = owner[i]
             c = words[word][i - int(np.searchsorted(owner, word))]
@@ -138,6 +146,14 @@ class Pieces:
             rest[1:] = ~merge
             symbol, owner = symbol[rest], owner[rest]
 
+    def count_long(self, word: str) -> int:
+        """Number of tokens of one long pre-token."""
+        symbol = np.array([self.symbols.get(c, -1) for c in word], dtype=np.int64)
+        unknown = np.flatnonzero(symbol < 0).tolist()
+        rest = Chain(self, symbol).merged()
+        total = sum(len(word[i].encode("utf-8", "surrogatepass")) for i in unknown)
+        return total + int(self.alone[rest[rest >= 0]].sum())
+
     def _chosen(self, owner: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Pairs to merge now: per sequence the best, all its places where that is safe."""
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
@@ -160,6 +176,104 @@ class Pieces:
         return out
 
 
+class Chain:
+    """One long sequence of symbols with its neighbours, and the places of its pairs by rank."""
+
+    def __init__(self, pieces: Pieces, symbol: np.ndarray):
+        self.pieces, self.symbol, size = pieces, symbol, len(symbol)
+        # The place after the last one holds no symbol; the place before the first one neither.
+        self.symbol = np.append(symbol, [-1, -1])
+        self.after = np.minimum(np.arange(1, size + 3), size)
+        self.before = np.arange(-1, size + 1)
+        self.places: dict[int, list] = {}
+        self.ranks: list[int] = []
+        self.size = size
+        self._file(np.arange(size))
+
+    def _file(self, left: np.ndarray) -> None:
+        """Keep the pairs that begin at these places."""
+        rank, _ = self.pieces.lookup(self.symbol[left], self.symbol[self.after[left]])
+        left, rank = left[rank < NONE], rank[rank < NONE]
+        if not len(left):
+            return
+        order = np.argsort(rank, kind="stable")
+        left, rank = left[order], rank[order]
+        cuts = np.flatnonzero(np.diff(rank)) + 1
+        for r, found in zip(rank[np.append(0, cuts)].tolist(), np.split(left, cuts)):
+            kept = self.places.get(r)
+            if kept is None:
+                kept = self.places[r] = []
+                heappush(self.ranks, r)
+            if self.pieces.one_by_one[r]:
+                for place in found.tolist():
+                    heappush(kept, place)
+            else:
+                kept.append(found)
+
+    def merged(self) -> np.ndarray:
+        """The symbols that are left when no pair is."""
+        while self.ranks:
+            rank = self.ranks[0]
+            if self.pieces.one_by_one[rank]:
+                self._merge_first(rank)
+            else:
+                heappop(self.ranks)
+                self._merge_all(rank, np.unique(np.concatenate(self.places.pop(rank))))
+        out = self.symbol[: self.size]
+        return out[out != GONE]
+
+    def _merge_all(self, rank: int, left: np.ndarray) -> None:
+        """Merge the pairs of this rank; of pairs that overlap every second from the left."""
+        now, made = self.pieces.lookup(self.symbol[left], self.symbol[self.after[left]])
+        left, made = left[now == rank], made[now == rank]
+        if not len(left):
+            return
+        chained = np.append(False, self.after[left[:-1]] == left[1:])
+        run = np.flatnonzero(~chained)
+        at = np.arange(len(left)) - np.repeat(run, np.diff(np.append(run, len(left))))
+        left, made = left[at % 2 == 0], made[at % 2 == 0]
+        right = self.after[left]
+        self.symbol[left], self.symbol[right] = made, GONE
+        self.after[left] = self.after[right]
+        self.before[self.after[left]] = left
+        previous = self.before[left]
+        self._file(np.unique(np.concatenate([previous[previous >= 0], left])))
+
+    def _merge_first(self, rank: int) -> None:
+        """Merge the leftmost pair of this rank."""
+        kept = self.places[rank]
+        if not kept:
+            heappop(self.ranks)
+            del self.places[rank]
+            return
+        left = heappop(kept)
+        symbol, after = self.symbol, self.after
+        right = after[left]
+        found = self.pieces.merges.get(int(symbol[left]) * self.pieces.count + int(symbol[right])) if symbol[left] >= 0 <= symbol[right] else None
+        if found is None or found[0] != rank:
+            return
+        symbol[left], symbol[right] = found[1], GONE
+        following = after[left] = after[right]
+        self.before[following] = left
+        for place in (int(self.before[left]), left):
+            if place >= 0:
+                self._file_one(place)
+
+    def _file_one(self, place: int) -> None:
+        left, right = int(self.symbol[place]), int(self.symbol[self.after[place]])
+        found = self.pieces.merges.get(left * self.pieces.count + right) if left >= 0 <= right else None
+        if found is None:
+            return
+        kept = self.places.get(found[0])
+        if kept is None:
+            kept = self.places[found[0]] = []
+            heappush(self.ranks, found[0])
+        if self.pieces.one_by_one[found[0]]:
+            heappush(kept, place)
+        else:
+            kept.append(np.array([place]))
+
+
 @cache
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -184,6 +298,7 @@ class Counter:
     def __init__(self, path: str):
         self.pieces = pieces(path)
         self.known: dict[str, int] = {}
+        self.bytes = 0
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens per text; new pre-tokens of many texts are merged together."""
@@ -200,14 +315,20 @@ class Counter:
         return out + self._settle(waiting)
 
     def _settle(self, waiting: list[list[str]]) -> list[int]:
-        if len(self.known) > CACHED:
+        if self.bytes > CACHED_BYTES:
             self.known.clear()
+            self.bytes = 0
         get = self.known.get
         found = [list(map(get, parts)) for parts in waiting]
         missing = {p for parts, got in zip(waiting, found) if None in got for p, n in zip(parts, got) if n is None}
-        if missing:
-            listed = list(missing)
+        listed = [p for p in missing if len(p) < LONG]
+        if listed:
             self.known.update(zip(listed, self.pieces.counts([SPACE + p for p in listed]).tolist()))
+            # The keys, their entries and their counts.
+            self.bytes += sum(map(len, listed)) + 150 * len(listed)
+        alone = {p: self.pieces.count_long(SPACE + p) for p in missing if len(p) >= LONG}
+        if alone:
+            get = lambda p: alone[p] if p in alone else self.known[p]
         return [sum(map(get, parts)) if None in got else sum(got) for parts, got in zip(waiting, found)]
 
 

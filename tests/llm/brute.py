@@ -413,3 +413,13 @@ def judged_pages(rows, rules, damping, left_out, margin):
         verdict = rule[0] if rule else "block" if worse else "allow"
         out.append((name, host, path, rule and rule[1] + rule[2], verdict))
     return out
+
+
+def suppressed(raw):
+    """License detections that lie in no accepted one, each against all accepted ones."""
+    accepted = []
+    for _, size, first, label, score in sorted(raw):
+        end = first - size
+        if not any(a <= first and end <= b for a, b, _, _ in accepted):
+            accepted.append((first, end, label, score))
+    return sorted(accepted)
