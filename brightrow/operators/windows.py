@@ -16,6 +16,7 @@ from brightrow.operators.ordered import (
     numbered,
     split_by_order,
 )
+from brightrow.session import durable
 
 
 def smooth(
@@ -36,37 +37,35 @@ def smooth(
         means = {c: F.avg(known_number(df, c)).over(rolling) for c in names}
         return parts.withColumns(means).drop(CHUNK)
 
-    # A chunk's first rows also need the last rows of the chunks before it.
-    back = chunk_window(by, order_by)
-    parts = parts.withColumns(
-        {
-            "__pos": F.row_number().over(back),
-            "__left": F.count(F.lit(1)).over(Window.partitionBy(*_chunk_keys(by)))
-            - F.row_number().over(back),
-        }
-    )
-    values = F.struct(*[known_number(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
-    last_rows = F.array_sort(
-        F.collect_list(F.when(F.col("__left") < window - 1, F.struct(F.col("__pos"), values.alias("v"))))
-    )
-    tails = chunk_summary(parts, by, last_rows.alias("__tail"))
-    earlier = F.flatten(F.collect_list("__tail").over(chunk_sequence(by).rowsBetween(-(window - 1), -1)))
-    # Of the rows before a chunk only the last window - 1 count, and only for as many of its own.
-    start = F.greatest(F.lit(1), F.size(earlier) - (window - 2))
-    carry = tails.withColumn("__earlier", F.slice(earlier, start, window)).drop("__tail")
-    out = attach(parts, carry, by, ["__earlier"], chunks, F.col("__pos") < window)
-    known = F.coalesce(F.col("__earlier"), F.array().cast(tails.schema["__tail"].dataType))
-    take = F.greatest(F.lit(0), F.least(F.lit(window) - F.col("__pos"), F.size(known)))
-    out = out.withColumn("__use", F.slice(known, F.size(known) - take + 1, take))
-    updates = {}
-    for i, c in enumerate(names):
-        carried = F.filter(F.col("__use")["v"][f"v{i}"], lambda v: v.isNotNull())
-        extra = F.aggregate(carried, F.lit(0.0), lambda a, v: a + v)
-        value = known_number(df, c).cast("double")
-        total = F.coalesce(F.sum(value).over(rolling), F.lit(0.0)) + extra
-        count = F.count(value).over(rolling) + F.size(carried)
-        updates[c] = F.when(count > 0, total / count)
-    return out.withColumns(updates).drop(CHUNK, "__pos", "__left", "__earlier", "__use")
+    # A chunk's first rows also need the last rows of the chunks before it: these are copied
+    # into it as rows, take part in the window, and leave again.
+    whole = parts.withColumn("__halo", F.lit(False)).unionByName(_halo(parts, by, order_by, window))
+    means = {c: F.avg(known_number(df, c)).over(rolling) for c in names}
+    return whole.withColumns(means).where(~F.col("__halo")).drop(CHUNK, "__halo")
+
+
+def _halo(parts: DataFrame, by: Sequence[str], order_by: Sequence[str], window: int) -> DataFrame:
+    """Copies of rows for the later chunks of their key whose first rows reach back to them.
+
+    A chunk gets at most ``window`` - 1 of them. What is needed to tell is one row per chunk.
+    """
+    counts = durable(chunk_summary(parts, by, F.count(F.lit(1)).alias("__n")))
+    largest = counts.agg(F.coalesce(F.max("__n"), F.lit(0))).first()[0]
+    before = F.coalesce(F.sum("__n").over(chunk_sequence(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("__before", before.cast("long"))
+    # Chunks that begin before the window of the last row of this one ends.
+    near = Window.partitionBy(*[ref(c) for c in by]).orderBy("__before").rangeBetween(1, largest + window)
+    placed = placed.withColumn("__later", F.collect_list(F.struct(F.col(CHUNK).alias("chunk"), F.col("__before").alias("begin"))).over(near))
+    right = placed.select(*[ref(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col(CHUNK).alias("__kc"), "__n", "__before", "__later")
+    match = F.col(CHUNK) == F.col("__kc")
+    for i, c in enumerate(by):
+        match = match & ref(c).eqNullSafe(F.col(f"__k{i}"))
+    rows = parts.withColumn("__pos", F.row_number().over(chunk_window(by, order_by)))
+    last = rows.join(right, match & (F.col("__n") - F.col("__pos") < window - 1))
+    place = F.col("__before") + F.col("__pos")
+    reached = F.filter("__later", lambda t: t["begin"] - place < window - 1)
+    copies = last.withColumn("__to", F.explode(reached)).withColumn(CHUNK, F.col("__to.chunk"))
+    return copies.select(*[ref(c) for c in parts.columns]).withColumn("__halo", F.lit(True))
 
 
 def _chunk_keys(by: Sequence[str]):

@@ -145,3 +145,23 @@ def test_unique_suffixes(spark, chunk):
         n = seen[v] = seen.get(v, -1) + 1
         want[i] = v if n == 0 else f"{v}_{n}"
     assert got == want
+
+
+@pytest.mark.parametrize("window, chunk", [(2, 5), (30, 9), (100, 20), (500, 20), (1, 7)])
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_rolling_means_over_many_chunks(spark, window, chunk, by):
+    frame = readings(5, 150)
+    want = by_key(frame, by, lambda g: g.assign(v=g["v"].rolling(window, min_periods=1).mean()))
+    same(windows.smooth(to_spark(spark, frame), ["v"], ["t", "id"], window, by, chunk), want)
+
+
+def test_a_chunk_gets_no_more_rows_than_its_window_reaches(spark):
+    from brightrow.operators.ordered import CHUNK, split_by_order
+
+    parts, chunks = split_by_order(spark.range(2_000).selectExpr("id", "double(id) AS v"), [], ["id"], 100)
+    assert chunks == 20
+    halo = windows._halo(parts, [], ["id"], 351)
+    sizes = [r["count"] for r in halo.groupBy(CHUNK).count().collect()]
+    assert len(sizes) == 19 and max(sizes) == 350
+    plan = halo._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan
