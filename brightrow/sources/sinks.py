@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from brightrow.columns import ref
 from brightrow.operators.dedup import dedup_last
+from brightrow.session import durable, free
 from brightrow.sources import readers
 
 # Write dispositions and what they mean for Spark.
@@ -37,6 +39,46 @@ def upsert(
     return base.join(last.select(*[ref(k) for k in keys]), list(keys), "left_anti").unionByName(last)
 
 
+def upsert_table(
+    spark: SparkSession,
+    path: str,
+    updates: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    partition_by: Sequence[str],
+) -> None:
+    """Upsert into a parquet table partitioned by ``partition_by``; other partitions' files stay as they are.
+
+    Rewritten are the partitions that updates go to and those that hold a touched key now, since
+    a key may move. Which ones these are is read from the keys alone. The new content is written
+    aside before the table is touched, and Spark puts each partition in place as a whole.
+    A partition that loses its last row goes. Keys that are null match nothing and are added.
+    """
+    base = spark.read.parquet(path)
+    last = durable(dedup_last(updates, keys, order_by).select(*[ref(c) for c in base.columns]))
+    places = [ref(c) for c in partition_by]
+    held = base.join(last.select(*[ref(k) for k in keys]), list(keys), "left_semi").select(*places)
+    touched = durable(held.unionByName(last.select(*places)).distinct())
+    old = base.join(touched, _same(base, touched, partition_by), "left_semi")
+    stay = old.join(last.select(*[ref(k) for k in keys]), list(keys), "left_anti")
+    content = durable(stay.unionByName(last))
+    emptied = touched.join(content.select(*places).distinct(), _same(touched, content, partition_by), "left_anti")
+    # Files of partitions without rows now; as many as the table has of them.
+    gone = base.join(emptied, _same(base, emptied, partition_by), "left_semi")
+    files = [r[0] for r in gone.select("_metadata.file_path").distinct().collect()]
+    writer = content.repartition(*places).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+    for file in files:
+        target = spark._jvm.org.apache.hadoop.fs.Path(file)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, False)
+    free(last, touched, content)
+
+
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]):
+    """Equal in these columns, nulls included."""
+    return reduce(lambda a, b: a & b, [left[f"`{c}`"].eqNullSafe(right[f"`{c}`"]) for c in columns])
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "WRITE_APPEND", batchsize: int = 1000, **properties):
     """Write to a database table; every partition uses its own connection."""
     if mode not in DISPOSITIONS:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from brightrow.operators import html, nested
+from brightrow.session import durable
 from brightrow.sources import ingest, readers, sinks
 from brightrow.suite.registry import query, scratch, table
 from brightrow.suite.strings import sql_html_text
@@ -358,6 +359,38 @@ def _(spark, d):
     return sinks.upsert(base, updates, ["c_custkey"], ["o_orderkey"])
 
 
+@query(
+    "upsert_partitioned_customers",
+    """
+    WITH old AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer),
+    u AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, 'BUILDING' AS c_mktsegment FROM old
+          WHERE c_mktsegment = 'BUILDING' OR c_custkey = (SELECT min(c_custkey) FROM old WHERE c_mktsegment = 'MACHINERY')),
+    new AS (SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM u) UNION ALL SELECT * FROM u)
+    SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS customers, round(sum(c_acctbal), 2) AS balance,
+           c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS files_kept FROM new GROUP BY 1
+    """,
+)
+def _(spark, d):
+    """Updates of one segment, and one customer that moves there: the other segments' files stay."""
+    path = scratch(spark, "segments")
+    customers = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    customers.repartition("c_mktsegment").write.partitionBy("c_mktsegment").parquet(path)
+    files = lambda: spark.read.parquet(path).select("c_mktsegment", "_metadata.file_name").distinct()
+    before = durable(files())
+    moved = F.min(F.when(F.col("c_mktsegment") == "MACHINERY", F.col("c_custkey")))
+    first = customers.agg(moved).first()[0]
+    updates = customers.where((F.col("c_mktsegment") == "BUILDING") | (F.col("c_custkey") == first)).select(
+        "c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment")
+    )
+    sinks.upsert_table(spark, path, updates, ["c_custkey"], ["c_acctbal"], ["c_mktsegment"])
+    kept = files().join(before.withColumn("old", F.lit(True)), ["c_mktsegment", "file_name"], "left")
+    kept = kept.groupBy("c_mktsegment").agg(F.bool_and(F.coalesce("old", F.lit(False))).alias("files_kept"))
+    found = spark.read.parquet(path).groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance")
+    )
+    return found.join(kept, "c_mktsegment").select("c_mktsegment", "customers", "balance", "files_kept")
+
+
 @query("copy_files_into_table", "SELECT s_suppkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")
 def _(spark, d):
     source, target = scratch(spark, "copy"), scratch(spark, "copied")
@@ -406,3 +439,24 @@ def _(spark, d):
     found = ingest.ingest_files(spark, files, f"{path}/staged", lambda df: True).collect()
     parts = [spark.read.parquet(r["staged"]).select(F.lit(1).alias("one")) for r in found]
     return parts[0].unionByName(parts[1]).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "ingest_checked_files",
+    "SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS staged, 1::BIGINT AS rejected FROM"
+    " (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1)",
+)
+def _(spark, d):
+    """One file per flag, all checked by one job; the file whose rows have the flag A is rejected."""
+    path = scratch(spark, "inbox")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag")
+    files = [f"{path}/{flag}.csv" for flag in ("A", "N", "R")]
+    for flag, file in zip("ANR", files):
+        rows.where(F.col("l_returnflag") == flag).write.option("header", True).csv(file)
+    accept = F.count_if(F.col("l_returnflag") == "A") == 0
+    found = ingest.ingest_checked_files(spark, files, f"{path}/staged", accept)
+    counts = found.agg(
+        F.count_if(F.col("status") == "staged").alias("staged"), F.count_if(F.col("status") == "rejected").alias("rejected")
+    )
+    target = found.where("staged IS NOT NULL").first()["staged"]
+    return spark.read.parquet(target).agg(F.count(F.lit(1)).alias("rows")).crossJoin(counts)

@@ -191,3 +191,37 @@ def test_bounded_reads_go_on_and_count_messages(spark, tmp_path):
     taken = [messages.drain(stream, lambda b, i: seen.extend(b.collect()), f"{tmp_path}/cp", n) for n in (12, 7, 1000)]
     assert taken == [12, 7, 11]
     assert sorted((r["topic"], r["payload"]) for r in seen) == sorted(rows)
+
+
+def test_upsert_of_partitions(spark, tmp_path):
+    """Moved keys, new partitions, null partitions, and one that loses its last row."""
+    path = str(tmp_path / "t")
+    rows = [(1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (4, "d", None), (5, "e", "z")]
+    spark.createDataFrame(rows, "k int, v string, p string").write.partitionBy("p").parquet(path)
+    untouched = {f.name for f in (tmp_path / "t" / "p=z").iterdir()}
+    updates = [(3, "moved", "x", 1), (4, "null", None, 1), (4, "later", None, 2), (9, "new", "w", 1)]
+    df = spark.createDataFrame(updates, "k int, v string, p string, at int")
+    sinks.upsert_table(spark, path, df, ["k"], ["at"], ["p"])
+    got = {tuple(r) for r in spark.read.parquet(path).collect()}
+    assert got == {(1, "a", "x"), (2, "b", "x"), (3, "moved", "x"), (4, "later", None), (5, "e", "z"), (9, "new", "w")}
+    assert {f.name for f in (tmp_path / "t" / "p=z").iterdir()} == untouched
+
+
+def test_many_files_are_checked_in_one_job(spark, tmp_path):
+    files = []
+    for i in range(200):
+        files.append(str(tmp_path / f"f{i}.csv"))
+        (tmp_path / f"f{i}.csv").write_text("id,name\n" + (f"{i},ok\n" if i != 57 else ",bad\n,bad\n"))
+    files.append(str(tmp_path / "f.unknown"))
+    spark.sparkContext.setJobGroup("many", "files")
+    found = ingest.ingest_checked_files(spark, files, str(tmp_path / "staged"), F.count_if(F.col("id").isNull()) == 0)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("many")
+    rows = found.collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Listing, header, types, the check and the write; their number does not grow with the files.
+    assert len(jobs) <= 8
+    by = {r["source"]: r for r in rows}
+    assert len(by) == 201 and by[files[57]]["status"] == "rejected" and by[files[200]]["status"] == "failed"
+    assert sum(r["status"] == "staged" for r in rows) == 199
+    staged = {r["staged"] for r in rows if r["staged"]}
+    assert len(staged) == 1 and spark.read.parquet(*staged).count() == 199
