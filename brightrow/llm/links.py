@@ -173,3 +173,42 @@ def judge_pages(
     )
     said = F.coalesce("_verdict", F.when(F.col("_bad").isNotNull(), "block").otherwise("allow"))
     return met.select(F.col("_page").alias(page), "host", "path", "rule", said.alias("verdict"))
+
+
+def pages_sql(damping: float = DAMPING, left_out: float = LEFT_OUT, margin: float = MARGIN, rules=RULES) -> str:
+    """The same judgement as one statement over ``pages``; what n rounds give is the sum of n steps of a walk."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    lower = lambda text: f"translate({text}, '{CAPITALS}', '{SMALL}')"
+    longest_first = sorted(rules, key=lambda r: -len(r[1]) - len(r[2]))
+
+    def cases(value) -> str:
+        fits = "(host = {0} OR ends_with(host, {1})) AND starts_with(path, {2})"
+        return " ".join(
+            f"WHEN {fits.format(quoted(h), quoted('.' + h), quoted(p))} THEN {quoted(value(v, h, p))}" for v, h, p in longest_first
+        )
+
+    rounds = math.ceil(math.log(left_out) / math.log(damping))
+    return f"""
+    WITH RECURSIVE u AS (
+      SELECT page_id, html, {lower("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")} AS host,
+             coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    p AS (SELECT *, CASE {cases(lambda v, h, p: h + p)} END AS rule, CASE {cases(lambda v, h, p: v)} END AS said FROM u),
+    l AS (SELECT host AS src, unnest(list_distinct([{lower("x")} FOR x IN regexp_extract_all(html, {quoted(LINK)}, 1)])) AS dst FROM p),
+    e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+    m AS MATERIALIZED (
+      SELECT 'trust' AS kind, src AS host, dst AS target, {damping} * n / sum(n) OVER (PARTITION BY src) AS share FROM e
+      UNION ALL SELECT 'distrust', dst, src, {damping} * n / sum(n) OVER (PARTITION BY dst) FROM e),
+    h AS (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS good, count(*) FILTER (said = 'block') AS bad
+          FROM p WHERE host <> '' GROUP BY 1),
+    t AS (
+      SELECT 0 AS k, kind, host, mass FROM (
+        SELECT 'trust' AS kind, host, 1 - {damping}::DOUBLE AS mass FROM h WHERE 2 * good > n
+        UNION ALL SELECT 'distrust', host, 1 - {damping}::DOUBLE FROM h WHERE 2 * bad > n)
+      UNION ALL
+      SELECT t.k + 1, t.kind, m.target, sum(t.mass * m.share) FROM t JOIN m ON t.kind = m.kind AND t.host = m.host
+      WHERE t.k < {rounds} GROUP BY t.k, t.kind, m.target),
+    b AS (SELECT host FROM t GROUP BY 1
+          HAVING round(sum(CASE kind WHEN 'distrust' THEN mass ELSE -mass END), 9) > {margin})
+    SELECT page_id, host, path, rule,
+           coalesce(said, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM p
+    """

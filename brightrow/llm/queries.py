@@ -98,7 +98,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return katz.score_texts(table(spark, folder, "documents"), remainder(F.col("doc_id"), 7) == 2)
 
 
-@query("op11_url_filters")
+@query("op11_url_filters", links.pages_sql())
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return links.judge_pages(table(spark, folder, "pages"))
 

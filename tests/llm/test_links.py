@@ -95,3 +95,20 @@ def test_no_python_and_columns_pruned(spark, folder):
     plan = links.judge_pages(spark.read.parquet(f"{folder}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert "html" not in plan
+
+
+def test_sql_equals_a_plain_iteration(folder):
+    import duckdb
+    import pandas as pd
+
+    rows = web(random.Random(6), 400) + AWKWARD
+    for given in (rows, None):
+        con = duckdb.connect()
+        if given is None:
+            con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+            given = con.execute("SELECT page_id, url, html FROM pages").fetchall()
+        else:
+            con.register("pages", pd.DataFrame(given, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+        got = con.execute(links.pages_sql()).fetchall()
+        want = brute.judged_pages(given, links.RULES, links.DAMPING, links.LEFT_OUT, links.MARGIN)
+        assert Counter(map(str, got)) == Counter(map(str, want))
