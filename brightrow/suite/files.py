@@ -454,9 +454,10 @@ def _(spark, d):
     for flag, file in zip("ANR", files):
         rows.where(F.col("l_returnflag") == flag).write.option("header", True).csv(file)
     accept = F.count_if(F.col("l_returnflag") == "A") == 0
-    found = ingest.ingest_checked_files(spark, files, f"{path}/staged", accept)
-    counts = found.agg(
-        F.count_if(F.col("status") == "staged").alias("staged"), F.count_if(F.col("status") == "rejected").alias("rejected")
+    found = ingest.ingest_checked_files(spark, files, f"{path}/staged", accept).collect()
+    staged = [r["staged"] for r in found if r["status"] == "staged"]
+    return spark.read.parquet(*set(staged)).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(len(staged)).cast("long").alias("staged"),
+        F.lit(sum(r["status"] == "rejected" for r in found)).cast("long").alias("rejected"),
     )
-    target = found.where("staged IS NOT NULL").first()["staged"]
-    return spark.read.parquet(target).agg(F.count(F.lit(1)).alias("rows")).crossJoin(counts)
