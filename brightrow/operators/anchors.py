@@ -11,7 +11,11 @@ kept before it, so the work splits into ranges of any key:
 2. every chunk reports how the value kept before it maps to the value kept at
    its end, as a step function over the few rows it could start from;
 3. the step functions are composed in a tree of groups of ``FAN_IN`` chunks,
-   which gives each chunk the value kept before it;
+   which gives each chunk the value kept before it. Composed functions may have as
+   many steps as all chunks together, so where that is more than a chunk has rows
+   (windows wider than chunks), the steps stay with their chunks: each step is a row
+   that points to the step where its chain enters a later chunk, and the chains that
+   begin with the keys are followed by doubling these pointers in joins;
 4. every chunk filters its own rows.
 """
 
@@ -24,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightrow.columns import known_number, ref
 from brightrow.operators.ordered import largest_key
@@ -86,7 +90,9 @@ def _thin(
             .withColumns({"__chunk": F.spark_partition_id().cast("long"), "__seq": F.monotonically_increasing_id()})
         )
         steps = durable(ranged.select("__chunk", "__key", "__value").mapInArrow(_reporter(width), STEPS))
-        carried = durable(_carried(steps, width).withColumnRenamed("chunk", "__chunk"))
+        many = steps.agg(F.sum(F.size("starts"))).first()[0] or 0
+        entered = _jumped(steps, width) if many > limit else _carried(steps, width)
+        carried = durable(entered.withColumnRenamed("chunk", "__chunk"))
         free(steps)
         chunks = ranged.groupBy("__chunk").cogroup(carried.groupBy("__chunk"))
         kept = chunks.applyInArrow(_filter_chunk(width), ranged.schema).drop("__seq")
@@ -238,6 +244,93 @@ def _carried(steps: DataFrame, width: float) -> DataFrame:
     return entered.groupBy("parent").applyInPandas(_walker(width), "chunk long, carried double")
 
 
+def _jumped(steps: DataFrame, width: float) -> DataFrame:
+    """As :func:`_carried`; no array is longer than a chunk, and no round handles chunk after chunk.
+
+    A step is named by chunk and place. Of the pointers over 2, 4, 8, ... chunks entered, only
+    those are kept that start where a chain can be after so many; chains that meet go on as one.
+    """
+    single = F.col("first_key") == F.col("last_key")
+    pieces = steps.select(
+        F.col("last_key").alias("key"),
+        "chunk",
+        # The last step of a chunk lies beyond a value kept earlier if any row of it does.
+        F.when(single, F.element_at("starts", -1)).otherwise(F.col("low")).alias("high"),
+        F.array_min("ends").alias("least"),
+        F.array_max("ends").alias("most"),
+    )
+    # One row per chunk. Ends lie in their chunk and targets do not fall, so pairs are at most twice as many.
+    pairs = pieces.groupBy("key").applyInPandas(_stairs(width), "source long, target long, below double, high double")
+    sources = steps.select(F.col("chunk").alias("source"), "ends")
+    targets = steps.select(F.col("chunk").alias("target"), "starts")
+    met = pairs.join(sources, "source").join(targets, "target")
+    jumps = [durable(met.mapInArrow(_pointers(width), "src long, dst long"))]
+    roots = durable(pieces.groupBy("key").agg(F.min("chunk").alias("chunk")).select(_step("chunk").alias("src")))
+    while True:
+        jump = jumps[-1]
+        reached = roots.union(jump.select(F.col("dst").alias("src"))).distinct()
+        near = jump.join(reached, "src", "leftsemi").select("src", F.col("dst").alias("via"))
+        further = durable(near.join(jump.withColumnRenamed("src", "via"), "via").select("src", "dst"))
+        if further.isEmpty():
+            free(further)
+            break
+        jumps.append(further)
+    chain = roots
+    for jump in reversed(jumps):
+        longer = durable(chain.union(chain.join(jump, "src").select("dst")))
+        free(jump, chain)
+        chain = longer
+    at = chain.select(F.shiftright("src", 32).alias("chunk"), F.col("src").bitwiseAND(2**32 - 1).cast("int").alias("at"))
+    left = steps.join(at, "chunk").select(
+        F.col("last_key").alias("key"), "chunk", F.get("ends", F.col("at")).alias("end"), F.lit(1).alias("kind")
+    )
+    asked = steps.select(F.col("first_key").alias("key"), "chunk", F.lit(None).cast("double").alias("end"), F.lit(0).alias("kind"))
+    earlier = Window.partitionBy("key").orderBy("chunk", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last("end", ignorenulls=True).over(earlier)
+    return asked.unionByName(left).withColumn("carried", carried).where("kind = 0").select("chunk", "carried")
+
+
+def _step(chunk: str) -> Column:
+    return F.shiftleft(F.col(chunk).cast("long"), 32)
+
+
+def _stairs(width: float):
+    """The later chunks that the steps of each chunk of a key enter."""
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        pieces = pdf.sort_values("chunk")
+        chunks, highs = pieces["chunk"].to_numpy(), pieces["high"].to_numpy()
+        begin = first_beyond(highs, pieces["least"].to_numpy(), width)
+        end = np.minimum(first_beyond(highs, pieces["most"].to_numpy(), width) + 1, len(chunks))
+        count = np.maximum(end - begin, 0)
+        source = np.repeat(np.arange(len(chunks)), count)
+        target = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return pd.DataFrame(
+            {"source": chunks[source], "target": chunks[target], "below": highs[target - 1], "high": highs[target]}
+        )
+
+    return pair
+
+
+def _pointers(width: float):
+    """Steps of a chunk that go on in a given later one, with the step they enter there."""
+
+    def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                ends = row["ends"].values.to_numpy(zero_copy_only=False)
+                starts = row["starts"].values.to_numpy(zero_copy_only=False)
+                edges = np.array([row["below"].as_py(), row["high"].as_py()])
+                here = np.flatnonzero(first_beyond(edges, ends, width) == 1)
+                entry = first_beyond(starts, ends[here], width)
+                src = (row["source"].as_py() << 32) + here
+                dst = (row["target"].as_py() << 32) + entry
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+    return point
+
+
 def _filter_chunk(width: float):
     """One chunk with the value kept before it."""
 

@@ -205,6 +205,13 @@ def _(spark, d):
     return dedup_time_window(rows, "ts", ["event_id"], 86400, rows_per_chunk=100)
 
 
+# Windows of many chunks each: few rows stay, and most chunks are leapt over.
+@query("dedup_wide_window_split", _jumps("ts", "INTERVAL 4 DAY", "event_id, ts"))
+def _(spark, d):
+    rows = table(spark, d, "events").select("event_id", "ts")
+    return dedup_time_window(rows, "ts", ["event_id"], 4 * 86400, rows_per_chunk=100)
+
+
 @query("dedup_numeric_tolerance_split", _jumps("value", "0.25::DOUBLE", "event_id, value"))
 def _(spark, d):
     rows = table(spark, d, "events").select("event_id", "value")

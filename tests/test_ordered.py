@@ -100,6 +100,30 @@ def test_thinning(spark, chunk, by):
     assert got == want
 
 
+@pytest.mark.parametrize("width", [0, 1, 40, 300, 2_500])
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_thinning_with_windows_of_many_chunks(spark, width, by):
+    """Evenly spread values, whose chains never meet, dense and sparse stretches, and gaps."""
+    rng = np.random.default_rng(width)
+    times = np.concatenate([np.arange(0, 3_000, 3), rng.integers(5_000, 5_200, 600), rng.integers(9_000, 30_000, 400)])
+    frame = pd.DataFrame({"id": np.arange(len(times)), "k": np.where(rng.random(len(times)) < 0.8, 0, 1), "t": 0, "v": times / 8})
+    got = {r["id"] for r in anchors._thin(to_spark(spark, frame), F.col("v"), by, ["id"], width / 8, 50).collect()}
+    want = set()
+    for g in [frame] if not by else [g for _, g in frame.groupby("k")]:
+        g = g.sort_values(["v", "id"]).reset_index(drop=True)
+        want |= set(g["id"][greedy(list(g["v"]), width / 8)])
+    assert got == want
+
+
+def test_wide_windows_keep_steps_in_their_chunks(spark, monkeypatch):
+    """Past a chunk's rows of steps, pointers are followed instead of composing step functions."""
+    composed = []
+    monkeypatch.setattr(anchors, "_carried", lambda *a: composed.append(a))
+    rows = spark.range(2_000).selectExpr("id", "double(id) AS v")
+    kept = {r["id"] for r in anchors.dedup_tolerance(rows, "v", ["id"], 999, rows_per_chunk=100).collect()}
+    assert kept == {0, 1000} and not composed
+
+
 def test_thinning_keeps_rows_without_value(spark):
     df = spark.createDataFrame([(1, None), (2, None), (3, 1.0), (4, 1.0004)], "id int, v double")
     got = {r["id"] for r in anchors.dedup_tolerance(df, "v", ["id"]).collect()}
