@@ -19,7 +19,7 @@ def rows_of(df):
 def test_registration():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(SQL) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark, folder):
