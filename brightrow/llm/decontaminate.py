@@ -16,7 +16,7 @@ either side nothing is hit.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,6 +29,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # A side of a join this small is sent to every executor; beyond, both sides are shuffled.
 SMALL_ROWS = 200_000
+MAP_BITS = 2**27
 
 
 def words(text: Column) -> Column:
@@ -53,12 +54,14 @@ def _kept(df: DataFrame, column: str) -> DataFrame:
 
 def _numbered(df: DataFrame, column: str, gram: int) -> tuple[DataFrame, str]:
     """Adds one number per place for ``gram`` words from there, and tells its column."""
-    hashed = df.withColumn("_g1", F.transform(column, lambda w: F.xxhash64(w)))
+    hashed = df if "_g1" in df.columns else df.withColumn("_g1", F.transform(column, lambda w: F.xxhash64(w)))
     size, name = 1, "_g1"
     while size < gram:
         step = min(size, gram - size)
-        hashed = hashed.withColumn(f"_g{size + step}", _beside(name, step, lambda a, b: F.xxhash64(a, b)))
-        size, name = size + step, f"_g{size + step}"
+        longer = f"_g{size + step}"
+        if longer not in hashed.columns:
+            hashed = hashed.withColumn(longer, _beside(name, step, lambda a, b: F.xxhash64(a, b)))
+        size, name = size + step, longer
     return hashed, name
 
 
@@ -67,67 +70,114 @@ def _beside(name: str, step: int, combine) -> Column:
     return F.zip_with(name, F.slice(name, step + 1, F.greatest(F.size(name), F.lit(1))), combine)
 
 
-def _windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
-    """One row per window of ``size`` words: place, two hashes."""
-    places = F.when(F.size("_words") >= size, F.sequence(F.lit(1), F.size("_words") - (size - 1)))
-    hashes = F.transform(
-        places,
-        lambda i: F.struct(
-            F.xxhash64(F.slice("_words", i, size)).alias("h"),
-            F.xxhash64(F.lit("second"), F.slice("_words", i, size)).alias("g"),
-        ),
-    )
-    return df.select(*keep, F.posexplode(hashes).alias("_at", "_w")).select(
-        *keep, "_at", F.col("_w.h").alias("_h"), F.col("_w.g").alias("_g")
-    )
+def _windows(df: DataFrame, sizes: list[int], wanted: Callable[[int], Column], *keep: str) -> DataFrame:
+    """One row per window of the sizes wanted: size, place, two hashes."""
+
+    def of(size: int) -> Column:
+        found = F.transform(
+            F.sequence(F.lit(1), F.size("_words") - (size - 1)),
+            lambda i: F.struct(
+                F.lit(size).alias("size"),
+                i.alias("at"),
+                F.xxhash64(F.slice("_words", i, size)).alias("h"),
+                F.xxhash64(F.lit("second"), F.slice("_words", i, size)).alias("g"),
+            ),
+        )
+        none = F.array().cast("array<struct<size:int,at:int,h:bigint,g:bigint>>")
+        return F.when((F.size("_words") >= size) & wanted(size), found).otherwise(none)
+
+    each = df.select(*keep, F.explode(F.concat(*[of(n) for n in sizes])).alias("_w"))
+    return each.select(*keep, *[F.col(f"_w.{c}").alias(f"_{c}") for c in ("size", "at", "h", "g")])
 
 
 def _joined(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Broadcast ``small`` only if it is counted to be small; it must be written out."""
-    few = small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return large.join(F.broadcast(small) if few else small, on, how)
+    return large.join(F.broadcast(small) if _few(small) else small, on, how)
 
 
 def _key(by: Column, text: Column) -> Column:
-    """Name of a row by id and text; null texts share one, which never has a hit."""
-    return F.coalesce(F.md5(F.concat(F.coalesce(by.cast("string"), F.lit("none")), F.lit(" "), text)), F.lit("none"))
+    """Name of a row by id and text; null texts, which never have a hit, are spread over many."""
+    none = F.concat(F.lit("none "), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))
+    return F.coalesce(F.md5(F.concat(F.coalesce(by.cast("string"), F.lit("none")), F.lit(" "), text)), none)
 
 
 def _find(docs: DataFrame, benchmark: DataFrame, text: str, item: str) -> tuple[DataFrame, DataFrame]:
-    """Windows of items in the documents (``_key``, text): ``_key``, place, size and class; items of the classes."""
+    """Windows of items in the documents (``_key``, text): ``_key``, place, size and class; items of the classes.
+
+    One pass over the texts finds candidates for windows of every size, one more their windows.
+    """
     items = durable(
-        pick(benchmark, item, text).select(
-            F.col(item).cast("string").alias("_item"), words(F.col(text)).alias("_words")
-        )
+        pick(benchmark, item, text)
+        .select(F.col(item).cast("string").alias("_item"), words(F.col(text)).alias("_words"))
+        .withColumn("_size", F.least(F.size("_words"), F.lit(SPAN)))
+        .where("_size > 0")
     )
+    sizes = sorted(r["_size"] for r in items.select("_size").distinct().collect()) or [SPAN]  # at most SPAN
+    marks = durable(_marked(items, sizes, lambda n: F.col("_size") == n, "_size").select("_mark_size", "_mark").distinct())
     split = docs.select("_key", words(F.col(text)).alias("_words"))
-    long = items.where(F.size("_words") >= SPAN)
+    offered = _marked(split, sizes, lambda n: F.lit(True), "_key", every=True)
+    met = _joined(offered, marks, ["_mark_size", "_mark"], "leftsemi")
+    # The sizes of a candidate are bits of one number.
+    bit = F.call_function("shiftleft", F.lit(1), F.col("_mark_size"))
+    candidates = durable(met.groupBy("_key").agg(F.bit_or(bit).alias("_sizes")))
+    owned = durable(_windows(items, sizes, lambda n: F.col("_size") == n, "_item").drop("_at").distinct())
+    near = _near(docs, candidates, text).select("_key", "_sizes", words(F.col(text)).alias("_words"))
+    windows = _windows(near, sizes, lambda n: F.col("_sizes").bitwiseAND(1 << n) != 0, "_key")
+    found = _joined(windows, durable(_classes(owned)), ["_size", "_h", "_g"])
+    return durable(found.select("_key", "_at", "_size", "_c", "_d").distinct()), _owners(owned)
+
+
+def _marked(df: DataFrame, sizes: list[int], wanted: Callable[[int], Column], *keep: str, every: bool = False) -> DataFrame:
+    """Numbers to meet by, with the window size they stand for.
+
+    For whole spans these are the winnowed ones. Short items have one number each, their
+    first, which is looked up at ``every`` place of a document.
+    """
+    parts = []
+    for n in sizes:
+        if n == SPAN:
+            df, numbers = _kept(df, "_words"), F.col("_kept")
+        else:
+            df, name = _numbered(df, "_words", n)
+            numbers = F.array_distinct(name) if every else F.slice(name, 1, 1)
+        tagged = F.transform(numbers, _tag(n))
+        parts.append(F.when(wanted(n), tagged).otherwise(F.array().cast("array<struct<size:int,mark:bigint>>")))
     # The outer form keeps Spark from repeating the whole expression in a filter below.
-    marks = durable(_kept(long, "_words").select(F.explode_outer("_kept").alias("_mark")).distinct())
-    offered = _kept(split, "_words").select("_key", F.explode_outer("_kept").alias("_mark"))
-    candidates = durable(_joined(offered, marks, ["_mark"], "leftsemi").select("_key").distinct())
-    owned = _owned(long, SPAN)
-    found, owners = [_hits(_near(docs, candidates, text), owned, SPAN)], [_owners(owned)]
-    size = F.size("_words")
-    lengths = items.select(size.alias("n")).where("n > 0").where(F.col("n") < SPAN).distinct().collect()
-    for n in sorted(r["n"] for r in lengths):
-        # Short items have one number each, which is looked up at every place.
-        short = items.where(size == n)
-        numbered, name = _numbered(short, "_words", n)
-        marks = durable(numbered.select(F.get(name, F.lit(0)).alias("_mark")).distinct())
-        numbered, name = _numbered(split, "_words", n)
-        offered = numbered.select("_key", F.explode_outer(F.array_distinct(name)).alias("_mark"))
-        candidates = durable(_joined(offered, marks, ["_mark"], "leftsemi").select("_key").distinct())
-        owned = _owned(short, n)
-        found.append(_hits(_near(docs, candidates, text), owned, n))
-        owners.append(_owners(owned))
-    return durable(reduce(DataFrame.unionByName, found)), reduce(DataFrame.unionByName, owners).distinct()
+    each = df.select(*keep, F.explode_outer(F.concat(*parts)).alias("_m"))
+    return each.select(*keep, F.col("_m.size").alias("_mark_size"), F.col("_m.mark").alias("_mark"))
+
+
+def _tag(size: int) -> Callable[[Column], Column]:
+    return lambda m: F.struct(F.lit(size).alias("size"), m.alias("mark"))
 
 
 def _near(docs: DataFrame, candidates: DataFrame, text: str) -> DataFrame:
-    """Words of the candidate documents, each once."""
-    near = docs.select("_key", text).join(candidates, "_key", "leftsemi").dropDuplicates(["_key"])
-    return near.select("_key", words(F.col(text)).alias("_words"))
+    """The candidate documents with their sizes. Other texts are not moved: see :func:`_sifted`."""
+    rows = docs.select("_key", text)
+    if _few(candidates):
+        return rows.join(F.broadcast(candidates), "_key")
+    return _sifted(rows, candidates).where("_maybe").drop("_maybe").join(candidates, "_key")
+
+
+def _few(small: DataFrame) -> bool:
+    return small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
+def _sifted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Adds ``_maybe``, false only for rows whose ``_key`` is not among ``keys``.
+
+    Keys set bits of a map of ``MAP_BITS``, sent to every executor: 16 MB however many they are.
+    """
+    place = F.pmod(F.xxhash64("_key"), F.lit(MAP_BITS)) + 1
+    bits = (
+        keys.groupBy(F.bitmap_bucket_number(place).alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    )
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.call_function("getbit", byte, (at % 8).cast("int")) == 1
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket", "left")
+    return joined.withColumn("_maybe", F.coalesce(found, F.lit(False))).drop("_bucket", "_bits")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame:
@@ -138,7 +188,13 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "t
     keyed = plain.withColumn("_key", _key(F.col(f"_{names.index(by)}"), F.col(body)))
     hits, _ = _find(keyed.select("_key", F.col(body).alias(text)), benchmark, text, "item_id")
     dirty = durable(hits.select("_key").distinct())
-    return keyed.join(dirty, "_key", "leftanti").drop("_key").toDF(*names)
+    if _few(dirty):
+        clean = keyed.join(F.broadcast(dirty), "_key", "leftanti")
+    else:
+        sifted = _sifted(keyed, dirty)
+        doubtful = sifted.where("_maybe").join(dirty, "_key", "leftanti")
+        clean = sifted.where("not _maybe").unionByName(doubtful).drop("_maybe")
+    return clean.drop("_key").toDF(*names)
 
 
 def find_contaminated(
@@ -175,28 +231,17 @@ def find_contaminated(
     )
 
 
-def _owned(items: DataFrame, size: int) -> DataFrame:
-    """Windows of the items, each once per item."""
-    return durable(_windows(items, size, "_item").select("_h", "_g", "_item").distinct())
-
-
 def _classes(owned: DataFrame) -> DataFrame:
     """Windows with their class: two hashes over the set of items that hold them."""
     first, second = F.xxhash64("_item"), F.xxhash64(F.lit("second"), "_item")
-    return owned.groupBy("_h", "_g").agg(F.bit_xor(first).alias("_c"), F.bit_xor(second).alias("_d"))
+    return owned.groupBy("_size", "_h", "_g").agg(F.bit_xor(first).alias("_c"), F.bit_xor(second).alias("_d"))
 
 
 def _owners(owned: DataFrame) -> DataFrame:
     """Items with an id per class, taken from one window of the class."""
-    one = _classes(owned).groupBy("_c", "_d").agg(F.min(F.struct("_h", "_g")).alias("_w"))
-    one = one.select("_c", "_d", F.col("_w._h").alias("_h"), F.col("_w._g").alias("_g"))
-    return owned.where(F.col("_item").isNotNull()).join(one, ["_h", "_g"]).select("_c", "_d", "_item")
-
-
-def _hits(docs: DataFrame, owned: DataFrame, size: int) -> DataFrame:
-    """Places of item windows in documents, with the class of each window."""
-    met = _joined(_windows(docs, size, "_key"), durable(_classes(owned)), ["_h", "_g"])
-    return met.select("_key", "_at", F.lit(size).alias("_size"), "_c", "_d")
+    one = _classes(owned).groupBy("_c", "_d").agg(F.min(F.struct("_size", "_h", "_g")).alias("_w"))
+    one = one.select("_c", "_d", "_w.*")
+    return owned.where(F.col("_item").isNotNull()).join(one, ["_size", "_h", "_g"]).select("_c", "_d", "_item")
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -386,6 +386,25 @@ def test_large_benchmarks_are_shuffled(spark, documents, benchmark_rows, monkeyp
     same([(r[0], r[2]) for r in rows_of(found)], [(n, h) for (n, _), (_, h, _) in zip(documents, want)])
 
 
+def test_many_contaminated_documents_go(spark, documents, benchmark_rows, monkeypatch):
+    """Beyond the broadcast, a map of bits tells which texts need not be moved."""
+    monkeypatch.setattr(decontaminate, "SMALL_ROWS", 0)
+    given = [*documents[:60], *documents[:3]]
+    clean = decontaminate.drop_contaminated(
+        spark.createDataFrame(given, DOCS), spark.createDataFrame(benchmark_rows, "item_id long, text string")
+    )
+    want = [d for d, x in zip(given, brute.contamination(given, benchmark_rows)) if not x[1]]
+    same(rows_of(clean), want)
+    assert len(want) < len(given)
+
+
+def test_a_map_of_bits_misses_no_key(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("_key"), "id")
+    found = decontaminate._sifted(rows, rows.where("id % 7 = 0").select("_key")).where("_maybe")
+    got = {r["id"] for r in found.collect()}
+    assert set(range(0, 20_000, 7)) <= got and len(got) < 3_000
+
+
 # Vectors
 
 
