@@ -1,7 +1,9 @@
 """A corpus pipeline: each stage works on all that its predecessor kept.
 
-1. Language ID: a model learns from the labelled documents; those without a letter go, which
-   have no language. With no labelled text to learn from, those with letters stay as well.
+1. Language ID: a model learns from the labelled documents. Those without a letter go, which
+   have no language, and those in none of the learned languages: no language's code is shorter
+   than the plain bytes, with ``ALLOWANCE`` bits for a text too short to tell. With no labelled
+   text to learn from, all with letters stay.
 2. SimHash near-dedup: one document of each group stays.
 3. Benchmark decontamination: documents with a window of a benchmark item go.
 4. Secret scans: secrets give way to their kind in brackets, and n_chars follows.
@@ -19,6 +21,9 @@ from brightrow.llm.common import numbered_columns, pick, remainder
 from brightrow.llm.queries import vocabulary
 from brightrow.session import durable
 
+BYTE_BITS = 8
+ALLOWANCE = 64
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(pick(docs, "doc_id", "text", "lang").where(remainder(F.col("doc_id"), 4) != 2))
@@ -26,6 +31,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     text = f"_{docs.columns.index('text')}"
     if model.languages:
         found = langid.identify(plain, model, text, tuple(plain.columns)).where(F.col("lang_pred") != langid.UNKNOWN)
+        excess = (F.col("bits_per_byte") - BYTE_BITS) * F.octet_length(text)
+        found = found.where(excess <= ALLOWANCE)
     else:
         found = langid.letters(plain, text, tuple(plain.columns)).where("has_letter")
     return found.select(*plain.columns).toDF(*docs.columns)
