@@ -85,6 +85,16 @@ def test_documents_stay_when_no_language_is_learned(spark, folder):
     assert len(want) > 10 and sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_texts_in_no_learned_language_go(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    given = rows_of(docs)
+    lettered = [r for r in given if r[1] and any(map(str.isalpha, r[1]))]
+    odd = [(100001, "漢字仮名交文" * 40, None, "x", 240), (100002, "漢字", None, "x", 2), (100003, "ω", None, "x", 1)]
+    more = spark.createDataFrame(odd, docs.schema)
+    got = rows_of(corpus_pipeline.identify_language(spark, docs.unionByName(more), folder))
+    assert sorted(got, key=str) == sorted([*lettered, *odd[1:]], key=str)
+
+
 def test_stages_of_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
