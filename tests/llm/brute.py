@@ -126,6 +126,45 @@ def held_out(doc_id, divisor):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % divisor == 2
 
 
+def ppm(samples, text, order, least):
+    """Bits of a text under each language: PPM, method C with exclusion, one byte after the other."""
+    trees = {}
+    for name, texts in samples.items():
+        tree = trees[name] = {}
+        for t in texts:
+            for i, byte in enumerate(t):
+                for k in range(min(order, i) + 1):
+                    tree.setdefault(t[i - k : i], Counter())[byte] += 1
+    known = {c for tree in trees.values() for c, n in tree.items() if sum(n.values()) >= least}
+    letters = {b for texts in samples.values() for t in texts for b in t}
+
+    def probability(tree, context, byte):
+        left, gone = 1.0, set()
+        for i in range(len(context) + 1):
+            after = {b: n for b, n in tree.get(context[i:], {}).items() if b not in gone}
+            if not after:
+                continue
+            if len(after) + len(gone) == 256:
+                return left * after[byte] / sum(after.values())
+            below = sum(after.values()) + len(after)
+            if byte in after:
+                return left * after[byte] / below
+            left *= len(after) / below
+            gone |= set(after)
+        return left / (256 - len(gone))
+
+    bits = dict.fromkeys(sorted(samples), 0.0)
+    history = b""
+    for byte in text:
+        context = history[-order:]
+        while context and context not in known:
+            context = context[1:]
+        for name in bits:
+            bits[name] -= math.log2(probability(trees[name], context, byte))
+        history = history + bytes([byte]) if byte in letters else b""
+    return list(bits.values())
+
+
 def katz(rows, unigrams_of, discounts_of, cut=5):
     """Per row: held out, tokens, known, N, base score, score."""
     tokens = [(t or "").encode().lower().split() + [b""] for _, t in rows]

@@ -323,6 +323,54 @@ def test_code_lengths_equal_a_walk_over_the_bytes():
         assert np.allclose(got, want, rtol=1e-5)
 
 
+@pytest.mark.parametrize("order,least", [(1, 1), (3, 2), (4, 6)])
+def test_code_lengths_equal_plain_ppm(order, least):
+    rng = np.random.default_rng(order)
+    samples = {
+        "a": [b"the cat sat on the mat and the dog " * 3, b"that", b"a"],
+        "b": [b"der hund und die katze ", "größe über maße".encode() * 4],
+        "c": [bytes(rng.integers(0, 256, 600, dtype=np.uint8)), bytes(range(256))],
+    }
+    texts = [b"", b"t", b"the hund und the cat", "straße — größer".encode(), bytes(rng.integers(0, 256, 200, dtype=np.uint8)), b"\x00" * 40]
+    for chosen in (samples, {k: samples[k] for k in "ab"}):
+        model = langid.Model(chosen, order=order, least=least)
+        for text, got in zip(texts, model.code_lengths(texts)):
+            assert np.allclose(got, brute.ppm(chosen, text, order, least), rtol=1e-4, atol=1e-3)
+
+
+def test_training_by_tasks_equals_training_here(spark, documents):
+    rows = [(i, t, "xy"[(i or 0) % 2]) for i, t in documents if t and len(t) <= langid.SAMPLE_PIECES * langid.PIECE]
+    rows += [(i, t, lang) for i, t, lang in rows[:50]]  # repeated rows count once
+    few = rows[:200] + [(1, None, "x"), (2, "", "z"), (3, "no label", None)]
+    df = spark.createDataFrame(few, "doc_id long, text string, lang string")
+    samples = {x: sorted({(i, t.encode()) for i, t, lang in few if t and lang == x}, key=str) for x in "xy"}
+    want = langid.Model({x: [t for _, t in v] for x, v in samples.items()})
+    got = langid.train(df)
+    assert got.languages == want.languages and got.states == want.states
+    assert (got.table == want.table).all() and (got.classes == want.classes).all()
+    assert np.allclose(got.cost, want.cost, rtol=1e-6)
+
+
+def test_samples_come_from_all_over_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 10)
+    text = "".join(f"{i:09d}é" for i in range(500))
+    rows = [(1, text, "x"), (1, text, "x"), (2, "short\ntext", "x"), (3, text[:-5], "y")]
+    found = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    parts = [r[1] for r in found if r[0] == "x"]
+    assert len(parts) == langid.SAMPLE_PIECES + 1 and "short\ntext" in parts
+    places = sorted(int(p[:9]) for p in parts if p != "short\ntext")
+    assert len(set(places)) == langid.SAMPLE_PIECES and places[-1] > 250
+    assert sum(r[0] == "y" for r in found) == langid.SAMPLE_PIECES
+
+
+def test_dirty_labels_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, "some words in a text", x) for i, x in enumerate(["b", "b", "a", "a", "a", "d", "c", "c"])]
+    with pytest.warns(UserWarning, match="more than 2"):
+        model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["a", "b"]
+
+
 def test_language_of_awkward_rows(docs, documents, spark):
     model = langid.Model({"en": [b"plain words about nothing and the text"], "de": [b"der die das und nicht mit"]})
     got = rows_of(langid.identify(docs, model))
