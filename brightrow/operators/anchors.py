@@ -6,8 +6,9 @@ kept before it, so the work splits into ranges of any key:
 
 0. while no key exceeds a chunk, whole keys go to one partition each and step 4
    is all there is;
-1. else rows are range-partitioned and sorted on (key, value): one partition is
-   one chunk, of bounded size also for a key that holds most rows;
+1. else rows are range-partitioned and sorted on (key, value), and each range is cut
+   into chunks, of bounded size also for a key that holds most rows. Chunks may be small:
+   a range is a task, and their number does not follow that of the chunks;
 2. every chunk reports how the value kept before it maps to the value kept at
    its end, as a step function over the few rows it could start from;
 3. the step functions are composed in a tree of groups of ``FAN_IN`` chunks,
@@ -16,7 +17,7 @@ kept before it, so the work splits into ranges of any key:
    (windows wider than chunks), the steps stay with their chunks: each step is a row
    that points to the step where its chain enters a later chunk, and the chains that
    begin with the keys are followed by doubling these pointers in joins;
-4. every chunk filters its own rows.
+4. every range filters its own rows, from the value kept before its first chunk on.
 """
 
 from __future__ import annotations
@@ -31,13 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brightrow.columns import known_number, ref
-from brightrow.operators.ordered import largest_key
+from brightrow.operators.ordered import largest_key, place_in_range, range_count
 from brightrow.operators.project import order_columns
 from brightrow.session import durable, durable_partitions, free
 
 FAN_IN = 16
 ROWS_PER_CHUNK = 500_000
 STEPS = "chunk long, first_key string, last_key string, low double, starts array<double>, ends array<double>"
+PLACED_STEPS = STEPS.replace("chunk long", "range long, nth long")
+# Chunks, and steps of them, that a task reports at a time.
+REPORT_CHUNKS, REPORT_STEPS = 2000, 200_000
 
 
 def dedup_time_window(
@@ -81,22 +85,32 @@ def _thin(
     largest, total = largest_key(known, ["__key"])
     if largest <= limit:
         # Every key fits a task: whole keys per partition, nothing to carry.
-        placed = known.withColumn("__chunk", F.lit(0).cast("long")).repartition("__key")
+        placed = known.withColumn("__carried", F.lit(None).cast("double")).repartition("__key")
         kept = placed.sortWithinPartitions(*order).mapInArrow(_filter(width), placed.schema)
     else:
         ranged = durable_partitions(
-            known.repartitionByRange(math.ceil(total / limit), *order)
+            known.repartitionByRange(range_count(df.sparkSession, total, limit), *order)
             .sortWithinPartitions(*order)
-            .withColumns({"__chunk": F.spark_partition_id().cast("long"), "__seq": F.monotonically_increasing_id()})
+            .withColumns(
+                {"__range": F.spark_partition_id().cast("long"), "__nth": F.floor(place_in_range() / limit)}
+            )
         )
-        steps = durable(ranged.select("__chunk", "__key", "__value").mapInArrow(_reporter(width), STEPS))
-        many = steps.agg(F.sum(F.size("starts"))).first()[0] or 0
-        entered = _jumped(steps, width) if many > limit else _carried(steps, width)
-        carried = durable(entered.withColumnRenamed("chunk", "__chunk"))
-        free(steps)
-        chunks = ranged.groupBy("__chunk").cogroup(carried.groupBy("__chunk"))
-        kept = chunks.applyInArrow(_filter_chunk(width), ranged.schema).drop("__seq")
-    helpers = ["__key", "__value", "__chunk"]
+        reported = durable(
+            ranged.select("__range", "__nth", "__key", "__value").mapInArrow(_reporter(width), PLACED_STEPS)
+        )
+        sizes = reported.agg(F.sum(F.size("starts")).alias("steps"), F.max("nth").alias("nth")).first()
+        per_range = (sizes["nth"] or 0) + 1
+        steps = reported.withColumn("chunk", F.col("range") * per_range + F.col("nth")).drop("range", "nth")
+        entered = _jumped(steps, width) if (sizes["steps"] or 0) > limit else _carried(steps, width)
+        # One row per range: a task carries on from its first chunk to the next ones itself.
+        first = entered.where(F.col("chunk") % per_range == 0)
+        carried = durable(
+            first.select((F.col("chunk") / per_range).cast("long").alias("__range"), F.col("carried").alias("__carried"))
+        )
+        free(reported)
+        entering = ranged.join(F.broadcast(carried), "__range", "left").drop("__range", "__nth")
+        kept = entering.mapInArrow(_filter(width), entering.schema)
+    helpers = ["__key", "__value", "__carried"]
     # Rows without a value never match one another.
     unknown = rows.where("__value is null")
     return kept.drop(*helpers).unionByName(unknown.drop(*helpers))
@@ -115,41 +129,69 @@ def first_beyond(values: np.ndarray, anchors: np.ndarray, width: float) -> np.nd
         at = at + ahead.astype(int) - (behind & ~ahead).astype(int)
 
 
-def _reporter(width: float):
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, first, last = None, None, None
-        single: list[np.ndarray] = []  # values of the chunk's last key
-        several = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, values = batch.column("__key"), batch.column("__value").to_numpy(zero_copy_only=False)
-            if chunk is None:
-                chunk, first = batch.column("__chunk")[0].as_py(), keys[0].as_py()
-                last = first
-            final = keys[len(keys) - 1].as_py()
-            if final != last:
-                several, single, last = True, [], final
-            same = pc.equal(keys, last).to_numpy(zero_copy_only=False)
-            single.append(values[same])
-        if chunk is None:
-            return
-        run = np.unique(np.concatenate(single))
-        low = float(run[0])
+class _Chunk:
+    """Rows of one chunk, in order, of which the values of the last key are held."""
+
+    def __init__(self, place: tuple[int, int], key: str):
+        self.place, self.first, self.last = place, key, key
+        self.values: list[np.ndarray] = []
+        self.several = False
+
+    def add(self, keys: pa.Array, values: np.ndarray) -> None:
+        final = keys[len(keys) - 1].as_py()
+        if final != self.last:
+            self.several, self.values, self.last = True, [], final
+        same = pc.equal(keys, final).to_numpy(zero_copy_only=False)
+        self.values.append(values[same])
+
+    def row(self, width: float) -> dict:
+        run = np.unique(np.concatenate(self.values))
         begin, end = _steps(run, width)
-        if several:  # the chunk's last key starts inside it: nothing carries through
+        if self.several:  # the chunk's last key starts inside it: nothing carries through
             begin, end = np.array([np.inf]), end[:1]
-        table = pa.table(
-            {
-                "chunk": [chunk],
-                "first_key": [first],
-                "last_key": [last],
-                "low": [low],
-                "starts": [begin],
-                "ends": [end],
-            }
-        )
-        yield from table.to_batches()
+        return {
+            "range": self.place[0],
+            "nth": self.place[1],
+            "first_key": self.first,
+            "last_key": self.last,
+            "low": float(run[0]),
+            "starts": begin,
+            "ends": end,
+        }
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    """The chunks of a range, one after the other."""
+    chunk = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nth = batch.column("__nth").to_numpy(zero_copy_only=False)
+        values = batch.column("__value").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), len(nth)]
+        for low, high in zip(edges, edges[1:]):
+            keys = batch.column("__key").slice(low, high - low)
+            place = batch.column("__range")[low].as_py(), int(nth[low])
+            if chunk is None or chunk.place != place:
+                if chunk is not None:
+                    yield chunk
+                chunk = _Chunk(place, keys[0].as_py())
+            chunk.add(keys, values[low:high])
+    if chunk is not None:
+        yield chunk
+
+
+def _reporter(width: float):
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for chunk in _chunks(batches):
+            rows.append(chunk.row(width))
+            size += len(rows[-1]["starts"])
+            if len(rows) >= REPORT_CHUNKS or size >= REPORT_STEPS:
+                yield from pa.Table.from_pylist(rows).to_batches()
+                rows, size = [], 0
+        if rows:
+            yield from pa.Table.from_pylist(rows).to_batches()
 
     return report
 
@@ -331,19 +373,8 @@ def _pointers(width: float):
     return point
 
 
-def _filter_chunk(width: float):
-    """One chunk with the value kept before it."""
-
-    def run(rows: pa.Table, carried: pa.Table) -> pa.Table:
-        before = carried.column("carried")[0].as_py() if carried.num_rows else None
-        ordered = rows.sort_by("__seq").combine_chunks()
-        return pa.Table.from_batches(_filter(width, before)(ordered.to_batches()), schema=rows.schema)
-
-    return run
-
-
-def _filter(width: float, before: float | None = None):
-    """Rows that stay, in order; ``before`` is the value kept last for the first row's key."""
+def _filter(width: float):
+    """Rows that stay, in order; ``__carried`` is the value kept last for the first row's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, anchor, begun = None, None, False
@@ -353,7 +384,7 @@ def _filter(width: float, before: float | None = None):
             keys, values = batch.column("__key"), batch.column("__value").to_numpy(zero_copy_only=False)
             if not begun:
                 key, begun = keys[0].as_py(), True
-                anchor = before
+                anchor = batch.column("__carried")[0].as_py()
             new_key = np.empty(len(values), dtype=bool)
             new_key[0] = keys[0].as_py() != key
             if len(values) > 1:

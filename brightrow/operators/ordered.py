@@ -2,17 +2,19 @@
 
 A window partitioned by key puts each key in one task. That is the best plan
 while every key is small. Above ``rows_per_chunk`` rows in one key (or without
-a key at all) the rows are range-partitioned on (key, order) instead, each
-range is a chunk, and what a window needs from the rows before or after its
-chunk is carried over in a small table with one row per key and chunk.
+a key at all) the rows are range-partitioned and sorted on (key, order) instead, and
+cut along this order into chunks of ``rows_per_chunk`` rows, and what a window
+needs from the rows before or after its chunk is carried over in a small table
+with one row per key and chunk. Chunks may be small; ranges, which are tasks, are not.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
 
 from brightrow.columns import ref
 from brightrow.operators.project import order_columns
@@ -20,6 +22,8 @@ from brightrow.session import durable
 
 CHUNK = "__chunk"
 ROWS_PER_CHUNK = 2_000_000
+# Rows of a range, beyond one range per shuffle partition.
+ROWS_PER_RANGE = 500_000
 BROADCAST_ROWS = 50_000
 
 
@@ -32,16 +36,35 @@ def split_by_order(
 ) -> tuple[DataFrame, int]:
     """Add ``__chunk``; also gives the number of chunks, 0 when no key needs splitting.
 
-    The chunk is the range partition a row falls in, so it is written out once
-    before use: ranges are sampled, and must not move between jobs.
+    Chunks follow from the range partition a row falls in and its place there, which are
+    written out once before use: ranges are sampled, and must not move between jobs.
     """
     limit = rows_per_chunk or ROWS_PER_CHUNK
     largest, total = largest_key(df, by)
     if largest <= limit:
         return df.withColumn(CHUNK, F.lit(0)), 0
-    chunks = math.ceil(total / limit)
-    ranged = df.repartitionByRange(chunks, *key_columns(by), *order_columns(order_by))
-    return durable(ranged.withColumn(CHUNK, F.spark_partition_id())), chunks
+    ranges = range_count(df.sparkSession, total, limit)
+    order = [*key_columns(by), *order_columns(order_by)]
+    sorted_ranges = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = durable(
+        sorted_ranges.withColumns({"__range": F.spark_partition_id(), "__place": place_in_range()})
+    )
+    # One number per range enters the plan: the rows before it.
+    sizes = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}
+    before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes)))]
+    place = F.get(F.lit(before), F.col("__range")) + F.col("__place")
+    return placed.withColumn(CHUNK, F.floor(place / limit)).drop("__range", "__place"), math.ceil(total / limit)
+
+
+def range_count(spark: SparkSession, total: int, limit: int) -> int:
+    """Ranges for chunks of ``limit`` rows: at most as many as chunks, and no more tasks than the rows are worth."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(math.ceil(total / limit), max(usual, math.ceil(total / ROWS_PER_RANGE)))
+
+
+def place_in_range() -> Column:
+    """0-based place of a row in its partition."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
 
 
 def largest_key(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:

@@ -189,3 +189,18 @@ def test_a_chunk_gets_no_more_rows_than_its_window_reaches(spark):
     assert len(sizes) == 19 and max(sizes) == 350
     plan = halo._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan
+
+
+@pytest.mark.parametrize("width", [5, 400])
+def test_small_chunks_share_tasks(spark, monkeypatch, width):
+    """The number of ranges, which are tasks, does not follow that of the chunks."""
+    rows = spark.range(3_000).selectExpr("id", "double(id) AS v")
+    made, by_range = [], type(rows).repartitionByRange
+    monkeypatch.setattr(type(rows), "repartitionByRange", lambda df, n, *c: made.append(n) or by_range(df, n, *c))
+    kept = {r["id"] for r in anchors.dedup_tolerance(rows, "v", ["id"], width, rows_per_chunk=20).collect()}
+    assert kept == set(range(0, 3_000, width + 1))
+    filled = windows.ffill(rows.withColumn("v", F.expr("if(id % 1000 = 7, v, null)")), ["v"], ["id"], rows_per_chunk=20)
+    for r in filled.collect():
+        known = (r["id"] - 7) // 1000 * 1000 + 7
+        assert r["v"] == (known if known > 0 else None)
+    assert len(made) == 2 and max(made) <= 4
