@@ -194,26 +194,67 @@ def read_yaml(
     return flatten(parsed.select("doc.*"), sep)
 
 
+# Rows and characters that a YAML task hands over at a time.
+YAML_ROWS, YAML_CHARACTERS = 10_000, 8_000_000
+
+
 def yaml_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, json) per YAML document; files are parsed where Spark reads them."""
+    """(path, json) per YAML document or item of a list document; files are parsed where Spark reads them.
+
+    Of a list only one item at a time is held as objects, besides what its anchors name.
+    """
     files = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
 
-        import yaml
-
+        rows, size = [], 0
         for batch in batches:
-            rows = []
             for name, text in zip(batch["file_path"], batch["value"]):
-                loaded = yaml.safe_load(text)
-                items = loaded if isinstance(loaded, list) else [loaded]
-                rows += [(name, json.dumps(item, default=str, ensure_ascii=False)) for item in items]
-            yield pd.DataFrame(rows, columns=["path", "json"])
+                for item in yaml_items(text):
+                    rows.append((name, json.dumps(item, default=str, ensure_ascii=False)))
+                    size += len(rows[-1][1])
+                    if len(rows) >= YAML_ROWS or size >= YAML_CHARACTERS:
+                        yield pd.DataFrame(rows, columns=["path", "json"])
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["path", "json"])
 
     return files.mapInPandas(run, "path string, json string")
 
 
+def yaml_items(text: str) -> Iterator[object]:
+    """The items of a YAML text's list, one after the other; any other document is one item."""
+    import yaml
+
+    loader = yaml.SafeLoader(text)
+    try:
+        loader.get_event()  # the stream's start
+        if loader.check_event(yaml.StreamEndEvent):
+            yield None
+            return
+        start = loader.get_event()
+        first = loader.peek_event()
+        plain = isinstance(first, yaml.SequenceStartEvent) and first.anchor is None
+        if plain and first.tag in (None, "!", loader.DEFAULT_SEQUENCE_TAG):
+            loader.get_event()
+            while not loader.check_event(yaml.SequenceEndEvent):
+                yield loader.construct_document(loader.compose_node(None, None))
+            loader.get_event()
+        else:
+            loaded = loader.construct_document(loader.compose_node(None, None))
+            yield from loaded if isinstance(loaded, list) else [loaded]
+        loader.get_event()  # the document's end
+        if not loader.check_event(yaml.StreamEndEvent):
+            raise yaml.composer.ComposerError(
+                "expected a single document in the stream",
+                start.start_mark,
+                "but found another document",
+                loader.get_event().start_mark,
+            )
+    finally:
+        loader.dispose()
+
+
 def normalize_sensor(df: DataFrame, ts_col: str = "timestamp", expected: Sequence[str] = ()) -> DataFrame:
     """Flatten, drop equal rows, read timestamps, drop undated rows and order by time."""
     import warnings

@@ -225,3 +225,35 @@ def test_many_files_are_checked_in_one_job(spark, tmp_path):
     assert sum(r["status"] == "staged" for r in rows) == 199
     staged = {r["staged"] for r in rows if r["staged"]}
     assert len(staged) == 1 and spark.read.parquet(*staged).count() == 199
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["", "~", "a: 1", "[]", "- 1", "- {a: [1, 2]}\n- b\n-\n", "- &x {a: 1}\n- *x\n- {<<: *x, b: 2}\n- [*x, *x]\n",
+     "--- [1, {a: 2024-01-02}]\n...\n", "!!omap [a: 1, b: 2]", "&l [1, 2]", "!!seq [1]", "- |\n  ---\n  - no\n- >\n  end\n"],
+)
+def test_yaml_items_are_those_of_the_whole_text(text):
+    import yaml
+
+    whole = yaml.safe_load(text)
+    assert list(readers.yaml_items(text)) == (whole if isinstance(whole, list) else [whole])
+
+
+def test_yaml_list_is_read_item_by_item():
+    """Memory follows the text, not the objects of all its items."""
+    import itertools
+    import tracemalloc
+
+    import yaml
+
+    text = "- {id: 1, info: {segment: A, balance: 1.5}}\n" * 3_000
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in readers.yaml_items(text)) == 3_000
+        assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    finally:
+        tracemalloc.stop()
+    broken = readers.yaml_items("- 1\n- 2\n--- 3\n")
+    assert list(itertools.islice(broken, 2)) == [1, 2]
+    with pytest.raises(yaml.YAMLError):
+        next(broken)
