@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from brightrow.columns import choose_numbers, known_number, present, ref
 from brightrow.operators.ordered import (
@@ -18,6 +18,9 @@ from brightrow.operators.ordered import (
 )
 from brightrow.session import durable
 
+# Rows of a window from which on means come from sums of blocks: a frame is added up anew for every row.
+WIDE_WINDOW = 100
+
 
 def smooth(
     df: DataFrame,
@@ -31,6 +34,8 @@ def smooth(
     names = [c for c in choose_numbers(df, cols) if c not in {*by, *order_by}]
     if not names:
         return df
+    if window >= WIDE_WINDOW and not any(isinstance(df.schema[c].dataType, T.DecimalType) for c in names):
+        return _smooth_wide(df, names, order_by, window, by, rows_per_chunk)
     parts, chunks = split_by_order(df, by, order_by, rows_per_chunk)
     rolling = chunk_window(by, order_by).rowsBetween(-(window - 1), 0)
     if not chunks:
@@ -44,6 +49,43 @@ def smooth(
     return whole.withColumns(means).where(~F.col("__halo")).drop(CHUNK, "__halo")
 
 
+def _smooth_wide(
+    df: DataFrame,
+    names: Sequence[str],
+    order_by: Sequence[str],
+    window: int,
+    by: Sequence[str],
+    rows_per_chunk: int | None,
+) -> DataFrame:
+    """Rolling means at a cost per row that does not follow the width of the window.
+
+    Each key is cut into blocks of ``window`` rows. A window is the end of one block and the
+    beginning of the next, so its sum is a running sum from behind plus one from the front.
+    Every row goes to its own block and to the next one; nothing is subtracted, so no large or
+    infinite value outside a window touches its mean.
+    """
+    out, _ = numbered(df, by, order_by, "__pos", rows_per_chunk)
+    out = out.drop(CHUNK).withColumn("__ahead", F.explode(F.array(F.lit(0), F.lit(window))))
+    place = F.col("__pos") - 1
+    out = out.withColumn("__start", place - place % window + F.col("__ahead"))
+    own = F.col("__ahead") == 0
+    block = Window.partitionBy(*[ref(c) for c in by], "__start")
+    upto = block.orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    onward = block.orderBy(F.col("__pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    behind, ahead, means = {}, {}, {}
+    for i, c in enumerate(names):
+        value = known_number(df, c).cast("double")
+        for kind, agg in (("s", F.sum), ("n", F.count)):
+            behind[f"__b{kind}{i}"] = agg(F.when(~own, value)).over(onward)
+            # From the row where the window begins, if that is in the block before; else nothing.
+            earlier = F.lag(f"__b{kind}{i}", window - 1).over(block.orderBy("__pos"))
+            here = agg(F.when(own, value)).over(upto)
+            ahead[f"__{kind}{i}"] = F.coalesce(earlier, F.lit(0)) + F.coalesce(here, F.lit(0))
+        means[c] = F.when(F.col(f"__n{i}") > 0, F.col(f"__s{i}") / F.col(f"__n{i}"))
+    out = out.withColumns(behind).withColumns(ahead).where(own).withColumns(means)
+    return out.drop("__pos", "__ahead", "__start", *behind, *ahead)
+
+
 def _halo(parts: DataFrame, by: Sequence[str], order_by: Sequence[str], window: int) -> DataFrame:
     """Copies of rows for the later chunks of their key whose first rows reach back to them.
 

@@ -204,3 +204,22 @@ def test_small_chunks_share_tasks(spark, monkeypatch, width):
         known = (r["id"] - 7) // 1000 * 1000 + 7
         assert r["v"] == (known if known > 0 else None)
     assert len(made) == 2 and max(made) <= 4
+
+
+@pytest.mark.parametrize("window, chunk", [(100, None), (101, 40), (128, 7), (1_000, 60)])
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_wide_rolling_means_are_sums_of_blocks(spark, window, chunk, by):
+    """No frame of the window's width; infinite values and gaps reach as far as the window only."""
+    frame = readings(8, 420)
+    frame.loc[frame["t"].between(100, 350), "v"] = np.nan
+    frame.loc[frame["id"] == 17, "v"] = np.inf
+    rows = to_spark(spark, frame).withColumns({"n": F.col("t") % 11, "d": (F.col("t") / 7).cast("decimal(9,3)")})
+    got = windows.smooth(rows.drop("d"), ["v", "n"], ["t", "id"], window, by, chunk)
+    assert got.schema == windows.smooth(rows.drop("d"), ["v", "n"], ["t", "id"], 3, by, chunk).schema
+    frame["n"] = frame["t"] % 11
+    mean = lambda g, c: [np.mean([x for x in g[c].tolist()[max(0, i - window + 1) : i + 1] if x == x] or [np.nan]) for i in range(len(g))]
+    for c in ("v", "n"):
+        same(got, by_key(frame, by, lambda g: g.assign(**{c: mean(g, c)})), c)
+    assert f"-{window - 1}, currentrow$()" not in got._jdf.queryExecution().optimizedPlan().toString()
+    exact = windows.smooth(rows.select("id", "k", "t", "d"), ["d"], ["t", "id"], window, by, chunk)
+    assert exact.schema["d"].dataType.simpleString() == "decimal(13,7)"
