@@ -223,3 +223,19 @@ def test_wide_rolling_means_are_sums_of_blocks(spark, window, chunk, by):
     assert f"-{window - 1}, currentrow$()" not in got._jdf.queryExecution().optimizedPlan().toString()
     exact = windows.smooth(rows.select("id", "k", "t", "d"), ["d"], ["t", "id"], window, by, chunk)
     assert exact.schema["d"].dataType.simpleString() == "decimal(13,7)"
+
+
+# Operators that split keys, on rows of 100 chunks.
+SPLIT = {
+    "suffixes": lambda rows, chunk: windows.enforce_unique(rows, "c", ["id"], chunk),
+}
+
+
+@pytest.mark.parametrize("name", list(SPLIT))
+def test_tasks_do_not_follow_the_number_of_chunks(spark, monkeypatch, name):
+    rows = spark.range(2_000).selectExpr("id", "concat('c', id % 3) AS c", "if(id % 7 < 3, double(id * id % 101), null) AS v")
+    want = sorted(SPLIT[name](rows, None).collect(), key=repr)
+    made, by_range = [], type(rows).repartitionByRange
+    monkeypatch.setattr(type(rows), "repartitionByRange", lambda df, n, *c: made.append(n) or by_range(df, n, *c))
+    assert sorted(SPLIT[name](rows, 20).collect(), key=repr) == want
+    assert made == [4]
