@@ -228,6 +228,7 @@ def test_wide_rolling_means_are_sums_of_blocks(spark, window, chunk, by):
 # Operators that split keys, on rows of 100 chunks.
 SPLIT = {
     "suffixes": lambda rows, chunk: windows.enforce_unique(rows, "c", ["id"], chunk),
+    "interpolate": lambda rows, chunk: windows.interpolate(rows, ["v"], ["id"], rows_per_chunk=chunk),
 }
 
 
