@@ -230,6 +230,7 @@ SPLIT = {
     "suffixes": lambda rows, chunk: windows.enforce_unique(rows, "c", ["id"], chunk),
     "interpolate": lambda rows, chunk: windows.interpolate(rows, ["v"], ["id"], rows_per_chunk=chunk),
     "fill": lambda rows, chunk: windows.ffill(rows, ["v"], ["id"], ["c"], chunk),
+    "means": lambda rows, chunk: windows.smooth(rows, ["v"], ["id"], 5, rows_per_chunk=chunk),
 }
 
 
