@@ -21,6 +21,8 @@ from brightrow.operators.project import order_columns
 from brightrow.session import durable
 
 CHUNK = "__chunk"
+# Place of a row in the order of all rows, from 0.
+PLACE = "__place"
 ROWS_PER_CHUNK = 2_000_000
 # Rows of a range, beyond one range per shuffle partition.
 ROWS_PER_RANGE = 500_000
@@ -36,8 +38,9 @@ def split_by_order(
 ) -> tuple[DataFrame, int]:
     """Add ``__chunk``; also gives the number of chunks, 0 when no key needs splitting.
 
-    Chunks follow from the range partition a row falls in and its place there, which are
-    written out once before use: ranges are sampled, and must not move between jobs.
+    With chunks, ``__place`` is added as well. Both follow from the range partition a row falls
+    in and its place there, which are written out once before use: ranges are sampled, and must
+    not move between jobs. Windows over chunks go by ``__place``, one order whenever it is read.
     """
     limit = rows_per_chunk or ROWS_PER_CHUNK
     largest, total = largest_key(df, by)
@@ -47,13 +50,13 @@ def split_by_order(
     order = [*key_columns(by), *order_columns(order_by)]
     sorted_ranges = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     placed = durable(
-        sorted_ranges.withColumns({"__range": F.spark_partition_id(), "__place": place_in_range()})
+        sorted_ranges.withColumns({"__range": F.spark_partition_id(), PLACE: place_in_range()})
     )
     # One number per range enters the plan: the rows before it.
     sizes = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}
     before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes)))]
-    place = F.get(F.lit(before), F.col("__range")) + F.col("__place")
-    return placed.withColumn(CHUNK, F.floor(place / limit)).drop("__range", "__place"), math.ceil(total / limit)
+    placed = placed.withColumn(PLACE, F.get(F.lit(before), F.col("__range")) + F.col(PLACE)).drop("__range")
+    return placed.withColumn(CHUNK, F.floor(F.col(PLACE) / limit)), math.ceil(total / limit)
 
 
 def range_count(spark: SparkSession, total: int, limit: int) -> int:
@@ -128,11 +131,13 @@ def numbered(
 ) -> tuple[DataFrame, int]:
     """1-based position of each row within its key, also for keys of any size."""
     parts, chunks = split_by_order(df, by, order_by, rows_per_chunk)
-    local = F.row_number().over(chunk_window(by, order_by)).cast("long")
+    if chunks and not by:
+        return parts.withColumn(name, F.col(PLACE) + 1).drop(PLACE), chunks
+    local = F.row_number().over(chunk_window(by, [PLACE] if chunks else order_by)).cast("long")
     if not chunks:
         return parts.withColumn(name, local), 0
     counts = chunk_summary(parts, by, F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(chunk_sequence(by).rowsBetween(Window.unboundedPreceding, -1))
     carry = counts.withColumn("__before", before)
     out = attach(parts.withColumn(name, local), carry, by, ["__before"], chunks)
-    return out.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0))).drop("__before"), chunks
+    return out.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0))).drop("__before", PLACE), chunks

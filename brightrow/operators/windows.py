@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from brightrow.columns import choose_numbers, known_number, present, ref
 from brightrow.operators.ordered import (
     CHUNK,
+    PLACE,
     attach,
     chunk_sequence,
     chunk_summary,
@@ -46,7 +47,7 @@ def smooth(
     # into it as rows, take part in the window, and leave again.
     whole = parts.withColumn("__halo", F.lit(False)).unionByName(_halo(parts, by, order_by, window))
     means = {c: F.avg(known_number(df, c)).over(rolling) for c in names}
-    return whole.withColumns(means).where(~F.col("__halo")).drop(CHUNK, "__halo")
+    return whole.withColumns(means).where(~F.col("__halo")).drop(CHUNK, PLACE, "__halo")
 
 
 def _smooth_wide(
@@ -143,7 +144,7 @@ def ffill(
     )
     out = attach(parts, carry, by, carried, chunks)
     return out.withColumns({c: F.coalesce(filled[c], F.col(f"__c{i}")) for i, c in enumerate(names)}).drop(
-        CHUNK, *carried
+        CHUNK, PLACE, *carried
     )
 
 

@@ -242,3 +242,17 @@ def test_tasks_do_not_follow_the_number_of_chunks(spark, monkeypatch, name):
     monkeypatch.setattr(type(rows), "repartitionByRange", lambda df, n, *c: made.append(n) or by_range(df, n, *c))
     assert sorted(SPLIT[name](rows, 20).collect(), key=repr) == want
     assert made == [4]
+
+
+def test_numbers_without_a_key_come_from_places(spark):
+    """A row's place among the sorted ranges is its number: no window, no shuffle and no join beyond."""
+    from brightrow.operators.ordered import numbered
+
+    rows = spark.range(500).selectExpr("id", "if(id % 50 = 0, null, (id * 37) % 101) AS t")
+    out, chunks = numbered(rows, [], ["t", "id"], "n", 20)
+    assert chunks == 25
+    want = sorted(((r["t"] is None, r["t"] or 0, r["id"]) for r in rows.collect()))
+    assert [r["id"] for r in out.orderBy("n").collect()] == [i for *_, i in want]
+    assert sorted(r["n"] for r in out.collect()) == list(range(1, 501))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Window", "Exchange", "Join"))
