@@ -127,13 +127,12 @@ def ffill(
     if not names:
         return df
     parts, chunks = split_by_order(df, by, order_by, rows_per_chunk)
-    upto = chunk_window(by, order_by).rowsBetween(Window.unboundedPreceding, 0)
+    upto = chunk_window(by, [PLACE] if chunks else order_by).rowsBetween(Window.unboundedPreceding, 0)
     filled = {c: F.last(known_number(df, c), ignorenulls=True).over(upto) for c in names}
     if not chunks:
         return parts.withColumns(filled).drop(CHUNK)
-    order = F.struct(*[ref(c) for c in order_by])
     lasts = [
-        F.max_by(known_number(df, c), F.when(known_number(df, c).isNotNull(), order)).alias(f"__l{i}")
+        F.max_by(known_number(df, c), F.when(known_number(df, c).isNotNull(), F.col(PLACE))).alias(f"__l{i}")
         for i, c in enumerate(names)
     ]
     summary = chunk_summary(parts, by, *lasts)

@@ -256,3 +256,18 @@ def test_numbers_without_a_key_come_from_places(spark):
     assert sorted(r["n"] for r in out.collect()) == list(range(1, 501))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not any(step in plan for step in ("Window", "Exchange", "Join"))
+
+
+@pytest.mark.parametrize("chunk", [None, 9])
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_fill_carries_values_of_rows_without_time(spark, chunk, by):
+    """Rows whose order value is missing come last, in what a chunk hands on as well."""
+    frame = readings(11, 200)
+    frame["t"] = frame["t"].astype(float).where(frame["t"] < 250)
+    frame["v"] = frame["v"].where(frame["id"] % 5 == 0)
+    rows = spark.createDataFrame(
+        [tuple(None if pd.isna(x) else c(x) for c, x in zip((int, int, int, float), r)) for r in frame.itertuples(index=False)],
+        "id long, k int, t int, v double",
+    )
+    want = by_key(frame, by, lambda g: g.assign(v=g["v"].ffill()))
+    same(windows.ffill(rows, ["v"], ["t", "id"], by, chunk), want)
