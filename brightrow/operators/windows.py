@@ -38,14 +38,15 @@ def smooth(
     if window >= WIDE_WINDOW and not any(isinstance(df.schema[c].dataType, T.DecimalType) for c in names):
         return _smooth_wide(df, names, order_by, window, by, rows_per_chunk)
     parts, chunks = split_by_order(df, by, order_by, rows_per_chunk)
-    rolling = chunk_window(by, order_by).rowsBetween(-(window - 1), 0)
+    order = [PLACE] if chunks else order_by
+    rolling = chunk_window(by, order).rowsBetween(-(window - 1), 0)
     if not chunks:
         means = {c: F.avg(known_number(df, c)).over(rolling) for c in names}
         return parts.withColumns(means).drop(CHUNK)
 
     # A chunk's first rows also need the last rows of the chunks before it: these are copied
     # into it as rows, take part in the window, and leave again.
-    whole = parts.withColumn("__halo", F.lit(False)).unionByName(_halo(parts, by, order_by, window))
+    whole = parts.withColumn("__halo", F.lit(False)).unionByName(_halo(parts, by, order, window))
     means = {c: F.avg(known_number(df, c)).over(rolling) for c in names}
     return whole.withColumns(means).where(~F.col("__halo")).drop(CHUNK, PLACE, "__halo")
 

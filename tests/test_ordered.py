@@ -271,3 +271,14 @@ def test_fill_carries_values_of_rows_without_time(spark, chunk, by):
     )
     want = by_key(frame, by, lambda g: g.assign(v=g["v"].ffill()))
     same(windows.ffill(rows, ["v"], ["t", "id"], by, chunk), want)
+
+
+@pytest.mark.parametrize("chunk", [None, 7, 2])
+def test_rolling_means_over_equal_times_follow_one_order(spark, chunk):
+    """Where the order leaves ties open, all chunks and the rows copied into them go by the same one."""
+    rows = spark.range(50).selectExpr("id", "0 AS t", "pow(2, id) AS v")
+    means = {r["id"]: r["v"] for r in windows.smooth(rows, ["v"], ["t"], 3, rows_per_chunk=chunk).collect()}
+    # The bits of a sum are the rows of its window.
+    whole = {i: round(3 * m) for i, m in means.items() if round(3 * m).bit_count() == 3 and round(3 * m) >> i & 1}
+    assert len(means) == 50 and len(whole) == 48
+    assert sorted(sum(bits >> i & 1 for bits in whole.values()) for i in range(50)) == [1, 1, 2, 2] + [3] * 46
