@@ -93,7 +93,7 @@ def linked(nodes: DataFrame) -> DataFrame:
     ball = nodes.select("fp", F.expr(flip))
     # Any two who emit the same word are at most two bits apart.
     shared = ball.groupBy("word").agg(F.min("fp").alias("hub"), F.max("fp").alias("other")).where("hub <> other")
-    near = durable(ball.join(shared.drop("other"), "word").where("fp <> hub").select("fp", "hub").distinct())
+    near = durable(_met(ball, shared.drop("other"), "word").where("fp <> hub").select("fp", "hub").distinct())
     groups = components(near, "fp", "hub").withColumnRenamed("node", "fp")
     first = durable(
         nodes.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
@@ -105,6 +105,15 @@ def linked(nodes: DataFrame) -> DataFrame:
     return first.join(merged, "component", "left").select("fp", F.coalesce("whole", "component").alias("component"))
 
 
+def _met(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+    """An inner join that shuffles both sides.
+
+    Spark sizes an exploded table as if it had one row per row of its source, and would
+    broadcast all words of up to its threshold of nodes.
+    """
+    return left.hint("merge").join(right, [*on])
+
+
 def _three_apart(nodes: DataFrame) -> DataFrame:
     """Pairs of components with members three bits apart."""
     low, high = "fp & 4294967295L", "shiftrightunsigned(fp, 32)"
@@ -122,10 +131,13 @@ def _three_apart(nodes: DataFrame) -> DataFrame:
     hit = f"left <> right AND bit_count(fp ^ other) <= {RADIUS} AND (NOT exact OR fp < other)"
     crowded = durable(left.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("word"))
     if crowded.isEmpty():
-        return left.join(right, "word").where(hit).select("left", "right").distinct()
-    few = left.join(crowded, "word", "leftanti").join(right, "word").where(hit).select("left", "right")
-    many = _cut(left.join(crowded, "word", "leftsemi"), "fp").join(
-        _cut(right.join(crowded, "word", "leftsemi"), "other"), ["word", "block"]
+        return _met(left, right, "word").where(hit).select("left", "right").distinct()
+    few = _met(left.join(crowded, "word", "leftanti"), right, "word").where(hit).select("left", "right")
+    many = _met(
+        _cut(left.join(crowded, "word", "leftsemi"), "fp"),
+        _cut(right.join(crowded, "word", "leftsemi"), "other"),
+        "word",
+        "block",
     )
     return few.union(many.where(hit).select("left", "right")).distinct()
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brightrow import session
 from brightrow.llm import (
     automaton,
     decontaminate,
@@ -600,6 +601,36 @@ def test_balls_find_every_distance(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(map(signed, g)) for g in sets.groups())
 
 
+@pytest.mark.parametrize("crowded", [256, 0])
+def test_exploded_words_are_not_broadcast(spark, tmp_path, monkeypatch, crowded):
+    # Of a few nodes, which Spark sizes low, every emitted word would go through the driver.
+    fps = [(x * 0x9E3779B97F4A7C15 % (1 << 63),) for x in range(1, 200)]
+    fps += [(fps[0][0] ^ 3,), (fps[1][0] ^ 7 << 30,)]
+    spark.createDataFrame(fps, "fp long").write.parquet(f"{tmp_path}/nodes")
+    plans = []
+
+    def durable(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return session.durable(df)
+
+    monkeypatch.setattr(simhash, "durable", durable)
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    found = rows_of(simhash.linked(spark.read.parquet(f"{tmp_path}/nodes")))
+    assert len(found) == 201 and len({component for _, component in found}) == 199
+    exploded = 0
+    for plan in plans:
+        depth = None
+        for line in plan.splitlines():
+            at = len(line) - len(line.lstrip(" :+-"))
+            if depth is not None and at <= depth:
+                depth = None
+            if "BroadcastExchange" in line and depth is None:
+                depth = at
+            exploded += "Generate explode" in line
+            assert depth is None or "Generate" not in line, plan
+    assert exploded >= 4
+
+
 # Katz
 
 
